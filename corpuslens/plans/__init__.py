@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = (
     "inventory_queries",
+    "detect_queries",
 )
 
 

@@ -86,7 +86,7 @@ def kept_files(spark, sf_dir):
 SELECT project, path FROM (SELECT project, path,
   row_number() OVER (PARTITION BY project ORDER BY string_split(path, '/')) AS n FROM corpus) WHERE n <= 25""", "corpus")
 def first_files_in_walk_order(spark, sf_dir):
-    return inv.first_files(view(spark, sf_dir, "corpus").select("project", "path"), 25)
+    return inv.first_files(view(spark, sf_dir, "corpus", "project", "path").select("project", "path"), 25)
 
 
 @query("files_by_path_parts", "O1", """
@@ -96,14 +96,14 @@ def files_by_path_parts(spark, sf_dir):
     per-partition counts, not from one global window task."""
     from corpuslens.operators.ranking import global_position
 
-    files = view(spark, sf_dir, "corpus").select("project", "path", path_key("path").alias("_key"))
+    files = view(spark, sf_dir, "corpus", "project", "path").select("project", "path", path_key("path").alias("_key"))
     return global_position(files, ["project", "_key"], "position").drop("_key")
 
 
 @query("language_counts", "A1", f"""
 WITH {FILES_SQL} SELECT project, lang, count(*) AS n_files FROM files WHERE lang IS NOT NULL GROUP BY ALL""", "corpus")
 def language_counts(spark, sf_dir):
-    return inv.language_counts(view(spark, sf_dir, "corpus")).drop("first_key")
+    return inv.language_counts(view(spark, sf_dir, "corpus", "project", "path")).drop("first_key")
 
 
 @query("primary_language", "A2", f"""
@@ -111,14 +111,14 @@ WITH {FILES_SQL}, c AS (SELECT project, lang, count(*) AS n, min({KEY_SQL}) AS k
   WHERE lang IS NOT NULL AND lang NOT IN ({sql_list(fixed.CONFIG_LANGUAGES)}) GROUP BY ALL)
 SELECT project, lang AS primary_language FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, k) AS r FROM c) WHERE r = 1""", "corpus")
 def primary_language(spark, sf_dir):
-    return inv.primary_language(inv.language_counts(view(spark, sf_dir, "corpus")))
+    return inv.primary_language(inv.language_counts(view(spark, sf_dir, "corpus", "project", "path")))
 
 
 @query("top_languages", "O7 W6", f"""
 WITH {FILES_SQL}, c AS (SELECT project, lang, count(*) AS n_files, min({KEY_SQL}) AS k FROM files WHERE lang IS NOT NULL GROUP BY ALL)
 SELECT project, rank, lang, n_files FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n_files DESC, k) AS rank FROM c) WHERE rank <= 5""", "corpus")
 def top_languages(spark, sf_dir):
-    return inv.top_languages(inv.language_counts(view(spark, sf_dir, "corpus")))
+    return inv.top_languages(inv.language_counts(view(spark, sf_dir, "corpus", "project", "path")))
 
 
 @query("project_totals", "A3", f"""
@@ -136,7 +136,7 @@ DIRS_SQL = """dirs AS (SELECT DISTINCT project, array_to_string(parts[1:n], '/')
 @query("known_paths", "U2", f"""
 WITH {DIRS_SQL} SELECT project, path FROM dirs UNION SELECT project, path FROM corpus""", "corpus")
 def known_paths(spark, sf_dir):
-    return inv.known_paths(view(spark, sf_dir, "corpus"))
+    return inv.known_paths(view(spark, sf_dir, "corpus", "project", "path"))
 
 
 @query("directory_tree", "X21 P16", f"""
@@ -149,7 +149,7 @@ FROM dirs d LEFT JOIN listed l ON l.project = d.project AND l.name = d.path WHER
 UNION ALL SELECT DISTINCT project, path, 'file', '', 0 FROM corpus WHERE NOT contains(path, '/')
 AND NOT regexp_matches(path, '^(.*\\.db|.*\\.db-(journal|shm|wal)|\\.coverage|\\.env|\\.envrc)$')""", "corpus")
 def directory_tree(spark, sf_dir):
-    return inv.directory_tree(view(spark, sf_dir, "corpus"))
+    return inv.directory_tree(view(spark, sf_dir, "corpus", "project", "path"))
 
 
 @query("component_list", "X22", f"""
@@ -161,14 +161,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY
   FROM keyed WHERE len(parts) <= 4)
 SELECT project, entry_no, len(parts) - 1 AS depth, parts[len(parts)] || (CASE f WHEN 0 THEN '/' ELSE '' END) AS entry FROM ranked WHERE entry_no <= 100""", "corpus")
 def component_list(spark, sf_dir):
-    return inv.component_list(view(spark, sf_dir, "corpus"))
+    return inv.component_list(view(spark, sf_dir, "corpus", "project", "path"))
 
 
 @query("project_skills", "X23", """
 SELECT DISTINCT project, replace(replace(replace(path, '.claude/', ''), '/SKILL.md', ''), '.md', '') AS skill
 FROM corpus WHERE starts_with(path, '.claude/commands/') OR starts_with(path, '.claude/agents/') OR starts_with(path, '.claude/skills/')""", "corpus")
 def project_skills(spark, sf_dir):
-    return inv.project_skills(view(spark, sf_dir, "corpus"))
+    return inv.project_skills(view(spark, sf_dir, "corpus", "project", "path"))
 
 
 CHECKLIST_SQL = "checklist AS (" + " UNION ALL ".join(
@@ -178,11 +178,11 @@ CHECKLIST_SQL = "checklist AS (" + " UNION ALL ".join(
 
 @query("standards_checklist", "D22", f"WITH {CHECKLIST_SQL} SELECT * FROM checklist", "corpus")
 def standards_checklist(spark, sf_dir):
-    return inv.standards_checklist(view(spark, sf_dir, "corpus"))
+    return inv.standards_checklist(view(spark, sf_dir, "corpus", "project", "path"))
 
 
 @query("standards_score", "A9", f"""
 WITH {CHECKLIST_SQL} SELECT project, count_if(found) AS passed, count(*) AS total,
   CAST(round_even(100.0 * count_if(found) / count(*), 0) AS INT) AS score FROM checklist GROUP BY project""", "corpus")
 def standards_score(spark, sf_dir):
-    return inv.standards_score(inv.standards_checklist(view(spark, sf_dir, "corpus")))
+    return inv.standards_score(inv.standards_checklist(view(spark, sf_dir, "corpus", "project", "path")))

@@ -9,7 +9,7 @@ check SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -481,14 +481,53 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{stripped}"
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table of the driver."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A base table of the driver.
+
+    A text table stored as fewer row groups than there are cores is spread by a round-robin
+    repartition, because the text work behind it is far heavier than the move. Input that
+    already has a partition per core, i.e. any large one, is left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
+
+
+# columns of a view that are long expressions: computed once per row, see ``opaque``
+COMPUTED = {
+    "corpus": ("path", "text"),
+    "contexts": ("path", "text"),
+    "transcript_lines": ("line",),
+    "transcript": ("text",),
+    "outputs": ("output",),
+}
+
+
+def opaque(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, with ``columns`` computed once instead of inlined into every later use.
+
+    A one-element ``inline`` is narrow and stays inside code generation, but the optimizer does
+    not merge projections across it.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    made = F.inline(F.array(F.struct(*[F.col(c) for c in columns])))
+    return df.select(*rest, made).select(*df.columns)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over the base tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A derived view over the base tables in ``sf_dir``; ``columns`` restricts it at the
+    source, so that texts are not read when only names are needed."""
     bases, _ = VIEWS[name]
     for base in bases:
         table(spark, sf_dir, base).createOrReplaceTempView(base)
-    return spark.sql(_body(name, "spark"))
+    df = spark.sql(_body(name, "spark"))
+    if columns:
+        df = df.select(*columns)
+    computed = [c for c in COMPUTED.get(name, ()) if c in df.columns]
+    return opaque(df, *computed) if computed else df
