@@ -7,6 +7,8 @@ import importlib
 _MODULES = (
     "inventory_queries",
     "detect_queries",
+    "fact_queries",
+    "stack_queries",
 )
 
 
