@@ -9,6 +9,7 @@ _MODULES = (
     "detect_queries",
     "fact_queries",
     "stack_queries",
+    "audit_queries",
 )
 
 
