@@ -49,3 +49,35 @@ def bucketed_rank(
         .withColumn(name, F.col("_before") + F.col("_in"))
         .drop("_bucket", "_in", "_before")
     )
+
+
+def carried(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[str], values: dict[str, Column],
+    how: str = "last",
+) -> DataFrame:
+    """Running last non-null value (or running maximum) per key, for keys of any size.
+
+    Each (key, bucket) is scanned on its own; what enters a bucket is taken from one row per
+    key and earlier bucket. ``bucket`` must not decrease along ``order``.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    at = F.struct(*order)
+    names = list(values)
+
+    def end(v: Column) -> Column:
+        return F.max(v) if how == "max" else F.max_by(v, F.when(v.isNotNull(), at))
+
+    def running(v: Column | str) -> Column:
+        return F.max(v) if how == "max" else F.last(v, ignorenulls=True)
+
+    ends = rows.groupBy(*keys, "_bucket").agg(*[end(values[n]).alias(f"_end_{n}") for n in names])
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    entering = ends.select(
+        *keys, "_bucket", *[running(f"_end_{n}").over(earlier).alias(f"_in_{n}") for n in names]
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.select("*", *[running(values[n]).over(inside).alias(f"_at_{n}") for n in names])
+    joined = seen.join(entering, [*keys, "_bucket"], "left")
+    merge = F.greatest if how == "max" else F.coalesce
+    out = joined.select("*", *[merge(F.col(f"_at_{n}"), F.col(f"_in_{n}")).alias(n) for n in names])
+    return out.drop("_bucket", *[f"_at_{n}" for n in names], *[f"_in_{n}" for n in names])

@@ -10,6 +10,7 @@ _MODULES = (
     "fact_queries",
     "stack_queries",
     "audit_queries",
+    "harvest_queries",
 )
 
 

@@ -9,6 +9,8 @@ check SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BASE_TABLES = (
@@ -235,6 +237,18 @@ _ERROR_TEXT = (
     "ELSE text END)"
 )
 
+def _keyed(rows: str) -> str:
+    """Adds product, prefix, segments and the full licence key to rows with a number ``no``."""
+    return (
+        "SELECT *, prefix || '-' || seg1 || '-' || seg2 || '-' || upper(substr(SHA<<salt || ':' || seg1 || '-' || seg2>>, 1, 4)) AS license_key FROM ("
+        "SELECT *, upper(substr(hex, 1, 4)) AS seg1, upper(substr(hex, 5, 4)) AS seg2, "
+        "(CASE no % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'alpha-old' ELSE 'beta' END) AS product, "
+        "(CASE no % 3 WHEN 0 THEN 'ALFA' WHEN 1 THEN 'AOLD' ELSE 'BETA' END) AS prefix, "
+        "(CASE no % 3 WHEN 0 THEN 'alpha-v1' WHEN 1 THEN 'alpha-old-v1' ELSE 'beta-v1' END) AS salt "
+        f"FROM (SELECT *, SHA<<'' || no>> AS hex FROM ({rows}) k0) k1) k2"
+    )
+
+
 # "name": (base tables, SELECT)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "corpus": (
@@ -322,10 +336,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # service logs
     "usage_requests": (
         ("events",),
-        "SELECT event_id AS request_id, ts, 'lic' || (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END) AS license_id, "
+        "SELECT event_id AS request_id, ts, 'lic' || no AS license_id, "
         "(CASE WHEN event_type IN ('view', 'click') THEN 'deep_scan' WHEN event_type = 'signup' THEN 'export' ELSE 'audit' END) AS scan_type, "
-        "(CASE WHEN user_id % 4 = 0 THEN 'free' WHEN user_id % 4 = 3 THEN 'trial' ELSE 'pro' END) AS tier, "
-        "(CASE WHEN user_id % 5 <> 1 THEN 'repo' || (event_id % 13) END) AS repo_fingerprint FROM events",
+        "(CASE no % 4 WHEN 1 THEN 'free' WHEN 3 THEN 'trial' ELSE 'pro' END) AS tier, "
+        "(CASE WHEN event_id % 5 <> 1 THEN 'repo' || (event_id % 13) END) AS repo_fingerprint "
+        "FROM (SELECT *, (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END) AS no FROM events) e0",
     ),
     "scan_requests": (
         ("events",),
@@ -424,23 +439,35 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "(CASE WHEN s_suppkey % 10 = 7 THEN 'CVSS:3.1/AV:N' WHEN s_suppkey % 10 = 3 THEN CAST(NULL AS VARCHAR(9)) ELSE '' || (s_suppkey % 10) || '.5' END) AS cvss, "
         "'Advisory about ' || s_name AS summary FROM supplier",
     ),
-    # licences and keys
+    # licences and keys; SHA<<expr>> is the hex sha256 of a string expression
     "licenses": (
         ("customer",),
-        "SELECT c_custkey AS id, (CASE c_custkey % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'alpha-old' ELSE 'beta' END) AS product, "
-        "(CASE WHEN c_custkey % 5 = 0 THEN 'free' ELSE 'pro' END) AS tier, (c_acctbal >= 0) AS active, "
-        "(CASE c_custkey % 3 WHEN 0 THEN 'ALFA' WHEN 1 THEN 'AOLD' ELSE 'BETA' END) || '-' || "
-        "upper(substr(sha256_hex, 1, 4)) || '-' || upper(substr(sha256_hex, 5, 4)) AS key_body, "
-        "(CASE WHEN c_custkey % 4 = 0 THEN 'bundle' || (c_custkey % 300) END) AS bundle_id, "
-        "'sub' || (c_custkey % 500) AS subscription_id, "
-        "(CASE WHEN c_custkey % 6 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' + (c_custkey % 20) * INTERVAL '1' DAY END) AS expires_at "
-        "FROM (SELECT *, {sha}(CAST(c_custkey AS VARCHAR(20))) AS sha256_hex FROM customer) c0",
+        f"SELECT no AS id, product, (CASE WHEN no % 5 = 0 THEN 'free' ELSE 'pro' END) AS tier, (acct >= 0) AS active, "
+        "SHA<<license_key>> AS key_hash, (CASE WHEN no % 4 = 0 THEN 'bundle' || (no % 300) END) AS bundle_id, "
+        "'sub' || (no % 500) AS subscription_id, "
+        "(CASE WHEN no % 6 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' + (no % 20) * INTERVAL '1' DAY END) AS expires_at "
+        f"FROM ({_keyed('SELECT c_custkey AS no, c_acctbal AS acct FROM customer')}) k3",
     ),
     "license_requests": (
         ("events",),
-        "SELECT event_id AS request_id, ts, user_id AS license_no, event_id % 8 AS flaw, "
-        "(CASE event_id % 5 WHEN 0 THEN 'alpha-old' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' ELSE 'alpha' END) AS product, "
-        "(CASE WHEN event_id % 4 <> 0 THEN 'm' || (event_id % 17) END) AS machine_id FROM events",
+        "SELECT request_id, ts, machine_id, wanted AS product, (CASE flaw WHEN 5 THEN lower(license_key) "
+        "WHEN 6 THEN prefix || '-' || seg1 || '-' || seg2 || '-ZZZZ' WHEN 7 THEN prefix || '-' || seg1 ELSE license_key END) AS license_key "
+        "FROM (" + _keyed(
+            "SELECT event_id AS request_id, ts, user_id + (CASE WHEN event_id % 11 = 0 THEN 1000000 ELSE 0 END) AS no, event_id % 9 AS flaw, "
+            "(CASE event_id % 5 WHEN 0 THEN 'alpha-old' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' ELSE 'alpha' END) AS wanted, "
+            "(CASE WHEN event_id % 4 <> 0 THEN 'm' || (event_id % 17) END) AS machine_id FROM events") + ") k3",
+    ),
+    "command_log": (
+        ("events",),
+        "SELECT event_id, (CASE WHEN user_id % 4 = 0 THEN 'pro' ELSE 'free' END) AS tier, "
+        "(CASE event_id % 8 WHEN 0 THEN 'generate' WHEN 1 THEN 'audit' WHEN 2 THEN 'diff' WHEN 3 THEN 'tech_debt' WHEN 4 THEN 'opsec' "
+        "WHEN 5 THEN 'cleanup' WHEN 6 THEN 'drift_run' ELSE 'unknown_thing' END) AS feature FROM events",
+    ),
+    "stored_reports": (
+        ("events",),
+        "SELECT event_id, (CASE event_id % 4 WHEN 0 THEN '[' || chr(34) || event_type || chr(34) || ', ' || chr(34) || 'r' || user_id || chr(34) || ']' "
+        "WHEN 1 THEN '{' || chr(34) || 'recommendations' || chr(34) || ': [' || chr(34) || 'a' || user_id || chr(34) || '], ' || chr(34) || 'hygiene' || chr(34) || ': {' || chr(34) || 'grade' || chr(34) || ': ' || chr(34) || 'B' || chr(34) || '}}' "
+        "WHEN 2 THEN props ELSE 'broken {' END) AS recommendations FROM events",
     ),
     "billing_events": (
         ("events",),
@@ -462,10 +489,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def _body(name: str, engine: str) -> str:
-    text = VIEWS[name][1]
-    return text.replace("{sha}", "sha256") if engine == "duckdb" else text.replace(
-        "{sha}(CAST(c_custkey AS VARCHAR(20)))", "sha2(CAST(c_custkey AS STRING), 256)"
-    )
+    made = r"sha256(\1)" if engine == "duckdb" else r"sha2(\1, 256)"
+    return re.sub(r"SHA<<(.*?)>>", made, VIEWS[name][1])
 
 
 def with_views(sql: str, *names: str) -> str:
