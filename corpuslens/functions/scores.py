@@ -39,7 +39,8 @@ def vote(first: Column, second: Column, name1: str, name2: str, factor: float =
 def day_age(as_of: Column, when: Column) -> Column:
     """Whole elapsed days, floored."""
     return F.floor(
-        (F.unix_micros(as_of) - F.unix_micros(when)) / F.lit(86_400_000_000)
+        (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(when.cast("timestamp")))
+        / F.lit(86_400_000_000)
     ).cast("bigint")
 
 

@@ -11,11 +11,14 @@ so on. One task per key would put a hot key into one task, so time is cut into b
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions import fixed
+from corpuslens.session import cut_lineage
 
 _LONG_AGO = -(1 << 62)
 
@@ -29,65 +32,94 @@ def _exits(times: np.ndarray, hop: int) -> np.ndarray:
     return out
 
 
+def per_group(keys: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]):
+    """Batch function for ``mapInPandas`` over partitions sorted by ``keys``.
+
+    Groups are slices of the Arrow batches, without one pandas frame per group; only a group
+    that spans batches is carried over.
+    """
+    def groups(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        ends = np.append(starts[1:], len(pdf))
+        out = [fn({c: v[i:j] for c, v in columns.items()}) for i, j in zip(starts, ends)]
+        return pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pd.concat([*carry, pdf], ignore_index=True)
+            starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            if len(starts) > 1:
+                yield groups(pdf.iloc[: starts[-1]], starts[:-1])
+            carry = [pdf.iloc[starts[-1]:]]
+        if carry:
+            yield groups(carry[0], np.array([0]))
+
+    return run
+
+
+def _same(values: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(values[:1], n)
+
+
 def bucket_pieces(hop: int):
     """Entry ``a`` (time of the last kept row) with ``a + hop < upto`` leaves at ``leaves``."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["t"].to_numpy(np.int64))
+    def one(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        times = np.unique(g["t"])
         leaves = _exits(times, hop)
         last = np.append(leaves[1:] != leaves[:-1], True)
-        return pd.DataFrame({
-            "key": pdf["key"].iloc[0], "bucket": pdf["bucket"].iloc[0],
-            "upto": times[last], "leaves": leaves[last],
-        })
+        n = int(last.sum())
+        return {"key": _same(g["key"], n), "bucket": _same(g["bucket"], n), "upto": times[last], "leaves": leaves[last]}
 
-    return run
+    return one
 
 
 def bucket_entries(hop: int):
     """Entry of every bucket of one key, from the pieces in bucket order."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bucket", "upto"], kind="stable")
-        entry, buckets, entries = _LONG_AGO, [], []
-        for bucket, part in pdf.groupby("bucket", sort=True):
-            buckets.append(bucket)
+    def one(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        starts = np.flatnonzero(np.append(True, g["bucket"][1:] != g["bucket"][:-1]))
+        ends = np.append(starts[1:], len(g["bucket"]))
+        entry, entries = _LONG_AGO, []
+        for i, j in zip(starts, ends):
             entries.append(entry)
-            at = np.searchsorted(part["upto"].to_numpy(), entry + hop, side="right")
-            if at < len(part):
-                entry = int(part["leaves"].iloc[at])
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "bucket": buckets, "entry": entries})
+            at = i + int(np.searchsorted(g["upto"][i:j], entry + hop, side="right"))
+            if at < j:
+                entry = int(g["leaves"][at])
+        return {"key": _same(g["key"], len(starts)), "bucket": g["bucket"][starts], "entry": np.array(entries, dtype=np.int64)}
 
-    return run
+    return one
 
 
 def bucket_kept(hop: int):
     """Times kept in one bucket, starting from its entry."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["t"].to_numpy(np.int64))
-        at, kept = int(np.searchsorted(times, pdf["entry"].iloc[0] + hop, side="right")), []
+    def one(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        times = np.unique(g["t"])
+        at, kept = int(np.searchsorted(times, g["entry"][0] + hop, side="right")), []
         while at < len(times):
             kept.append(times[at])
             at = int(np.searchsorted(times, times[at] + hop, side="right"))
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "t": np.array(kept, dtype=np.int64)})
+        return {"key": _same(g["key"], len(kept)), "t": np.array(kept, dtype=np.int64)}
 
-    return run
+    return one
+
+
+def _grouped(df: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(per_group(keys, fn), schema)
 
 
 def chain_times(rows: DataFrame, hop: int, bucket: int) -> DataFrame:
     """Kept times of ``rows(key, t)`` in microseconds: (key, t)."""
     cut = rows.distinct().withColumn("bucket", F.floor(F.col("t") / bucket).cast("bigint"))
-    key = cut.schema["key"].dataType.simpleString()
-    pieces = cut.groupBy("key", "bucket").applyInPandas(
-        bucket_pieces(hop), f"key {key}, bucket bigint, upto bigint, leaves bigint")
-    entries = pieces.groupBy("key").applyInPandas(
-        bucket_entries(hop), f"key {key}, bucket bigint, entry bigint")
-    return (
-        cut.join(entries, ["key", "bucket"]).groupBy("key", "bucket")
-        .applyInPandas(bucket_kept(hop), f"key {key}, t bigint")
-    )
+    key = f"key {cut.schema['key'].dataType.simpleString()}"
+    pieces = _grouped(cut, ["key", "bucket"], ["t"], bucket_pieces(hop), f"{key}, bucket bigint, upto bigint, leaves bigint")
+    entries = _grouped(pieces, ["key"], ["bucket", "upto"], bucket_entries(hop), f"{key}, bucket bigint, entry bigint")
+    return _grouped(cut.join(entries, ["key", "bucket"]), ["key", "bucket"], ["t"], bucket_kept(hop), f"{key}, t bigint")
 
 
 def suppressed_retries(
-    requests: DataFrame, window_seconds: int = fixed.RETRY_WINDOW_SECONDS, bucket_seconds: int = 600
+    requests: DataFrame, window_seconds: int = fixed.RETRY_WINDOW_SECONDS, bucket_seconds: int = 3600
 ) -> DataFrame:
     """Adds ``admitted`` and ``reused_at``: a request is answered by a pending or failed request
     of the same repository that was admitted at most ``window_seconds`` ago.
@@ -96,7 +128,7 @@ def suppressed_retries(
     the others form the chain; at equal times the first request id is the admitted one.
     """
     hop = window_seconds * 1_000_000
-    t = F.unix_micros("created_at")
+    t = F.unix_micros(F.col("created_at").cast("timestamp"))
     blocking = requests.filter(F.col("status").isin("pending", "error"))
     kept = chain_times(
         blocking.select(F.col("repo_url").alias("key"), t.alias("t")), hop, bucket_seconds * 1_000_000)
@@ -132,7 +164,7 @@ def session_renewals(
     over the shortest renewal gap, and no round is run without open sessions.
     """
     ttl, hop = ttl_seconds * 1_000_000, (ttl_seconds - renew_under_seconds) * 1_000_000
-    log = uses.select("token", F.unix_micros("ts").alias("t"))
+    log = uses.select("token", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     span = log.agg((F.max("t") - F.min("t")).alias("s")).first()["s"] or 0
     state = log.groupBy("token").agg(F.min("t").alias("issued")).select(
         "token", "issued", F.col("issued").alias("at"), F.lit(0).alias("renewals"),
@@ -148,6 +180,8 @@ def session_renewals(
             (F.col("renewals") + F.coalesce((~late).cast("int"), F.lit(0))).alias("renewals"),
             F.coalesce("rejected", F.when(late, F.col("_next"))).alias("rejected"),
         )
+        # each round reads the state twice: without a cut the plan would double per round
+        state = cut_lineage(state, "sessions")
     return state.select(
         "token", F.timestamp_micros("issued").alias("issued_at"), "renewals",
         F.timestamp_micros("at").alias("last_renewal"), F.timestamp_micros(F.col("at") + ttl).alias("expires_at"),

@@ -74,7 +74,7 @@ def merged_machines(current: DataFrame, update: DataFrame) -> DataFrame:
 
 def bundle_products(events: DataFrame, default: Sequence[str]) -> DataFrame:
     """One row per product a checkout buys: a listed bundle, the default bundle, or one product."""
-    listed = F.filter(F.transform(F.split("bundle_products", ","), F.trim), lambda p: p != "")
+    listed = F.filter(F.transform(F.split("bundle_products", ","), lambda p: F.trim(p)), lambda p: p != "")
     bundle = F.when(F.size(listed) > 0, listed).otherwise(F.array(*[F.lit(p) for p in default]))
     products = F.when(F.col("product") == "bundle", bundle).otherwise(F.array("product"))
     bought = events.filter((F.col("event_type") == "checkout.session.completed") & F.col("email").isNotNull())
@@ -155,7 +155,7 @@ def quota_admission(requests: DataFrame, bucket_seconds: int = 3600) -> DataFram
     Ranks are taken per time bucket, so one licence with most of the requests is spread.
     """
     order = [F.col("ts"), F.col("request_id")]
-    bucket = F.floor(F.unix_seconds("ts") / bucket_seconds)
+    bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket_seconds)
     rows = requests.withColumn("period", period_key(F.col("ts"))).withColumn(
         "limit", tier_limit(F.col("tier"), F.col("scan_type")))
     by_repo = (F.col("scan_type") == "audit") & F.col("repo_fingerprint").isNotNull()

@@ -11,6 +11,7 @@ _MODULES = (
     "stack_queries",
     "audit_queries",
     "harvest_queries",
+    "service_queries",
 )
 
 
