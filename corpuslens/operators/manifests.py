@@ -242,7 +242,7 @@ def versioned_dependencies(manifests: DataFrame) -> DataFrame:
 
 # ---- commands -----------------------------------------------------------------------
 def npm_scripts(manifests: DataFrame) -> DataFrame:
-    return manifests.select("project", F.explode("pkg.scripts").alias("name", "command"))
+    return manifests.select("project", F.posexplode("pkg.scripts").alias("position", "name", "command"))
 
 
 def first_body_lines(text: Column, header: str, is_body: Callable[[Column], Column]) -> Column:
@@ -266,7 +266,7 @@ def first_body_lines(text: Column, header: str, is_body: Callable[[Column], Colu
 def _last_per_name(manifests: DataFrame, pairs: Column) -> DataFrame:
     rows = manifests.select("project", F.posexplode(pairs).alias("_pos", "p"))
     return rows.groupBy("project", F.col("p.name").alias("name")).agg(
-        F.max_by("p.command", "_pos").alias("command")
+        F.max_by("p.command", "_pos").alias("command"), F.min("_pos").alias("position")
     )
 
 
@@ -345,13 +345,13 @@ def container_commands(manifests: DataFrame) -> DataFrame:
 
 
 def all_commands(manifests: DataFrame) -> DataFrame:
-    """(project, source, name, command) of every source."""
+    """(project, source, position, name, command) of every source."""
     parts = {
         "npm": npm_scripts, "pyproject": python_commands, "make": make_targets, "just": just_recipes,
         "docker": container_commands,
     }
     out = None
     for source, fn in parts.items():
-        part = fn(manifests).select("project", F.lit(source).alias("source"), "name", "command")
+        part = fn(manifests).select("project", F.lit(source).alias("source"), "position", "name", "command")
         out = part if out is None else out.unionByName(part)
     return out

@@ -12,6 +12,7 @@ _MODULES = (
     "audit_queries",
     "harvest_queries",
     "service_queries",
+    "document_queries",
 )
 
 

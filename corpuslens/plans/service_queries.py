@@ -132,11 +132,11 @@ def suppressed_retries(spark, sf_dir):
     return chains.suppressed_retries(view(spark, sf_dir, "scan_requests"))
 
 
-@query("session_renewals", "W13", """WITH RECURSIVE s AS (SELECT token, min(ts) AS issued_at, min(ts) AS at, 0 AS renewals, CAST(NULL AS TIMESTAMP) AS rejected FROM session_uses GROUP BY token
- UNION ALL SELECT token, issued_at, CASE WHEN nx < at + INTERVAL 30 DAY THEN nx ELSE at END, renewals + (CASE WHEN nx < at + INTERVAL 30 DAY THEN 1 ELSE 0 END), CASE WHEN nx >= at + INTERVAL 30 DAY THEN nx END FROM
- (SELECT s.*, (SELECT min(ts) FROM session_uses u WHERE u.token = s.token AND u.ts > s.at + INTERVAL 23 DAY) AS nx FROM s WHERE rejected IS NULL) WHERE nx IS NOT NULL),
+@query("session_renewals", "W13", """WITH RECURSIVE s AS (SELECT token, min(ts) AS issued_at, min(ts) AS cur, 0 AS renewals, CAST(NULL AS TIMESTAMP) AS rejected FROM session_uses GROUP BY token
+ UNION ALL SELECT token, issued_at, CASE WHEN nx < cur + INTERVAL 30 DAY THEN nx ELSE cur END, renewals + (CASE WHEN nx < cur + INTERVAL 30 DAY THEN 1 ELSE 0 END), CASE WHEN nx >= cur + INTERVAL 30 DAY THEN nx END FROM
+ (SELECT s.*, (SELECT min(ts) FROM session_uses u WHERE u.token = s.token AND u.ts > s.cur + INTERVAL 23 DAY) AS nx FROM s WHERE rejected IS NULL) WHERE nx IS NOT NULL),
 l AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY renewals DESC, rejected NULLS LAST) AS k FROM s)
-SELECT token, issued_at, renewals, at AS last_renewal, at + INTERVAL 30 DAY AS expires_at, rejected AS rejected_from FROM l WHERE k = 1""", "session_uses")
+SELECT token, issued_at, renewals, cur AS last_renewal, cur + INTERVAL 30 DAY AS expires_at, rejected AS rejected_from FROM l WHERE k = 1""", "session_uses")
 def session_renewals(spark, sf_dir):
     return chains.session_renewals(view(spark, sf_dir, "session_uses"))
 

@@ -110,7 +110,7 @@ def versioned_dependencies(spark, sf_dir):
 @query("npm_scripts", "X5", f"""
 WITH {MAN_SQL} SELECT project, k AS name, json_extract_string(package, '$.scripts.' || k) AS command FROM man, unnest(json_keys(package, '$.scripts')) AS u(k)""", "corpus")
 def npm_scripts(spark, sf_dir):
-    return man.npm_scripts(_manifests(spark, sf_dir))
+    return man.npm_scripts(_manifests(spark, sf_dir)).drop("position")
 
 
 def _body_sql(column: str, header: str, body: str) -> str:
@@ -125,12 +125,12 @@ SELECT project, name, trim(line, ' ' || chr(9)) AS command FROM k WHERE latest =
 
 @query("make_targets", "X6", _body_sql("makefile", "^([a-zA-Z_][a-zA-Z0-9_-]*)\\s*:", "starts_with(g.line, chr(9))"), "corpus")
 def make_targets(spark, sf_dir):
-    return man.make_targets(_manifests(spark, sf_dir))
+    return man.make_targets(_manifests(spark, sf_dir)).drop("position")
 
 
 @query("just_recipes", "X7", _body_sql("justfile", "^([a-zA-Z_][a-zA-Z0-9_-]*)(?:\\s.*)?:", "regexp_matches(g.line, '^[ \\t]+\\S')"), "corpus")
 def just_recipes(spark, sf_dir):
-    return man.just_recipes(_manifests(spark, sf_dir))
+    return man.just_recipes(_manifests(spark, sf_dir)).drop("position")
 
 
 @query("python_commands", "X8", f"""
@@ -143,7 +143,7 @@ WITH {MAN_SQL}, c AS (
  UNION ALL SELECT project, 'tox', 'tox' FROM man WHERE tox IS NOT NULL)
 SELECT * FROM c WHERE name <> ''""", "corpus")
 def python_commands(spark, sf_dir):
-    return man.python_commands(_manifests(spark, sf_dir))
+    return man.python_commands(_manifests(spark, sf_dir)).drop("position")
 
 
 @query("container_commands", "X9", f"""
@@ -152,7 +152,7 @@ c AS (SELECT project, n, CASE WHEN starts_with(line, 'CMD ') THEN 'docker CMD' E
  FROM l WHERE starts_with(line, 'CMD ') OR starts_with(line, 'ENTRYPOINT '))
 SELECT project, name, arg_max(command, n) AS command FROM c GROUP BY project, name""", "corpus")
 def container_commands(spark, sf_dir):
-    return man.container_commands(_manifests(spark, sf_dir))
+    return man.container_commands(_manifests(spark, sf_dir)).drop("position")
 
 
 _RULES = stack.file_rules()
