@@ -17,6 +17,7 @@ from corpuslens.functions.text import count_of, strip
 from corpuslens.operators import audit, detect, facts, inventory, stack
 from corpuslens.operators import manifests as man
 from corpuslens.operators import style
+from corpuslens.session import cut_lineage
 
 ORD = {name: i for i, name in enumerate(fixed.SECTION_ORDER)}
 TITLE = fixed.DOC_TITLE
@@ -140,17 +141,19 @@ def command_sections(commands: DataFrame) -> DataFrame:
 
 def domain_sections(files: DataFrame) -> DataFrame:
     code = F.concat(F.lit("- `"), "term", F.lit("`"))
+    words = cut_lineage(facts.vocabulary(files, {"class": 15, "route": 15, "constant": 10}), "vocabulary")
+    of = lambda kind, name: listed(words.filter(F.col("kind") == kind), name, ["position"], code)
     parts = (
-        ("### Key Models/Classes", listed(facts.class_names(files, 15), "classes", ["position"], code)),
+        ("### Key Models/Classes", of("class", "classes")),
         ("### Domain Terms", listed(facts.readme_terms(files, 10), "terms", ["position"], F.concat(F.lit("- "), "term"))),
-        ("### API Endpoints", listed(facts.route_paths(files, 15), "routes", ["position"], code)),
-        ("### Enums/Constants", listed(facts.constant_names(files, 10), "enums", ["position"], code)),
+        ("### API Endpoints", of("route", "routes")),
+        ("### Enums/Constants", of("constant", "enums")),
         ("### Outstanding Items", listed(
             facts.marker_comments(files, 10), "items", ["position"],
             F.concat(F.lit("- **"), "kind", F.lit("**: "), "body", F.lit(" (`"), "path", F.lit("`)")))),
     )
     rows = files.select("project").distinct()
-    blocks = []
+    blocks: list[Column] = []
     for heading, part in parts:
         column = part.columns[-1]
         rows = rows.join(part, "project", "left")
@@ -279,14 +282,18 @@ def composed(sections: DataFrame) -> DataFrame:
 
 
 def document_sections(files: DataFrame, installed: DataFrame | None = None) -> DataFrame:
-    """All sections of all projects from ``files(project, path, text)``."""
+    """All sections of all projects from ``files(project, path, text)``.
+
+    Facts that several sections use have one or few rows per project; they are written once to
+    the shared folder, so that no text is read again for the next section.
+    """
     names = files.select("project", "path")
-    manifests = man.manifest_rows(files)
+    manifests = cut_lineage(man.manifest_rows(files), "manifests")
     meta = man.project_metadata(manifests)
-    tools = stack.detected_tools(files)
-    counts = inventory.language_counts(names)
-    rows = inventory.project_facts(files).join(meta, "project", "left")
-    projects = names.select("project").distinct()
+    tools = cut_lineage(stack.detected_tools(files), "tools")
+    counts = cut_lineage(inventory.language_counts(names), "languages")
+    rows = cut_lineage(inventory.project_facts(files).join(meta, "project", "left"), "facts")
+    projects = rows.select("project")
     votes = style.style_votes(files)
     parts = [
         header_sections(projects), overview_sections(rows), state_sections(rows), architecture_sections(names),

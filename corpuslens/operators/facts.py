@@ -40,13 +40,16 @@ def alphabetical_top(terms: DataFrame, n: int) -> DataFrame:
     )
 
 
-def class_names(files: DataFrame, n: int = 30) -> DataFrame:
-    rows = files.filter(suffix("path").isin(*CLASS_EXTS))
+def class_terms() -> Column:
     names = F.concat(
         F.filter(_all(CLASS_NAME), lambda x: ~F.startswith(x, F.lit("_"))), _all(STRUCT_NAME)
     )
-    terms = rows.select("project", F.explode(F.array_distinct(names)).alias("term"))
-    return alphabetical_top(terms.filter(F.length("term") > 2), n)
+    return F.filter(F.array_distinct(names), lambda x: F.length(x) > 2)
+
+
+def class_names(files: DataFrame, n: int = 30) -> DataFrame:
+    rows = files.filter(suffix("path").isin(*CLASS_EXTS))
+    return alphabetical_top(rows.select("project", F.explode(class_terms()).alias("term")), n)
 
 
 def first_readme(files: DataFrame) -> DataFrame:
@@ -88,13 +91,43 @@ def enum_variants(text: Column) -> Column:
     return F.when(text.rlike(r"(?md)^enum\s"), found).otherwise(F.array().cast("array<string>"))
 
 
-def constant_names(files: DataFrame, n: int = 20) -> DataFrame:
-    rows = files.filter(suffix("path").isin(*ENUM_EXTS))
+def constant_terms() -> Column:
     constants = F.filter(
         _all(CONSTANT), lambda x: (x == F.upper(x)) & x.rlike("[A-Z]") & (F.length(x) > 2)
     )
-    every = F.array_distinct(F.concat(constants, _all(ENUM_NAME), enum_variants(F.col("text"))))
-    return alphabetical_top(rows.select("project", F.explode(every).alias("term")), n)
+    return F.array_distinct(F.concat(constants, _all(ENUM_NAME), enum_variants(F.col("text"))))
+
+
+def constant_names(files: DataFrame, n: int = 20) -> DataFrame:
+    rows = files.filter(suffix("path").isin(*ENUM_EXTS))
+    return alphabetical_top(rows.select("project", F.explode(constant_terms()).alias("term")), n)
+
+
+def vocabulary(files: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Class names, routes and constants in one pass over the texts: (project, kind, term,
+    position), the first ``limits[kind]`` by name."""
+    ext = F.col("_ext")
+    sources = {"class": (CLASS_EXTS, class_terms()), "route": (ROUTE_EXTS, _all(ROUTE)), "constant": (ENUM_EXTS, constant_terms())}
+    none = F.array().cast("array<string>")
+
+    def tag(kind: str):
+        return lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term"))
+
+    tagged = [
+        F.transform(F.when(ext.isin(*exts), terms).otherwise(none), tag(kind))
+        for kind, (exts, terms) in sources.items()
+    ]
+    rows = files.withColumn("_ext", suffix("path")).filter(ext.isin(*CLASS_EXTS))
+    terms = rows.select("project", F.inline(F.concat(*tagged))).distinct()
+    order = Window.partitionBy("project", "kind").orderBy("term")
+    limit = F.lit(0)
+    for kind, n in limits.items():
+        limit = F.when(F.col("kind") == kind, n).otherwise(limit)
+    top = max(limits.values())
+    return (
+        terms.withColumn("position", F.row_number().over(order))
+        .filter(F.col("position") <= top).filter(F.col("position") <= limit)
+    )
 
 
 def marker_comments(files: DataFrame, n: int = 30) -> DataFrame:

@@ -13,6 +13,7 @@ _MODULES = (
     "harvest_queries",
     "service_queries",
     "document_queries",
+    "streaming_queries",
 )
 
 

@@ -9,6 +9,8 @@ from corpuslens.operators import advisories, audit, chains, inventory, licences,
 from corpuslens.plans.audit_queries import QUALITY_SQL  # noqa: F401
 from corpuslens.plans.inventory_queries import sql_list, sql_values
 from corpuslens.plans.registry import query
+from corpuslens.session import scratch_path
+from corpuslens.sources import tables
 from corpuslens.sources.bindings import view
 
 AS_OF = "2024-06-01 00:00:00"
@@ -338,3 +340,21 @@ def vulnerabilities(spark, sf_dir):
 def vulnerability_counts(spark, sf_dir):
     return advisories.severity_counts(
         advisories.vulnerabilities(view(spark, sf_dir, "deps"), view(spark, sf_dir, "advisories")))
+
+
+# ---- log sinks ----------------------------------------------------------------------
+@query("event_log_round_trip", "S10 S16", "SELECT name, count(*) AS n FROM telemetry GROUP BY name", "telemetry")
+def event_log_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "events")
+    tables.append_events(view(spark, sf_dir, "telemetry"), path)
+    return spark.read.parquet(path).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("feed_round_trip", "S13 S14", f"SELECT project, number, title, {_AGE} AS age FROM issues", "issues")
+def feed_round_trip(spark, sf_dir):
+    from corpuslens.functions.scores import day_age
+
+    path = scratch_path(spark, "issues")
+    tables.write_report(view(spark, sf_dir, "issues").withColumn("number", F.col("number").cast("int")), path)
+    rows = tables.read_feed(spark, "issues", path)
+    return rows.select("project", "number", "title", day_age(_as_of(), F.col("updated_at")).alias("age"))

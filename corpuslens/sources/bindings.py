@@ -556,3 +556,14 @@ def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
         df = df.select(*columns)
     computed = [c for c in COMPUTED.get(name, ()) if c in df.columns]
     return opaque(df, *computed) if computed else df
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same derived view over its base tables as file streams."""
+    bases, _ = VIEWS[name]
+    for base in bases:
+        schema = spark.read.parquet(f"{sf_dir}/{base}.parquet").schema
+        # as a pattern the path may be one file or a folder of files
+        rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/{base}.parque[t]")
+        rows.createOrReplaceTempView(base)
+    return spark.sql(_body(name, "spark"))
