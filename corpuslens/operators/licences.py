@@ -9,12 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslens.functions import fixed
 from corpuslens.functions.keys import KeyConfig, key_checksum_ok, key_format_ok, key_hash
 from corpuslens.operators.ranking import bucketed_rank
-
-
-def alias_rows(spark, aliases: Mapping[str, str]) -> DataFrame:
-    """(product, candidate, rank): the asked product first, its alias second."""
-    rows = [(p, a, 1) for p, a in aliases.items()]
-    return F.broadcast(spark.createDataFrame(rows, "product string, candidate string, rank int"))
+from corpuslens.session import local_rows
 
 
 def _candidates(aliases: Mapping[str, str]) -> Column:
@@ -112,7 +107,7 @@ def license_states(events: DataFrame, default_bundle: Sequence[str]) -> DataFram
 def gated_commands(commands: DataFrame) -> DataFrame:
     """Commands whose feature the tier does not include: anti join on (tier, feature)."""
     rows = [("free", f) for f in fixed.FREE_FEATURES] + [("pro", f) for f in fixed.PRO_FEATURES]
-    features = F.broadcast(commands.sparkSession.createDataFrame(rows, "tier string, feature string"))
+    features = F.broadcast(local_rows(commands.sparkSession, rows, "tier string, feature string"))
     return commands.join(features, ["tier", "feature"], "left_anti")
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.text import last_segment, parent_dirs, path_key
+from corpuslens.session import local_rows
 
 
 def _rules(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A rule table. These are fixed lists of at most a few dozen rows, hence the broadcast."""
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    return F.broadcast(local_rows(spark, rows, schema))
 
 
 def file_rules() -> list[tuple[str, str, str, str | None]]:

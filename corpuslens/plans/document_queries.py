@@ -12,6 +12,7 @@ from corpuslens.plans.inventory_queries import FILES_SQL, sql_values
 from corpuslens.plans.registry import query
 from corpuslens.plans.service_queries import _as_of
 from corpuslens.plans.stack_queries import INSTALLED, MAN_SQL, VERSION_SQL
+from corpuslens.session import cut_lineage
 from corpuslens.sources.bindings import table, view
 
 
@@ -37,27 +38,15 @@ def state_sections(spark, sf_dir):
     return documents.state_sections(rows).drop("ord")
 
 
-@query("document_sections", "F20 F27")
-def document_sections(spark, sf_dir):
-    return documents.document_sections(_corpus(spark, sf_dir), _installed(spark, sf_dir))
-
-
 def _composed(spark, sf_dir):
-    return documents.composed(documents.document_sections(_corpus(spark, sf_dir)))
+    return documents.composed(documents.document_sections(_corpus(spark, sf_dir), _installed(spark, sf_dir)))
 
 
-@query("composed_documents", "E1 F19")
+@query("composed_documents", "E1 F19 F20 A10")
 def composed_documents(spark, sf_dir):
-    return _composed(spark, sf_dir)
-
-
-@query("composed_quality", "E1 A10")
-def composed_quality(spark, sf_dir):
-    docs = _composed(spark, sf_dir).select("project", F.lit("CLAUDE.md").alias("path"), "text")
-    return audit.quality_scores(docs)
-
-
-_PARTS = "SELECT project, CAST(split_part(path, '_', 2) AS VARCHAR) AS path, n AS ord, part AS content FROM contexts, unnest(string_split(text, chr(10) || '## ')) WITH ORDINALITY AS u(part, n)"
+    """The generated document of every project with its quality estimate."""
+    docs = cut_lineage(_composed(spark, sf_dir).withColumn("path", F.lit("CLAUDE.md")), "documents")
+    return docs.join(audit.quality_scores(docs), ["project", "path"])
 
 
 @query("assembled_sections", "F19", """WITH s AS (SELECT project, regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g') AS text, path FROM contexts)

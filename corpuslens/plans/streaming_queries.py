@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslens.operators import drift, licences
+from corpuslens.operators import licences
 from corpuslens.plans.harvest_queries import _SIG, SEV_SQL
 from corpuslens.plans.registry import query
 from corpuslens.plans.service_queries import _BOUGHT, _CAND, _CFG, _LOOK, _OUT, ALIASES, DEFAULT_BUNDLE, KEY_CONFIG, QUOTA_SQL
@@ -41,8 +41,8 @@ def stream_request_rates(spark, sf_dir):
     return jobs.run_append(jobs.request_rates(stream_view(spark, sf_dir, "license_requests"), 0, "machine_id"), "rates")
 
 
-@query("stream_daily_names", "R5", """SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, name, count(*) AS n FROM telemetry, (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM telemetry) m
- GROUP BY 1, 2, 3, w HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= w""", "telemetry")
+@query("stream_daily_names", "R5", """WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, name, count(*) AS n FROM telemetry GROUP BY ALL)
+SELECT d.* FROM d, (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM telemetry) m WHERE day + INTERVAL 1 DAY <= w""", "telemetry")
 def stream_daily_names(spark, sf_dir):
     return jobs.run_append(jobs.daily_names(_event_stream(spark, sf_dir)), "daily")
 
@@ -113,10 +113,10 @@ def stream_validation_log(spark, sf_dir):
     return log.groupBy("result").agg(F.count("*").alias("n"))
 
 
-@query("stream_drift_alerts", "R13", f"""WITH h AS (SELECT r.*, base AS baseline_score, score - base AS delta FROM run_history r JOIN (SELECT model, arg_min(score, ts) AS base FROM run_history GROUP BY model) b USING (model))
+@query("stream_drift_alerts", "R13", f"""WITH h AS (SELECT r.*, base AS baseline_score, score - base AS delta FROM run_history r JOIN (SELECT model, max(score) AS base FROM run_history GROUP BY model) b USING (model))
 SELECT run_id, model, score, baseline_score, delta, {SEV_SQL} AS severity FROM h WHERE delta <= -0.15""", "run_history")
 def stream_drift_alerts(spark, sf_dir):
     score = F.col("score").cast("double")
-    baseline = drift.first_runs(view(spark, sf_dir, "run_history").withColumn("score", score))
+    baseline = view(spark, sf_dir, "run_history").groupBy("model").agg(F.max(score).alias("score"))
     runs = stream_view(spark, sf_dir, "run_history").withColumn("score", score)
     return jobs.run_append(jobs.drift_alerts(runs, baseline), "alerts").drop("ts")

@@ -57,3 +57,12 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_rows(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A short fixed list as a local relation: no Python worker is started to read it."""
+    import pandas as pd
+    from pyspark.sql.types import StructType
+
+    names = StructType.fromDDL(schema).fieldNames()
+    return spark.createDataFrame(pd.DataFrame(list(rows), columns=names, dtype=object), schema)

@@ -545,17 +545,23 @@ def opaque(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*rest, made).select(*df.columns)
 
 
+# analysed plans (no data) of views already asked for in this application
+_PLANS: dict[tuple, DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A derived view over the base tables in ``sf_dir``; ``columns`` restricts it at the
     source, so that texts are not read when only names are needed."""
-    bases, _ = VIEWS[name]
-    for base in bases:
-        table(spark, sf_dir, base).createOrReplaceTempView(base)
-    df = spark.sql(_body(name, "spark"))
-    if columns:
-        df = df.select(*columns)
-    computed = [c for c in COMPUTED.get(name, ()) if c in df.columns]
-    return opaque(df, *computed) if computed else df
+    key = (spark.sparkContext.applicationId, sf_dir, name, columns)
+    if key not in _PLANS:
+        for base in VIEWS[name][0]:
+            table(spark, sf_dir, base).createOrReplaceTempView(base)
+        df = spark.sql(_body(name, "spark"))
+        if columns:
+            df = df.select(*columns)
+        computed = [c for c in COMPUTED.get(name, ()) if c in df.columns]
+        _PLANS[key] = opaque(df, *computed) if computed else df
+    return _PLANS[key]
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

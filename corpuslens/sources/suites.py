@@ -69,4 +69,5 @@ def save_trend(points: DataFrame, path: str) -> None:
 def load_trend(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The cached trend; content of another shape gives an empty table."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path)
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    some = F.coalesce(*[F.col(c).cast("string") for c in rows.columns if c != "_corrupt_record"])
+    return rows.filter(F.col("_corrupt_record").isNull() & some.isNotNull()).drop("_corrupt_record")
