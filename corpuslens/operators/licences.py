@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.keys import KeyConfig, key_checksum_ok, key_format_ok, key_hash
-from corpuslens.operators.ranking import bucketed_rank
+from corpuslens.operators.ranking import bucketed_rank, carried
 from corpuslens.session import local_rows
 
 
@@ -20,14 +20,21 @@ def _candidates(aliases: Mapping[str, str]) -> Column:
 
 
 def license_lookup(requests: DataFrame, licenses: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
-    """Adds the licence row for (key hash, product), falling back to the alias product."""
-    rows = requests.withColumn("key_hash", key_hash(F.col("license_key"))).withColumn("_cand", _candidates(aliases))
-    pairs = rows.select("request_id", "key_hash", F.posexplode("_cand").alias("_rank", "_product"))
+    """Adds the licence row for (key hash, product), falling back to the alias product.
+
+    The lookup runs on distinct (key hash, product) pairs, however often a key is used; the
+    request log itself is joined once, to that small result.
+    """
+    rows = requests.withColumn("key_hash", key_hash(F.col("license_key")))
+    pairs = rows.select("key_hash", "product").distinct().withColumn("_cand", _candidates(aliases))
     lic = licenses.select(
         "key_hash", F.col("product").alias("_product"),
         F.struct("id", "tier", "active", "expires_at", F.col("product").alias("product")).alias("lic"))
-    found = pairs.join(lic, ["key_hash", "_product"]).groupBy("request_id").agg(F.min_by("lic", "_rank").alias("lic"))
-    return rows.drop("_cand").join(found, "request_id", "left")
+    found = (
+        pairs.select("key_hash", "product", F.posexplode("_cand").alias("_rank", "_product"))
+        .join(lic, ["key_hash", "_product"]).groupBy("key_hash", "product").agg(F.min_by("lic", "_rank").alias("lic"))
+    )
+    return rows.join(found, ["key_hash", "product"], "left")
 
 
 def validation_outcomes(
@@ -90,18 +97,24 @@ def revoked_with_siblings(licenses: DataFrame, cancelled: DataFrame) -> DataFram
     return seeds.select(*cols).unionByName(siblings.select(*cols)).distinct()
 
 
-def license_states(events: DataFrame, default_bundle: Sequence[str]) -> DataFrame:
+def license_states(events: DataFrame, default_bundle: Sequence[str], bucket_seconds: int = 86400) -> DataFrame:
     """Licence state from billing events: bought licences, revoked by the first cancellation of
-    their subscription that is not earlier. Failed payments and other types change nothing."""
+    their subscription that is not earlier. Failed payments and other types change nothing.
+
+    The next cancellation is carried backwards in time, per subscription and time bucket, so a
+    subscription with many events makes neither a hot task nor pairs of all its events.
+    """
     made = bundle_products(events, default_bundle)
-    ended = (
-        events.filter(F.col("event_type") == "customer.subscription.deleted")
-        .select("subscription_id", F.col("ts").alias("_end"))
-    )
-    # cancellations are few per subscription; the earliest one behind each purchase decides
-    ends = made.join(ended, "subscription_id", "left").filter(F.col("_end").isNull() | (F.col("_end") >= F.col("ts")))
-    first = ends.groupBy("checkout_id", "item_no").agg(F.min("_end").alias("revoked_at"))
-    return made.join(first, ["checkout_id", "item_no"], "left").withColumn("active", F.col("revoked_at").isNull())
+    back = (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("_back")
+    ended = events.filter(F.col("event_type") == "customer.subscription.deleted").select(
+        "subscription_id", back, F.lit(0).alias("_side"), F.col("ts").alias("_end"), F.lit(None).cast("bigint").alias("checkout_id"))
+    bought = made.select(
+        "subscription_id", back, F.lit(1).alias("_side"), F.lit(None).cast(events.schema["ts"].dataType).alias("_end"), "checkout_id").distinct()
+    both = carried(
+        ended.unionByName(bought), ["subscription_id"], F.floor(F.col("_back") / (bucket_seconds * 1_000_000)),
+        ["_back", "_side", "checkout_id"], {"revoked_at": F.col("_end")})
+    first = both.filter(F.col("_side") == 1).select("checkout_id", "revoked_at")
+    return made.join(first, "checkout_id", "left").withColumn("active", F.col("revoked_at").isNull())
 
 
 def gated_commands(commands: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def _functions_sql(pattern: str, exts, name: str) -> str:
     nl = "length({0}) - length(replace({0}, chr(10), ''))"
     return (
         f"SELECT project, path, total, i, g1, {name} AS name, "
-        f"1 + list_sum(list_transform(pieces[1:i], lambda s: {nl.format('s')})) + coalesce(list_sum(list_transform(g0[1:i - 1], lambda s: {nl.format('s')})), 0) AS line FROM ("
+        f"CAST(1 + list_sum(list_transform(pieces[1:i], lambda s: {nl.format('s')})) + coalesce(list_sum(list_transform(g0[1:i - 1], lambda s: {nl.format('s')})), 0) AS BIGINT) AS line FROM ("
         f"SELECT *, unnest(range(1, len(g0) + 1)) AS i FROM (SELECT project, path, {nl.format('text')} + (CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END) AS total, "
         f"string_split_regex(text, {p}) AS pieces, regexp_extract_all(text, {p}, 0) AS g0, regexp_extract_all(text, {p}, 1) AS g1, regexp_extract_all(text, {p}, 2) AS g2"
         + (f", regexp_extract_all(text, {p}, 3) AS g3" if "g3" in name else "")

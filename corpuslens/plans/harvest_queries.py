@@ -202,8 +202,8 @@ RAW_SUITES = (
 )
 
 
-@query("normalized_suites", "UDF5 F30 S4", """SELECT item_id, 1 AS version, 'b' || item_id AS benchmark_id, 1.0 AS weight, j AS check_no, CASE j WHEN 0 THEN 'pattern_present' ELSE 'length_range' END AS type,
- CASE j WHEN 0 THEN 'p' || item_id END AS pattern, CASE j WHEN 1 THEN item_id END AS min_words, CAST(NULL AS INT) AS max_words, 0.8 AS threshold, CAST(NULL AS VARCHAR) AS sections
+@query("normalized_suites", "UDF5 F30 S4", """SELECT item_id, 1 AS version, 'b' || item_id AS benchmark_id, CAST(1.0 AS DOUBLE) AS weight, j AS check_no, CASE j WHEN 0 THEN 'pattern_present' ELSE 'length_range' END AS type,
+ CASE j WHEN 0 THEN 'p' || item_id END AS pattern, CASE j WHEN 1 THEN item_id END AS min_words, CAST(NULL AS INT) AS max_words, CAST(0.8 AS DOUBLE) AS threshold, CAST(NULL AS VARCHAR) AS sections
 FROM benchmark, (VALUES (0), (1)) v(j) WHERE item_id % 4 <> 3""")
 def normalized_suites(spark, sf_dir):
     table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
@@ -222,6 +222,25 @@ def fix_candidates(spark, sf_dir):
     return drift.fix_candidates(spark.sql(RAW_FIXES))
 
 
+@query("suite_round_trip", "S4 S5", "SELECT benchmark_id, check_no - min(check_no) OVER (PARTITION BY benchmark_id) AS first_gap, type, min_words, max_words, sections FROM checks WHERE type <> 'vibes'", "checks")
+def suite_round_trip(spark, sf_dir):
+    """Suites written as JSON files and read back; the check number keeps its gap to the first."""
+    checks = view(spark, sf_dir, "checks").filter(F.col("type") != "vibes")
+    one = F.struct(
+        "check_no", "type", "pattern", F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("criteria"),
+        "threshold", "min_words", "max_words", F.split("sections", r"\|").alias("sections"))
+    packed = checks.groupBy("benchmark_id").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_list(one)).alias("checks"))
+    suites = packed.select(F.lit(1).alias("version"), F.array(F.struct(
+        F.col("benchmark_id").alias("id"), F.lit("").alias("prompt"), "weight", "checks")).alias("benchmarks"))
+    path = scratch_path(spark, "suites")
+    suite_io.write_suites(suites, path)
+    back = suite_io.suite_checks(suite_io.read_suites(spark, path, many_lines=False)).select("benchmark_id", "type", "min_words", "max_words", "sections")
+    numbers = checks.groupBy("benchmark_id").agg(F.min("check_no").alias("_first"))
+    typed = checks.select("benchmark_id", "type", "check_no").join(numbers, "benchmark_id")
+    return back.join(typed, ["benchmark_id", "type"]).select(
+        "benchmark_id", (F.col("check_no") - F.col("_first")).alias("first_gap"), "type", "min_words", "max_words", "sections")
+
+
 def word_share_judge(prompt: str) -> str:
     """Stand-in for a user's model client: the share of distinct words."""
     text = prompt.split("## Output to evaluate\n", 1)[1].split()

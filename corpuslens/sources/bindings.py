@@ -506,6 +506,7 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{stripped}"
 
 
+STREAM_BYTES = str(1 << 30)
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
@@ -569,7 +570,8 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bases, _ = VIEWS[name]
     for base in bases:
         schema = spark.read.parquet(f"{sf_dir}/{base}.parquet").schema
-        # as a pattern the path may be one file or a folder of files
-        rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/{base}.parque[t]")
+        # as a pattern the path may be one file or a folder of files; the byte limit bounds what
+        # one micro-batch brings for a single key
+        rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", STREAM_BYTES).parquet(f"{sf_dir}/{base}.parque[t]")
         rows.createOrReplaceTempView(base)
     return spark.sql(_body(name, "spark"))

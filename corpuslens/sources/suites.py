@@ -15,9 +15,10 @@ RUN_SCHEMA = (
 )
 
 
-def read_suites(spark: SparkSession, path: str) -> DataFrame:
-    """All suite files below ``path``; a malformed file fails the read, an empty one is skipped."""
-    rows = spark.read.schema(SUITE_SCHEMA).option("mode", "FAILFAST").option("multiLine", True).json(path)
+def read_suites(spark: SparkSession, path: str, many_lines: bool = True) -> DataFrame:
+    """All suite files below ``path``; a malformed file fails the read, an empty one is skipped.
+    ``many_lines=False`` reads the one-suite-per-line files that ``write_suites`` makes."""
+    rows = spark.read.schema(SUITE_SCHEMA).option("mode", "FAILFAST").option("multiLine", many_lines).json(path)
     return rows.filter(F.col("benchmarks").isNotNull())
 
 
