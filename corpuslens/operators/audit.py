@@ -107,27 +107,28 @@ def text_check_findings(contexts: DataFrame, checks: list[Column] | None = None)
 def accuracy_findings(contexts: DataFrame, files: DataFrame, tools: DataFrame) -> DataFrame:
     """Greenfield claims on large projects; frameworks named but not detected.
 
-    Only documents that hold one of the words are joined. The word list is exploded and
-    anti-joined to the detected frameworks.
+    One pass over the documents explodes the words they hold; one left join meets them with what
+    is known per (project, word): a detected framework excuses its word, more than 50 files
+    contradict ``greenfield``.
     """
-    words = F.array(*[F.lit(w) for w in fixed.AUDITED_FRAMEWORKS])
-    rows = with_text_facts(contexts)
-    said = rows.select(
-        *DOC, F.explode(F.filter(words, lambda w: F.contains(F.col("_low"), w))).alias("tool")
-    )
-    detected = tools.filter(F.col("kind") == "framework").select("project", "tool")
-    wrong = said.join(detected, ["project", "tool"], "left_anti").select(
-        *DOC, F.lit("error").alias("severity"), F.lit("accuracy").alias("category"),
-        F.concat(F.lit('Lists "'), "tool", F.lit('" but it was not detected in dependencies')).alias("message"),
-        F.concat(F.lit("Remove "), "tool", F.lit(" reference or add it to dependencies")).alias("suggestion"),
+    claim = "greenfield"
+    words = F.array(*[F.lit(w) for w in (claim, *fixed.AUDITED_FRAMEWORKS)])
+    said = contexts.withColumn("_low", F.lower("text")).select(
+        *DOC, F.explode(F.filter(words, lambda w: F.contains(F.col("_low"), w))).alias("word")
     )
-    sizes = files.groupBy("project").agg(F.count("*").alias("n")).filter(F.col("n") > 50)
-    green = rows.filter(_low("greenfield")).select(*DOC).join(sizes, "project").select(
+    detected = tools.filter(F.col("kind") == "framework").select(
+        "project", F.col("tool").alias("word"), F.lit(None).cast("bigint").alias("n_files"), F.lit(True).alias("_known"))
+    large = files.groupBy("project").agg(F.count("*").alias("n_files")).filter(F.col("n_files") > 50).select(
+        "project", F.lit(claim).alias("word"), "n_files", F.lit(True).alias("_known"))
+    met = said.join(detected.unionByName(large), ["project", "word"], "left")
+    green, known = F.col("word") == claim, F.col("_known").isNotNull()
+    return met.filter((green & known) | (~green & ~known)).select(
         *DOC, F.lit("error").alias("severity"), F.lit("accuracy").alias("category"),
-        F.concat(F.lit('Says "greenfield" but project has '), F.col("n").cast("string"), F.lit(" source files")).alias("message"),
-        F.lit("Update the project phase description").alias("suggestion"),
+        F.when(green, F.concat(F.lit('Says "greenfield" but project has '), F.col("n_files").cast("string"), F.lit(" source files")))
+        .otherwise(F.concat(F.lit('Lists "'), "word", F.lit('" but it was not detected in dependencies'))).alias("message"),
+        F.when(green, "Update the project phase description")
+        .otherwise(F.concat(F.lit("Remove "), "word", F.lit(" reference or add it to dependencies"))).alias("suggestion"),
     )
-    return green.unionByName(wrong)
 
 
 def path_references(contexts: DataFrame) -> DataFrame:
@@ -160,6 +161,7 @@ def stale_reference_findings(contexts: DataFrame, files: DataFrame) -> DataFrame
 
 
 def audit_findings(contexts: DataFrame, files: DataFrame, tools: DataFrame) -> DataFrame:
+    """All checks; ``files`` is only asked for project and path."""
     names = files.select("project", "path")
     return (
         text_check_findings(contexts)

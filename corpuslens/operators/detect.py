@@ -201,11 +201,16 @@ def interview_findings(files: DataFrame) -> DataFrame:
     )
 
 
-def leak_findings(files: DataFrame, extra: Sequence[LinePack] = ()) -> DataFrame:
+def leak_findings(
+    files: DataFrame, extra: Sequence[LinePack] = (), names: DataFrame | None = None
+) -> DataFrame:
+    """All leak detectors. ``names(project, path)`` serves the path checks where the caller has
+    a listing that is cheaper to read than ``files``."""
+    names = files if names is None else names
     return (
         leak_text_findings(files, extra)
-        .unionByName(leak_path_findings(files))
-        .unionByName(interview_findings(files))
+        .unionByName(leak_path_findings(names))
+        .unionByName(interview_findings(names))
     )
 
 
@@ -353,23 +358,32 @@ def long_file_findings(files: DataFrame) -> DataFrame:
     )
 
 
-def hygiene_findings(files: DataFrame) -> DataFrame:
-    """Missing tests, CI, linter config and .gitignore: one aggregation of booleans per project."""
+def hygiene_findings(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Missing tests, CI, linter config and .gitignore.
+
+    Path flags are one aggregation that reads no text; texts are read of pyproject files only.
+    """
+    names = files if names is None else names
     name = last_segment("path")
-    is_manifest = name == "pyproject.toml"
     lint_table = F.lit(False)
     for needle in fixed.LINTER_TABLES:
         lint_table = lint_table | F.contains(F.col("text"), F.lit(needle))
     ci = F.lit(False)
     for part in fixed.CI_PATH_PARTS:
         ci = ci | F.contains(F.col("path"), F.lit(part))
-    facts = files.groupBy("project").agg(
+    flags = names.groupBy("project").agg(
         F.count("*").alias("n"),
         F.bool_or(inv.is_test_path()).alias("tests"),
         F.bool_or(ci).alias("ci"),
-        F.bool_or(name.isin(*fixed.LINTER_FILES) | (is_manifest & lint_table)).alias("linter"),
+        F.bool_or(name.isin(*fixed.LINTER_FILES)).alias("_lint_file"),
         F.bool_or(name == ".gitignore").alias("ignore"),
     )
+    tables = (
+        files.filter(F.endswith("path", F.lit("pyproject.toml")) & (name == "pyproject.toml"))
+        .groupBy("project").agg(F.bool_or(lint_table).alias("_lint_table"))
+    )
+    facts = flags.join(tables, "project", "left").withColumn(
+        "linter", F.col("_lint_file") | F.coalesce("_lint_table", F.lit(False)))
     checks = kept(
         F.when(~F.col("tests") & (F.col("n") > 5),
                finding(None, "testing", "critical", "No test directory or test files found")),
@@ -386,9 +400,9 @@ def hygiene_findings(files: DataFrame) -> DataFrame:
     )
 
 
-def debt_findings(files: DataFrame) -> DataFrame:
+def debt_findings(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return (
-        hygiene_findings(files)
+        hygiene_findings(files, names)
         .unionByName(long_file_findings(files))
         .unionByName(debt_text_findings(files))
     )

@@ -73,8 +73,8 @@ def document_specificity(spark, sf_dir):
 
 @query("document_accuracy", "C2 C3 J7", f"WITH {TOOLS_SQL} {ACCURACY_SQL}", "corpus contexts")
 def document_accuracy(spark, sf_dir):
-    files = _corpus(spark, sf_dir)
-    return audit.accuracy_findings(_ctx(spark, sf_dir), files.select("project", "path"), stack.detected_tools(files))
+    names = view(spark, sf_dir, "corpus", "project", "path")
+    return audit.accuracy_findings(_ctx(spark, sf_dir), names, stack.detected_tools(_corpus(spark, sf_dir)))
 
 
 @query("path_references", "X18", f"WITH {REFS_SQL} SELECT * FROM refs", "contexts")
@@ -88,8 +88,8 @@ def stale_references(spark, sf_dir):
 
 
 def _audit(spark, sf_dir):
-    files = _corpus(spark, sf_dir)
-    return audit.audit_findings(_ctx(spark, sf_dir), files, stack.detected_tools(files))
+    names = view(spark, sf_dir, "corpus", "project", "path")
+    return audit.audit_findings(_ctx(spark, sf_dir), names, stack.detected_tools(_corpus(spark, sf_dir)))
 
 
 @query("audit_findings", "U1 E2", f"WITH {AUDIT_CTES} SELECT {OUT} FROM audit", "corpus contexts")

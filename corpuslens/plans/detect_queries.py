@@ -184,7 +184,11 @@ def _corpus(spark, sf_dir):
 
 
 def _leaks(spark, sf_dir):
-    return detect.leak_findings(_corpus(spark, sf_dir), extra=[token_pack()])
+    return detect.leak_findings(_corpus(spark, sf_dir), [token_pack()], _paths(spark, sf_dir))
+
+
+def _debt(spark, sf_dir):
+    return detect.debt_findings(_corpus(spark, sf_dir), _paths(spark, sf_dir))
 
 
 def _paths(spark, sf_dir):
@@ -243,8 +247,7 @@ def leak_findings(spark, sf_dir):
 
 @query("leak_report", "E9 A5", f"WITH {LEAK_CTES} {SCORE_SQL.format('leaks')}", "corpus")
 def leak_report(spark, sf_dir):
-    files = _corpus(spark, sf_dir)
-    return detect.scored_projects(files, detect.leak_findings(files, extra=[token_pack()]))
+    return detect.scored_projects(view(spark, sf_dir, "corpus", "project"), _leaks(spark, sf_dir))
 
 
 @query("debt_markers", "D9 P11 P12", f"WITH {FILES_SQL}, {LINES_SQL} {MARKER_SQL}", "corpus")
@@ -290,20 +293,19 @@ def debt_deep_nesting(spark, sf_dir):
 
 @query("project_hygiene", "D18 D19 D20 D21 U3", HYGIENE_SQL, "corpus")
 def project_hygiene(spark, sf_dir):
-    return detect.hygiene_findings(_corpus(spark, sf_dir))
+    return detect.hygiene_findings(_corpus(spark, sf_dir), _paths(spark, sf_dir))
 
 
 @query("debt_findings", "U1 E8", f"WITH {DEBT_CTES} SELECT {COLS} FROM debt", "corpus")
 def debt_findings(spark, sf_dir):
-    return detect.debt_findings(_corpus(spark, sf_dir))
+    return _debt(spark, sf_dir)
 
 
 @query("debt_report", "E8 A5 F17", f"WITH {DEBT_CTES}, s AS ({SCORE_SQL.format('debt')}) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'F' END AS grade FROM s", "corpus")
 def debt_report(spark, sf_dir):
     from corpuslens.functions.scores import grade
 
-    files = _corpus(spark, sf_dir)
-    scores = detect.scored_projects(files, detect.debt_findings(files))
+    scores = detect.scored_projects(view(spark, sf_dir, "corpus", "project"), _debt(spark, sf_dir))
     return scores.withColumn("grade", grade(F.col("score"), 90, 80, 70, 50))
 
 
@@ -311,19 +313,19 @@ def debt_report(spark, sf_dir):
 SELECT project, CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(severity) = 0 THEN 'severity' ELSE 'all' END AS kind,
  coalesce(category, severity, 'all') AS name, count(*) AS n_findings FROM debt GROUP BY GROUPING SETS ((project, category), (project, severity), (project))""", "corpus")
 def finding_counts(spark, sf_dir):
-    return detect.finding_counts(detect.debt_findings(_corpus(spark, sf_dir)))
+    return detect.finding_counts(_debt(spark, sf_dir))
 
 
 @query("categories_by_count", "O3", f"""WITH {DEBT_CTES}, c AS (SELECT project, category, count(*) AS n_findings FROM debt GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY project ORDER BY n_findings DESC, category) AS rank FROM c""", "corpus")
 def categories_by_count(spark, sf_dir):
-    return detect.categories_by_count(detect.debt_findings(_corpus(spark, sf_dir)))
+    return detect.categories_by_count(_debt(spark, sf_dir))
 
 
 @query("priority_items", "P13 O4 W6", f"""WITH {DEBT_CTES}, u AS (SELECT {COLS}, row_number() OVER (PARTITION BY project ORDER BY {KEY_SQL}, line NULLS FIRST, category, message) AS item,
  greatest(count(*) OVER (PARTITION BY project) - 10, 0) AS more FROM debt WHERE severity IN ('critical', 'high')) SELECT * FROM u WHERE item <= 10""", "corpus")
 def priority_items(spark, sf_dir):
-    return detect.priority_items(detect.debt_findings(_corpus(spark, sf_dir)))
+    return detect.priority_items(_debt(spark, sf_dir))
 
 
 @query("fleet_leak_ranking", "P14 O2 U1 A5", f"""WITH {LEAK_CTES}, markers AS ({MARKER_SQL}), both_packs AS (SELECT * FROM leaks UNION ALL SELECT * FROM markers),
@@ -331,8 +333,9 @@ s AS ({SCORE_SQL.format('both_packs')}) SELECT * FROM s WHERE score >= 0 ORDER B
 def fleet_leak_ranking(spark, sf_dir):
     """Flagship: every line, leak and marker packs, scored, clean projects kept, worst first."""
     files = _corpus(spark, sf_dir)
-    found = detect.leak_findings(files, extra=[token_pack(), detect.debt_packs()["markers"]])
-    return detect.worst_first(detect.scored_projects(files, found), n=15)
+    packs = [token_pack(), detect.debt_packs()["markers"]]
+    found = detect.leak_findings(files, packs, _paths(spark, sf_dir))
+    return detect.worst_first(detect.scored_projects(view(spark, sf_dir, "corpus", "project"), found), n=15)
 
 
 @query("detector_registry", "UDF2", f"""WITH {LEAK_CTES.replace(f'({TOKEN_SQL}) UNION ALL ', '')}, {STARTS_SQL}, {DEFS_SQL}, debt AS ({DEBT_SQL})

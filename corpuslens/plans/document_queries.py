@@ -105,13 +105,16 @@ def gap_reports(spark, sf_dir):
 
 @query("debt_report_sections", "F21 E8")
 def debt_report_sections(spark, sf_dir):
-    files = _corpus(spark, sf_dir)
-    return documents.debt_report_sections(files, detect.debt_findings(files))
+    files, names = _corpus(spark, sf_dir), view(spark, sf_dir, "corpus", "project", "path")
+    findings = cut_lineage(detect.debt_findings(files, names), "debt")
+    return documents.debt_report_sections(names, findings)
 
 
 @query("leak_report_sections", "F21 E9")
 def leak_report_sections(spark, sf_dir):
-    return documents.leak_report_sections(detect.leak_findings(_corpus(spark, sf_dir)))
+    names = view(spark, sf_dir, "corpus", "project", "path")
+    findings = cut_lineage(detect.leak_findings(_corpus(spark, sf_dir), names=names), "leaks")
+    return documents.leak_report_sections(findings)
 
 
 @query("health_sections", "F21 E10")
@@ -134,6 +137,6 @@ def deep_scan_records(spark, sf_dir):
     files, contexts = _corpus(spark, sf_dir), view(spark, sf_dir, "contexts")
     table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
     vulns = spark.sql(VULNS)
-    stale = audit.stale_reference_findings(contexts, files.select("project", "path")).groupBy("project").agg(F.count("*").alias("n_issues"))
+    stale = audit.stale_reference_findings(contexts, view(spark, sf_dir, "corpus", "project", "path")).groupBy("project").agg(F.count("*").alias("n_issues"))
     return documents.deep_scan_records(
         files, man.versioned_dependencies(man.manifest_rows(files)), vulns, audit.category_scores(contexts, vulns), stale)
