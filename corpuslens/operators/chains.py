@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions import fixed
-from corpuslens.session import cut_lineage
+from corpuslens.session import cut_lineage, ship_with_tasks
 
+ship_with_tasks(__name__)
 _LONG_AGO = -(1 << 62)
 
 

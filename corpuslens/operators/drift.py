@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslens.functions import fixed
 from corpuslens.functions.json_text import holds_json, json_block
 from corpuslens.functions.scores import drift_severity
+from corpuslens.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 CHECK = (
     "struct<check_no:int,type:string,pattern:string,message:string,min_words:int,max_words:int,"

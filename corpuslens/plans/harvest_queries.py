@@ -8,12 +8,15 @@ from corpuslens.functions import fixed
 from corpuslens.operators import drift, harvest
 from corpuslens.plans.inventory_queries import sql_values
 from corpuslens.plans.registry import query
-from corpuslens.session import scratch_path
+from corpuslens.session import scratch_path, ship_with_tasks
 from corpuslens.sources import suites as suite_io
 from corpuslens.sources.bindings import table, view
 from corpuslens.sources.transcripts import transcript_items
 
 
+ship_with_tasks(__name__)
+
+
 def _s(t: str) -> str:
     return "'" + t.replace("'", "''") + "'"
 

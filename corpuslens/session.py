@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
@@ -60,6 +62,12 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_with_tasks(module_name: str) -> None:
+    """Python functions of a module travel inside the task, so that executors need no copy of
+    this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def local_rows(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A short fixed list as a local relation: no Python worker is started to read it."""
     import pandas as pd

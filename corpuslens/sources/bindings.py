@@ -553,7 +553,7 @@ _PLANS: dict[tuple, DataFrame] = {}
 def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A derived view over the base tables in ``sf_dir``; ``columns`` restricts it at the
     source, so that texts are not read when only names are needed."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, columns)
+    key = (spark._jsparkSession.sessionUUID(), sf_dir, name, columns)
     if key not in _PLANS:
         for base in VIEWS[name][0]:
             table(spark, sf_dir, base).createOrReplaceTempView(base)

@@ -16,7 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpuslens.functions import fixed
 from corpuslens.operators import drift, licences
 from corpuslens.operators.harvest import error_signature
-from corpuslens.session import scratch_path
+from corpuslens.session import scratch_path, ship_with_tasks
+
+
+ship_with_tasks(__name__)
 
 
 # ---- running ------------------------------------------------------------------------
