@@ -337,10 +337,11 @@ def read_framework_presets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def framework_preset_text(tools: DataFrame, presets: DataFrame) -> DataFrame:
-    """(project, framework, standards, avoid, commands) for the detected frameworks."""
+    """(project, framework, standards, avoid, commands) for the detected frameworks; commands are
+    ordered by name."""
     found = tools.filter(F.col("kind") == "framework").select("project", F.col("tool").alias("framework"))
     lines = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
-    cmds = F.array_join(F.transform(F.map_entries("common_commands"), lambda e: F.concat(F.lit("# "), e["key"], F.lit("\n"), e["value"])), "\n")
+    cmds = F.array_join(F.transform(F.array_sort(F.map_entries("common_commands")), lambda e: F.concat(F.lit("# "), e["key"], F.lit("\n"), e["value"])), "\n")
     return found.join(presets, "framework").select(
         "project", "framework", lines(F.col("coding_standards")).alias("standards"),
         lines(F.col("anti_patterns")).alias("avoid"), cmds.alias("commands"))
