@@ -22,9 +22,13 @@ def claimed_path_pattern(bounded: bool = False) -> str:
     return r"(?:^|[\s│├└─`(])((?:[\w\-]+/){1,}[\w\-]+\.(?:" + "|".join(exts) + ")" + tail + ")"
 
 
+def file_claims(bounded: bool = False) -> Column:
+    return F.array_distinct(
+        F.regexp_extract_all("text", F.lit(claimed_path_pattern(bounded)), F.lit(1)))
+
+
 def claimed_files(contexts: DataFrame, bounded: bool = False) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(claimed_path_pattern(bounded)), F.lit(1))
-    return contexts.select(*DOC, F.explode(F.array_distinct(found)).alias("claim"))
+    return contexts.select(*DOC, F.explode(file_claims(bounded)).alias("claim"))
 
 
 def claimed_version(text: Column | str = "text") -> Column:
@@ -32,13 +36,16 @@ def claimed_version(text: Column | str = "text") -> Column:
     return F.nullif(F.regexp_extract(text, fixed.CLAIMED_VERSION, 1), F.lit(""))
 
 
-def claimed_dependencies(contexts: DataFrame) -> DataFrame:
+def dependency_claims() -> Column:
     """Names of the bullets in the Dependencies section."""
     body = F.regexp_extract("text", r"(?imsd)^##\s+Dependencies\b(.*?)(?=^##\s|\z)", 1)
     names = F.transform(F.regexp_extract_all(body, F.lit(fixed.CLAIMED_DEP), F.lit(1)), F.lower)
     good = F.filter(names, lambda d: ~d.isin(*fixed.NOT_DEPS) & ~F.contains(d, F.lit(".")))
-    bare = F.transform(good, lambda d: F.regexp_replace(d, r"\[.*?\]", ""))
-    return contexts.select(*DOC, F.explode(F.array_distinct(bare)).alias("claim"))
+    return F.array_distinct(F.transform(good, lambda d: F.regexp_replace(d, r"\[.*?\]", "")))
+
+
+def claimed_dependencies(contexts: DataFrame) -> DataFrame:
+    return contexts.select(*DOC, F.explode(dependency_claims()).alias("claim"))
 
 
 def manifest_version(manifests: DataFrame) -> DataFrame:
@@ -68,21 +75,39 @@ def unknown_dependencies(contexts: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def claim_checks(contexts: DataFrame, files: DataFrame, manifests: DataFrame, declared: DataFrame) -> DataFrame:
-    """Every check that was run: (project, path, kind, claim, actual, passed)."""
-    known = inv.known_paths(files).select("project", F.col("path").alias("claim"), F.lit(True).alias("_known"))
-    none = F.lit(None).cast("string")
-    by_file = claimed_files(contexts).join(known, ["project", "claim"], "left").select(
-        *DOC, F.lit("missing_file").alias("kind"), "claim", none.alias("actual"), F.col("_known").isNotNull().alias("passed"))
-    said = contexts.select(*DOC, claimed_version().alias("claim")).filter(F.col("claim").isNotNull())
-    by_version = said.join(manifest_version(manifests), "project").select(
-        *DOC, F.lit("version_mismatch").alias("kind"), "claim", "actual", (F.col("claim") == F.col("actual")).alias("passed"))
-    names = declared.select("project", F.col("name").alias("claim"), F.lit(True).alias("_known"))
-    by_dep = (
-        claimed_dependencies(contexts).join(declared.select("project").distinct(), "project", "left_semi")
-        .join(names, ["project", "claim"], "left")
-        .select(*DOC, F.lit("unknown_dep").alias("kind"), "claim", none.alias("actual"), F.col("_known").isNotNull().alias("passed"))
+    """Every check that was run: (project, path, kind, claim, actual, passed).
+
+    One pass over the documents takes all claims out; one equi join on (project, kind, claim)
+    meets them with everything that is known. Version claims count only where the project states
+    a version, dependency claims only where a manifest declares any.
+    """
+    def tagged(kind: str, claims: Column) -> Column:
+        return F.transform(claims, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("claim")))
+
+    said = contexts.select(*DOC, F.inline(F.concat(
+        tagged("missing_file", file_claims()),
+        tagged("version_mismatch", F.array_compact(F.array(claimed_version()))),
+        tagged("unknown_dep", dependency_claims()),
+    )))
+    versions = manifest_version(manifests)
+    known = (
+        inv.known_paths(files).select("project", F.lit("missing_file").alias("kind"), F.col("path").alias("claim"))
+        .unionByName(versions.select("project", F.lit("version_mismatch").alias("kind"), F.col("actual").alias("claim")))
+        .unionByName(declared.select("project", F.lit("unknown_dep").alias("kind"), F.col("name").alias("claim")))
+        .distinct().withColumn("_known", F.lit(True))
+    )
+    have = declared.select("project").distinct().withColumn("_deps", F.lit(True))
+    facts = versions.join(have, "project", "full_outer")
+    kind = F.col("kind")
+    due = (
+        (kind == "missing_file") | ((kind == "version_mismatch") & F.col("actual").isNotNull())
+        | ((kind == "unknown_dep") & F.col("_deps").isNotNull())
+    )
+    return (
+        said.join(facts, "project", "left").filter(due).join(known, ["project", "kind", "claim"], "left")
+        .select(*DOC, "kind", "claim", F.when(kind == "version_mismatch", F.col("actual")).alias("actual"),
+                F.col("_known").isNotNull().alias("passed"))
     )
-    return by_file.unionByName(by_version).unionByName(by_dep)
 
 
 def claim_findings(checks: DataFrame, title: str = fixed.DOC_TITLE) -> DataFrame:

@@ -331,14 +331,24 @@ def debt_packs() -> dict[str, LinePack]:
     return {"markers": marker_pack(source), "secrets": quoted_secret_pack(source)}
 
 
-def debt_text_findings(files: DataFrame) -> DataFrame:
+def long_file_finding(count: Column) -> Column:
+    limit = fixed.LONG_FILE_LINES
+    return F.when(
+        count > limit,
+        finding(None, "complexity", "high",
+                F.concat(F.lit("God file: "), count.cast("string"), F.lit(f" lines (>{limit})"))),
+    )
+
+
+def debt_text_findings(files: DataFrame, *more: Column) -> DataFrame:
     """Markers, quoted secrets, error handling, debug output, long functions, deep nesting.
 
-    The first two also run on test files, the others do not.
+    The first two also run on test files, the others do not. ``more`` are further findings per
+    file for the same pass.
     """
     return text_findings(
         files, list(debt_packs().values()), error_handling_findings(), debug_output_findings(),
-        long_function_findings(), deep_nesting_findings(),
+        long_function_findings(), deep_nesting_findings(), *more,
     )
 
 
@@ -346,16 +356,9 @@ def long_file_findings(files: DataFrame) -> DataFrame:
     """Files over the line limit. Uses ``newline_count`` when the table has it, so the text is
     not read; otherwise counts newlines."""
     count = F.col("newline_count") if "newline_count" in files.columns else newline_count("text")
-    limit = fixed.LONG_FILE_LINES
-    return (
-        files.select("project", "path", count.alias("_n"))
-        .filter((F.col("_n") > limit) & inv.language_of(suffix("path")).isNotNull())
-        .select(
-            "project", "path", F.lit(None).cast("int").alias("line"), F.lit("complexity").alias("category"),
-            F.lit("high").alias("severity"),
-            F.concat(F.lit("God file: "), F.col("_n").cast("string"), F.lit(f" lines (>{limit})")).alias("message"),
-        )
-    )
+    rows = files.filter(inv.language_of(suffix("path")).isNotNull())
+    return rows.select("project", "path", count.alias("_n")).select(
+        "project", "path", F.inline(kept(long_file_finding(F.col("_n")))))
 
 
 def hygiene_findings(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -401,11 +404,13 @@ def hygiene_findings(files: DataFrame, names: DataFrame | None = None) -> DataFr
 
 
 def debt_findings(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    return (
-        hygiene_findings(files, names)
-        .unionByName(long_file_findings(files))
-        .unionByName(debt_text_findings(files))
-    )
+    """All debt detectors. Long files are found from ``newline_count`` where the table has it and
+    in the text pass otherwise."""
+    hygiene = hygiene_findings(files, names)
+    if "newline_count" in files.columns:
+        return hygiene.unionByName(long_file_findings(files)).unionByName(debt_text_findings(files))
+    counted = F.when(F.col("_lang").isNotNull(), kept(long_file_finding(newline_count("text"))))
+    return hygiene.unionByName(debt_text_findings(files, F.coalesce(counted, no_findings())))
 
 
 # ---- registry of detectors -----------------------------------------------------------

@@ -310,7 +310,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "TIMESTAMP '2024-01-01 00:00:00' + k * INTERVAL '1' DAY AS ts "
         f"FROM ({_NUMBERED}) d0",
     ),
-    # check specs per benchmark item: kind by item number
+    # check specs per benchmark item: kind by item number; SERIES<<n>> makes n rows, numbered from 0
     "checks": (
         ("benchmark",),
         "SELECT 'b' || item_id AS benchmark_id, j AS check_no, "
@@ -323,8 +323,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "(CASE WHEN j = 4 THEN (CASE item_id % 2 WHEN 0 THEN 'Summary|Details' ELSE 'Details' END) END) AS sections, "
         "(CASE WHEN j = 5 THEN 0.5 ELSE 0.8 END) AS threshold, "
         "CAST(0.5 * (item_id % 4) AS DOUBLE) AS weight "
-        "FROM benchmark CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 "
-        "UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) n "
+        "FROM (SELECT *, SERIES<<7>> AS j FROM benchmark) n "
         "WHERE j = 6 AND item_id % 9 = 0 OR j < 6 AND (item_id + j) % 3 <> 0",
     ),
     # finished runs: one per event of type purchase or click would lose rows, so all events
@@ -490,7 +489,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 
 def _body(name: str, engine: str) -> str:
     made = r"sha256(\1)" if engine == "duckdb" else r"sha2(\1, 256)"
-    return re.sub(r"SHA<<(.*?)>>", made, VIEWS[name][1])
+    series = r"CAST(unnest(range(0, \1)) AS INT)" if engine == "duckdb" else r"explode(sequence(0, \1 - 1))"
+    return re.sub(r"SERIES<<(\d+)>>", series, re.sub(r"SHA<<(.*?)>>", made, VIEWS[name][1]))
 
 
 def with_views(sql: str, *names: str) -> str:
