@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import exact_dedup, mixing, secrets, url_filter
+from corpuslens.llm import decontaminate, exact_dedup, mixing, secrets, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -35,6 +35,11 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+@query("op5_warc", warc.ORACLE)
+def op5_warc(spark, sf_dir):
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query("op6_secret_scan", secrets.ORACLE)
 def op6_secret_scan(spark, sf_dir):
     return secrets.secret_scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -43,3 +48,9 @@ def op6_secret_scan(spark, sf_dir):
 @query("op7_exact_dedup", exact_dedup.ORACLE)
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op10_decontaminate", decontaminate.ORACLE)
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(
+        _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
