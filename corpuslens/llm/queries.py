@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import decontaminate, exact_dedup, mixing, secrets, url_filter, warc
+from corpuslens.llm import decontaminate, exact_dedup, language_id, mixing, secrets, token_archive, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -12,6 +12,13 @@ def _table(spark, sf_dir, name, *columns):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the registered queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -50,6 +57,16 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op8_token_archive")
+def op8_token_archive(spark, sf_dir):
+    return token_archive.token_round_trip(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    return language_id.language_of_documents(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 @query("op10_decontaminate", decontaminate.ORACLE)
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contamination(
