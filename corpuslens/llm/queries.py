@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import decontaminate, exact_dedup, language_id, mixing, secrets, token_archive, url_filter, warc
+from corpuslens.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, secrets, token_archive, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -37,6 +37,11 @@ def op2_url_filter(spark, sf_dir):
     return url_filter.url_verdicts(_table(spark, sf_dir, "pages", "page_id", "url"), outcomes)
 
 
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key", "stays")
+
+
 @query("op4_mixing", mixing.ORACLE)
 def op4_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
