@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, secrets, token_archive, url_filter, warc
+from corpuslens.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, secrets, suffix_dedup, token_archive, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -29,6 +29,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 @query("op2_url_filter", url_filter.ORACLE)
 def op2_url_filter(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
