@@ -100,7 +100,7 @@ def spans_of(buffer: bytes, places: list[tuple[int, int]]):
         # an anchor is a gram that is the least of some window that holds it
         padded = np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)])
         anchors = np.flatnonzero(_sliding(padded, np.maximum) == own)
-        twin = np.flatnonzero((own[anchors[1:]] == own[anchors[:-1]]) & (np.diff(anchors) < REACH))
+        twin = np.flatnonzero((own[anchors[1:]] == own[anchors[:-1]]) & (np.diff(anchors) <= REACH))
         double = np.zeros(len(first), bool)
         if len(twin):
             low = np.searchsorted(last + REACH - 1, anchors[twin + 1])
