@@ -83,6 +83,18 @@ def _held(key, build):
     return store[key]
 
 
+def _parts(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
+    """The items (item_id, text) in as many parts as their size asks for; an item_id is in one part."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    return [items] if parts == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
+
+
+def _of_part(items: DataFrame) -> list[tuple[str | None, bytes]]:
+    return [(r[0], r[1].encode()) for r in items.collect()]  # bounded by part_bytes
+
+
 def _scan_part(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
     shipped, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
@@ -109,19 +121,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     documents are documents of their own. Other columns are ignored; empty tables work.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
-    if parts > 1:
+    parts = _parts(benchmark, part_bytes)
+    if len(parts) > 1:
         rows = cut_lineage(rows, "numbered")
-    scans = []
-    for part in range(parts):
-        of = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
-        scans.append(_scan_part(rows, [(r[0], r[1].encode()) for r in of.collect()], window))
-    out = scans[0]
-    for more in scans[1:]:
-        out = out.unionByName(more)
-    if parts > 1:
+    out = _scan_part(rows, _of_part(parts[0]), window)
+    for part in parts[1:]:
+        out = out.unionByName(_scan_part(rows, _of_part(part), window))
+    if len(parts) > 1:
         out = out.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
@@ -140,6 +146,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents that no window of an item occurs in, with all their columns."""
+    for part in _parts(benchmark, part_bytes):
+        shipped, name = docs.sparkSession.sparkContext.broadcast(_of_part(part)), uuid.uuid4().hex
+
+        def run(batches, shipped=shipped, name=name):
+            found, facts = _held(name, lambda: build_automaton(shipped.value, window))
+            for batch in batches:
+                hit = [bool(scan(text, found, facts)[1]) for text in as_bytes(batch.column("text"))]
+                yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+
+        docs = map_batches(docs, run, docs.schema)
+    return docs
+
+
 _SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"
 ORACLE = f"""WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(len(w), {WINDOW}) AS k FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),

@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, with all their columns; repeated rows once."""
-    stay = near_duplicates(docs, threshold).where("stays").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")).distinct()
-    keyed = docs.withColumn("k_text", text_hash())
-    on = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_key"))
-    return keyed.join(stay, on, "left_semi").dropDuplicates(["doc_id", "k_text"]).drop("k_text")
+    stay = near_duplicates(docs, threshold).where("stays").select(F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key")).distinct()
+    keyed = docs.withColumn("_near_key", text_hash())
+    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stay_id")) & (F.col("_near_key") == F.col("_stay_key"))
+    return keyed.join(stay, on, "left_semi").dropDuplicates(["doc_id", "_near_key"]).drop("_near_key")

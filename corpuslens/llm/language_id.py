@@ -24,6 +24,7 @@ SAMPLE_PER_LANGUAGE = 1500  #: labelled rows per language that weights and tempe
 MOST_LANGUAGES = 200  #: the most frequent languages are learned
 CALIBRATION = 5  #: every fifth row of the sample fits the temperature
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.5, 1.0
+LEAST_SCORE = 0.5  #: documents below it count as of unknown language when a corpus is filtered
 UNKNOWN = "und"
 CHUNK = 1 << 16  #: bytes of a text handled at a time
 _STEP = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -201,6 +202,19 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     return map_batches(rows, run, f"{schema}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The documents with a known language, with all their columns: neither ``und`` nor below the score."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.idf, model.divisor))
+
+    def run(batches):
+        known = Model(*shipped.value)
+        for batch in batches:
+            found = [known.predict(t) for t in as_bytes(batch.column("text"))]
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least_score for name, score in found], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def language_of_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 

@@ -29,7 +29,7 @@ def word_count(text: Column) -> Column:
 
 
 def sized_lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source, size and start: the place of a document on the line of its source.
+    """row, doc_id, text_key, source, size and start: the place of a document on the line of its source.
     ``row`` tells repeated rows apart; it is written once and never computed again."""
     sized = cut_lineage(
         docs.select(
@@ -45,7 +45,7 @@ def sized_lines(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     at = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(
         sums.alias("b"), F.expr("d.source <=> b.source AND d.bucket = b.bucket"))
-    return at.select("d.row", "d.doc_id", "d.source", "d.size", (F.col("before") + F.col("inside")).alias("start"))
+    return at.select("d.row", "d.doc_id", "d.text_key", "d.source", "d.size", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def source_targets(lines: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUNDS) -> DataFrame:
@@ -116,7 +116,7 @@ def mixed_pieces(lines: DataFrame, targets: DataFrame, plan: DataFrame, words: i
 
 def planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(lines, targets, schedule, words of a block) of a corpus."""
-    lines = cut_lineage(sized_lines(docs), "lines")
+    lines = sized_lines(docs)  # from the written sizes; narrow rows, whose exchange is shared
     targets = cut_lineage(source_targets(lines), "targets")
     total, words = block_words(targets)
     return lines, targets, schedule(targets, total, words), words
@@ -136,6 +136,18 @@ def mix(docs: DataFrame) -> DataFrame:
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as its first word is scheduled
+    (0 to ``ROUNDS`` times). Repeated rows share their number, rounded; a document without words isn't taken."""
+    lines, targets, plan, words = planned(docs)
+    pieces = mixed_pieces(lines, targets, plan, words).where("skip = 0").groupBy("row").agg(F.count("*").alias("times"))
+    times = lines.join(pieces, "row", "left").groupBy(F.col("doc_id").alias("_mix_id"), F.col("text_key").alias("_mix_key")).agg(
+        F.round(F.sum(F.coalesce("times", F.lit(0))) / F.count("*")).cast("int").alias("_mix_times")).where("_mix_times > 0")
+    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_text") == F.col("_mix_key"))
+    rows = docs.withColumn("_mix_text", text_hash()).join(times, on)
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[F.col(c) for c in docs.columns])
+
+
 ORACLE = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
 l AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
