@@ -187,7 +187,7 @@ def test_decontamination(spark, messy, part_bytes, monkeypatch):
     for r in hits:
         for run in r["runs"] if r["doc_id"] in texts else ():
             part = texts[r["doc_id"]][run["start"]:run["end"]]
-            assert len(plain_words(part)) == run["last"] - run["first"] and WORD.fullmatch(part[0]) and WORD.fullmatch(part[-1])
+            assert len(plain_words(part)) == run["last"] - run["first"] and plain_words(part[0]) and plain_words(part[-1])
     clean = decontaminate.clean_documents(messy, bench, part_bytes=part_bytes)
     assert clean.columns == messy.columns
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(r["doc_id"] for r in hits if not r["n_hit"])
