@@ -19,7 +19,7 @@ def claimed_path_pattern(bounded: bool = False) -> str:
     """
     exts = sorted(fixed.CLAIM_EXTS, key=len, reverse=True) if bounded else fixed.CLAIM_EXTS
     tail = r"\b" if bounded else ""
-    return r"(?:^|[\s│├└─`(])((?:[\w\-]+/){1,}[\w\-]+\.(?:" + "|".join(exts) + ")" + tail + ")"
+    return r"(?:^|[\s│├└─`(])((?:[\p{L}\p{N}_\-]+/){1,}[\p{L}\p{N}_\-]+\.(?:" + "|".join(exts) + ")" + tail + ")"
 
 
 def file_claims(bounded: bool = False) -> Column:

@@ -230,24 +230,21 @@ def debt_report_sections(files: DataFrame, findings: DataFrame) -> DataFrame:
             F.lit("\n- ... and "), F.col("more").cast("string"), F.lit(" more"))).otherwise(""), F.lit("\n"))).alias("content"))
 
 
-def leak_report_sections(findings: DataFrame, shown: int = 100) -> DataFrame:
-    """(project, content): urgent leaks. Up to ``shown`` lines per severity are displayed and the
-    rest is given as a number; the findings table itself is complete."""
-    place = F.concat("path", F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")))
-    order = ["path", "line", "message"]
-
-    def block(severity: str, name: str, item: Column) -> DataFrame:
-        rows = findings.filter(F.col("severity") == severity)
-        return listed(rows, name, order, item, shown).join(
-            rows.groupBy("project").agg(F.greatest(F.count("*") - shown, F.lit(0)).alias(f"{name}_more")), "project")
+def leak_report_pages(findings: DataFrame, lines_per_page: int = 100) -> DataFrame:
+    """(project, severity, page, content): all critical and high leaks, in pages of bounded size.
 
-    rest = lambda n: F.when(F.col(n) > 0, F.concat(F.lit("\n- ... and "), F.col(n).cast("string"), F.lit(" more"))).otherwise("")
-    crit = block("critical", "crit", F.concat(F.lit("- **"), "message", F.lit("** (`"), place, F.lit("`)")))
-    high = block("high", "high", F.concat(F.lit("- "), "message", F.lit(" (`"), place, F.lit("`)")))
-    rows = findings.select("project").distinct().join(crit, "project", "left").join(high, "project", "left")
-    return rows.select("project", _text(
-        "## Security", "", F.concat(F.lit("### Critical Issues\n\n"), "crit", rest("crit_more"), F.lit("\n")),
-        F.concat(F.lit("### High Priority\n\n"), "high", rest("high_more"), F.lit("\n"))).alias("content"))
+    The pages of a project, critical ones first and in order, are its security section; the first
+    page of a severity begins with its heading."""
+    place = F.concat("path", F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")))
+    critical = F.col("severity") == "critical"
+    item = F.when(critical, F.concat(F.lit("- **"), "message", F.lit("** (`"), place, F.lit("`)"))).otherwise(
+        F.concat(F.lit("- "), "message", F.lit(" (`"), place, F.lit("`)")))
+    rank = F.row_number().over(Window.partitionBy("project", "severity").orderBy("path", F.col("line").asc_nulls_first(), "message"))
+    rows = findings.filter(F.col("severity").isin("critical", "high")).withColumn("rank", rank)
+    rows = rows.withColumn("page", F.floor((F.col("rank") - 1) / lines_per_page) + 1)
+    pages = rows.groupBy("project", "severity", "page").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("items"))
+    heading = F.when(F.col("page") > 1, "").when(critical, "### Critical Issues\n\n").otherwise("### High Priority\n\n")
+    return pages.select("project", "severity", "page", F.concat(heading, F.array_join(F.transform("items", lambda i: i["item"]), "\n")).alias("content"))
 
 
 def health_sections(health: DataFrame, workflows: DataFrame, releases: DataFrame) -> DataFrame:

@@ -11,15 +11,16 @@ from corpuslens.operators import inventory as inv
 CLASS_EXTS = (".py", ".ts", ".tsx", ".js", ".jsx", ".rs")
 ROUTE_EXTS = (".py", ".ts", ".js")
 ENUM_EXTS = (".py", ".ts", ".rs")
-CLASS_NAME = r"\bclass\s+(\w+)"
-STRUCT_NAME = r"\b(?:struct|enum)\s+(\w+)"
+CLASS_NAME = r"\bclass\s+([\p{L}\p{N}_]+)"
+STRUCT_NAME = r"\b(?:struct|enum)\s+([\p{L}\p{N}_]+)"
 ROUTE = r"""(?:app|router)\.\s*(?:get|post|put|patch|delete)\s*\(\s*["']([^"']+)"""
-CONSTANT = r"""(\w+)\s*=\s*(?:auto\(\)|['"])"""
-ENUM_NAME = r"\benum\s+(\w+)"
+CONSTANT = r"""([\p{L}\p{N}_]+)\s*=\s*(?:auto\(\)|['"])"""
+ENUM_NAME = r"\benum\s+([\p{L}\p{N}_]+)"
 ACRONYM = r"\b([A-Z]{2,})\b"
 PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 COMMON_ACRONYMS = ("README", "TODO", "NOTE", "API", "URL", "HTTP", "CLI")
 README_NAMES = ("README.md", "README.rst", "README.txt", "README")
+BODY_CHARS = 100
 COMMENT_MARKERS = (
     r"(?d)#\s*(TODO|FIXME|HACK|NOTE|XXX)[\s:]+(.+)",
     r"(?d)//\s*(TODO|FIXME|HACK|NOTE|XXX)[\s:]+(.+)",
@@ -30,14 +31,11 @@ def _all(pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
 
 
-def alphabetical_top(terms: DataFrame, n: int) -> DataFrame:
-    """Distinct terms per project, first ``n`` by name. Distinct and rank both shrink their
-    input before the shuffle."""
+def alphabetical_top(terms: DataFrame, n: int | None = None) -> DataFrame:
+    """Distinct terms per project with their position by name; ``n`` keeps the first of a display."""
     order = Window.partitionBy("project").orderBy("term")
-    return (
-        terms.distinct().withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= n)
-    )
+    ranked = terms.distinct().withColumn("position", F.row_number().over(order))
+    return ranked if n is None else ranked.filter(F.col("position") <= n)
 
 
 def class_terms() -> Column:
@@ -47,7 +45,7 @@ def class_terms() -> Column:
     return F.filter(F.array_distinct(names), lambda x: F.length(x) > 2)
 
 
-def class_names(files: DataFrame, n: int = 30) -> DataFrame:
+def class_names(files: DataFrame, n: int | None = None) -> DataFrame:
     rows = files.filter(suffix("path").isin(*CLASS_EXTS))
     return alphabetical_top(rows.select("project", F.explode(class_terms()).alias("term")), n)
 
@@ -61,14 +59,14 @@ def first_readme(files: DataFrame) -> DataFrame:
     )
 
 
-def readme_terms(files: DataFrame, n: int = 20) -> DataFrame:
+def readme_terms(files: DataFrame, n: int | None = None) -> DataFrame:
     acronyms = F.filter(_all(ACRONYM), lambda x: ~x.isin(*COMMON_ACRONYMS))
     phrases = F.transform(_all(PHRASE), lambda x: F.regexp_replace(x, r"\s+", " "))
     terms = first_readme(files).select("project", F.explode(F.concat(acronyms, phrases)).alias("term"))
     return alphabetical_top(terms, n)
 
 
-def route_paths(files: DataFrame, n: int = 30) -> DataFrame:
+def route_paths(files: DataFrame, n: int | None = None) -> DataFrame:
     rows = files.filter(suffix("path").isin(*ROUTE_EXTS))
     return alphabetical_top(rows.select("project", F.explode(_all(ROUTE)).alias("term")), n)
 
@@ -78,8 +76,8 @@ def enum_variants(text: Column) -> Column:
     state = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("names"))
 
     def step(acc: Column, line: Column) -> Column:
-        opens = line.rlike(r"^enum\s+\w+")
-        word = F.regexp_extract(line, r"^\s+(\w+)", 1)
+        opens = line.rlike(r"^enum\s+[\p{L}\p{N}_]+")
+        word = F.regexp_extract(line, r"^\s+([\p{L}\p{N}_]+)", 1)
         add = acc["inside"] & ~opens & word.rlike(r"^[A-Z]")
         return F.struct(
             F.when(opens, F.lit(True)).when(acc["inside"] & F.contains(line, F.lit("}")), F.lit(False))
@@ -98,7 +96,7 @@ def constant_terms() -> Column:
     return F.array_distinct(F.concat(constants, _all(ENUM_NAME), enum_variants(F.col("text"))))
 
 
-def constant_names(files: DataFrame, n: int = 20) -> DataFrame:
+def constant_names(files: DataFrame, n: int | None = None) -> DataFrame:
     rows = files.filter(suffix("path").isin(*ENUM_EXTS))
     return alphabetical_top(rows.select("project", F.explode(constant_terms()).alias("term")), n)
 
@@ -130,8 +128,9 @@ def vocabulary(files: DataFrame, limits: dict[str, int]) -> DataFrame:
     )
 
 
-def marker_comments(files: DataFrame, n: int = 30) -> DataFrame:
-    """Marker comments with type, text and file: ``#`` comments of a file first, then ``//``."""
+def marker_comments(files: DataFrame, n: int | None = None, body_chars: int = BODY_CHARS) -> DataFrame:
+    """Marker comments with type, text (its first ``body_chars``) and file: ``#`` comments of a file
+    first, then ``//``. ``n`` keeps the first of a display."""
     rows = files.filter(inv.language_of(suffix("path")).isNotNull())
 
     def found(i: int, pattern: str) -> Column:
@@ -140,14 +139,12 @@ def marker_comments(files: DataFrame, n: int = 30) -> DataFrame:
             pairs,
             lambda p, j: F.struct(
                 F.lit(i).alias("pass_no"), j.alias("at"), p["kind"].alias("kind"),
-                F.substring(strip(p["body"]), 1, 100).alias("body"),
+                F.substring(strip(p["body"]), 1, body_chars).alias("body"),
             ),
         )
 
     every = F.concat(*[found(i, p) for i, p in enumerate(COMMENT_MARKERS)])
     order = Window.partitionBy("project").orderBy(path_key("path"), "pass_no", "at")
-    return (
-        rows.select("project", "path", F.inline(every))
-        .withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
-        .select("project", "position", "kind", "body", "path")
-    )
+    ranked = rows.select("project", "path", F.inline(every)).withColumn("position", F.row_number().over(order))
+    kept = ranked if n is None else ranked.filter(F.col("position") <= n)
+    return kept.select("project", "position", "kind", "body", "path")

@@ -9,15 +9,19 @@ from corpuslens.functions.text import strip
 from corpuslens.operators.ranking import carried
 
 ITEMS_PER_BUCKET = 100_000
+# ---- Fixed values: how much of an error text makes its signature and its example -----
+SIGNATURE_INPUT_CHARS = 400
+SIGNATURE_CHARS = 160
+EXAMPLE_CHARS = 200
 
 
-def error_signature(text: Column) -> Column:
-    """Error text without paths, hex ids and numbers. The order of replacements matters: a
+def error_signature(text: Column, read: int = SIGNATURE_INPUT_CHARS, kept: int = SIGNATURE_CHARS) -> Column:
+    """Start of an error text without paths, hex ids and numbers. The order of replacements matters: a
     number of eight or more digits counts as a hex id."""
-    out = F.substring(strip(text), 1, 400)
+    out = F.substring(strip(text), 1, read)
     for pattern, placeholder in fixed.ERROR_NOISE:
         out = F.regexp_replace(out, pattern, placeholder)
-    return F.substring(out, 1, 160)
+    return F.substring(out, 1, kept)
 
 
 def paired_errors(items: DataFrame, cwd_prefix: str | None = None) -> DataFrame:
@@ -38,7 +42,7 @@ def paired_errors(items: DataFrame, cwd_prefix: str | None = None) -> DataFrame:
     return errors.select(
         "session", "pos", "item_no", "tool_id", F.coalesce("call_tool", F.lit("?")).alias("tool"),
         F.col("call_cwd").alias("cwd"), error_signature(F.col("text")).alias("signature"),
-        F.substring("text", 1, 200).alias("example"),
+        F.substring("text", 1, EXAMPLE_CHARS).alias("example"),
     ).filter(F.col("signature") != "")
 
 

@@ -180,14 +180,14 @@ def reality_report(spark, sf_dir):
 
 
 @query("fleet_report", "E4 O2 P14", f"""WITH {CHECKS_SQL.replace(TOOLS_SQL, TOOLS_SQL)}, {AUDIT_CTES.replace(TOOLS_SQL + ', ', '')}, {REPORT_SQL}, {REALITY_SQL}
-SELECT project, path, score, missing_sections, reality_score FROM report JOIN reality USING (project, path) WHERE score >= 10 ORDER BY score, project, path LIMIT 50""", "corpus contexts")
+SELECT project, path, score, missing_sections, reality_score FROM report JOIN reality USING (project, path) ORDER BY score, project, path""", "corpus contexts")
 def fleet_report(spark, sf_dir):
     contexts = _ctx(spark, sf_dir)
     report = audit.audit_report(contexts, _audit(spark, sf_dir))
     reality = claims.reality_report(contexts, _checks(spark, sf_dir))
     joined = report.select("project", "path", "score", "missing_sections").join(
         reality.select("project", "path", "reality_score"), ["project", "path"])
-    return joined.filter(F.col("score") >= 10).orderBy("score", "project", "path").limit(50)
+    return joined.orderBy("score", "project", "path")
 
 
 @query("fleet_summary", "A37", f"WITH {AUDIT_CTES}, {REPORT_SQL} SELECT count(*) AS documents, avg(score) AS mean_score, count_if(score < 70) AS below_70 FROM report", "corpus contexts")

@@ -329,13 +329,13 @@ def priority_items(spark, sf_dir):
 
 
 @query("fleet_leak_ranking", "P14 O2 U1 A5", f"""WITH {LEAK_CTES}, markers AS ({MARKER_SQL}), both_packs AS (SELECT * FROM leaks UNION ALL SELECT * FROM markers),
-s AS ({SCORE_SQL.format('both_packs')}) SELECT * FROM s WHERE score >= 0 ORDER BY score, project LIMIT 15""", "corpus")
+s AS ({SCORE_SQL.format('both_packs')}) SELECT * FROM s ORDER BY score, project""", "corpus")
 def fleet_leak_ranking(spark, sf_dir):
     """Flagship: every line, leak and marker packs, scored, clean projects kept, worst first."""
     files = _corpus(spark, sf_dir)
     packs = [token_pack(), detect.debt_packs()["markers"]]
     found = detect.leak_findings(files, packs, _paths(spark, sf_dir))
-    return detect.worst_first(detect.scored_projects(view(spark, sf_dir, "corpus", "project"), found), n=15)
+    return detect.worst_first(detect.scored_projects(view(spark, sf_dir, "corpus", "project"), found))
 
 
 @query("detector_registry", "UDF2", f"""WITH {LEAK_CTES.replace(f'({TOKEN_SQL}) UNION ALL ', '')}, {STARTS_SQL}, {DEFS_SQL}, debt AS ({DEBT_SQL})

@@ -144,18 +144,18 @@ def debt_report_sections(spark, sf_dir):
 
 
 _LEAK_TEXT_SQL = f"""WITH {LEAK_CTES.replace(f'({TOKEN_SQL}) UNION ALL ', '')},
-n AS (SELECT *, row_number() OVER (PARTITION BY project, severity ORDER BY path, line NULLS FIRST, message) AS r, path || coalesce(':' || line, '') AS place FROM leaks WHERE severity IN ('critical', 'high')),
-t AS (SELECT project, severity, string_agg(CASE severity WHEN 'critical' THEN '- **' || message || '** (`' || place || '`)' ELSE '- ' || message || ' (`' || place || '`)' END, chr(10) ORDER BY r) FILTER (r <= 100) AS body,
- CASE WHEN count(*) > 100 THEN chr(10) || '- ... and ' || (count(*) - 100) || ' more' ELSE '' END AS rest FROM n GROUP BY ALL)
-SELECT p.project, {_lines_sql("'## Security'", "''", "'### Critical Issues' || chr(10) || chr(10) || c.body || c.rest || chr(10)", "'### High Priority' || chr(10) || chr(10) || h.body || h.rest || chr(10)")} AS content
-FROM (SELECT DISTINCT project FROM leaks) p LEFT JOIN t c ON c.project = p.project AND c.severity = 'critical' LEFT JOIN t h ON h.project = p.project AND h.severity = 'high'"""
+n AS (SELECT *, row_number() OVER (PARTITION BY project, severity ORDER BY path, line NULLS FIRST, message) AS r, path || coalesce(':' || line, '') AS place FROM leaks WHERE severity IN ('critical', 'high'))
+SELECT project, severity, (r - 1) // 100 + 1 AS page,
+ CASE WHEN min(r) > 1 THEN '' WHEN severity = 'critical' THEN '### Critical Issues' || chr(10) || chr(10) ELSE '### High Priority' || chr(10) || chr(10) END ||
+ string_agg(CASE severity WHEN 'critical' THEN '- **' || message || '** (`' || place || '`)' ELSE '- ' || message || ' (`' || place || '`)' END, chr(10) ORDER BY r) AS content
+FROM n GROUP BY project, severity, (r - 1) // 100"""
 
 
 @query("leak_report_sections", "F21 E9", _LEAK_TEXT_SQL, "corpus")
 def leak_report_sections(spark, sf_dir):
     names = view(spark, sf_dir, "corpus", "project", "path")
     findings = cut_lineage(detect.leak_findings(_corpus(spark, sf_dir), names=names), "leaks")
-    return documents.leak_report_sections(findings)
+    return documents.leak_report_pages(findings)
 
 
 _HEALTH_TEXT_SQL = f"""WITH h AS ({ORACLES['health_report']}), w AS ({ORACLES['workflow_state']}), l AS ({ORACLES['release_state']})

@@ -78,11 +78,11 @@ def line_length_p95(spark, sf_dir):
     return style.line_length_p95(_corpus(spark, sf_dir))
 
 
-def _terms_sql(where: str, *lists: str, limit: int, also: str = "true", text: str = "files", ctes: str = "") -> str:
+def _terms_sql(where: str, *lists: str, limit: int | None = None, also: str = "true", text: str = "files", ctes: str = "") -> str:
     unions = " UNION ".join(f"SELECT project, unnest({lst}) AS term FROM {text} WHERE {where}" for lst in lists)
     return (
         f"WITH {FILES_SQL}{ctes}, t AS ({unions}), r AS (SELECT project, term, row_number() OVER (PARTITION BY project ORDER BY term) AS position FROM (SELECT DISTINCT * FROM t) WHERE {also}) "
-        f"SELECT * FROM r WHERE position <= {limit}"
+        f"SELECT * FROM r{'' if limit is None else f' WHERE position <= {limit}'}"
     )
 
 
@@ -92,34 +92,34 @@ def _x(p: str) -> str:
 
 @query("class_names", "X10 W6", _terms_sql(
     f"ext IN ({sql_list(facts.CLASS_EXTS)})", f"list_filter({_x(facts.CLASS_NAME)}, lambda x: NOT starts_with(x, '_'))",
-    _x(facts.STRUCT_NAME), limit=30, also="length(term) > 2"), "corpus")
+    _x(facts.STRUCT_NAME), also="length(term) > 2"), "corpus")
 def class_names(spark, sf_dir):
     return facts.class_names(_corpus(spark, sf_dir))
 
 
 @query("readme_terms", "X11 W6", _terms_sql(
     "true", f"list_filter({_x(facts.ACRONYM)}, lambda x: NOT list_contains([{sql_list(facts.COMMON_ACRONYMS)}], x))",
-    f"list_transform({_x(facts.PHRASE)}, lambda x: regexp_replace(x, '\\s+', ' ', 'g'))", limit=20, text="readme",
+    f"list_transform({_x(facts.PHRASE)}, lambda x: regexp_replace(x, '\\s+', ' ', 'g'))", text="readme",
     ctes=", readme AS (SELECT project, regexp_replace(text, '[À-ÖØ-öø-ÿœŒ]', '_', 'g') AS text FROM files WHERE path = 'README.md')"), "corpus")
 def readme_terms(spark, sf_dir):
     return facts.readme_terms(_corpus(spark, sf_dir))
 
 
-@query("route_paths", "X12 W6", _terms_sql(f"ext IN ({sql_list(facts.ROUTE_EXTS)})", _x(facts.ROUTE), limit=30), "corpus")
+@query("route_paths", "X12 W6", _terms_sql(f"ext IN ({sql_list(facts.ROUTE_EXTS)})", _x(facts.ROUTE)), "corpus")
 def route_paths(spark, sf_dir):
     return facts.route_paths(_corpus(spark, sf_dir))
 
 
 @query("constant_names", "X13 W6", f"""
 WITH {FILES_SQL}, {LINES_SQL},
-o AS (SELECT *, coalesce(max(CASE WHEN regexp_matches(line, '^enum\\s+\\w+') THEN n END) OVER w, 0) AS opened,
- coalesce(max(CASE WHEN contains(line, '}}') AND NOT regexp_matches(line, '^enum\\s+\\w+') THEN n END) OVER (PARTITION BY project, path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed
+o AS (SELECT *, coalesce(max(CASE WHEN regexp_matches(line, '^enum\\s+[\\p{{L}}\\p{{N}}_]+') THEN n END) OVER w, 0) AS opened,
+ coalesce(max(CASE WHEN contains(line, '}}') AND NOT regexp_matches(line, '^enum\\s+[\\p{{L}}\\p{{N}}_]+') THEN n END) OVER (PARTITION BY project, path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed
  FROM lines WHERE ext IN ('.py', '.ts', '.rs') WINDOW w AS (PARTITION BY project, path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT project, unnest(list_filter({_x(facts.CONSTANT)}, lambda x: x = upper(x) AND regexp_matches(x, '[A-Z]') AND length(x) > 2)) AS term FROM files WHERE ext IN ('.py', '.ts', '.rs')
  UNION SELECT project, unnest({_x(facts.ENUM_NAME)}) FROM files WHERE ext IN ('.py', '.ts', '.rs')
- UNION SELECT project, regexp_extract(line, '^\\s+(\\w+)', 1) FROM o WHERE opened > closed AND opened > 0 AND NOT regexp_matches(line, '^enum\\s+\\w+') AND regexp_matches(regexp_extract(line, '^\\s+(\\w+)', 1), '^[A-Z]')),
+ UNION SELECT project, regexp_extract(line, '^\\s+([\\p{{L}}\\p{{N}}_]+)', 1) FROM o WHERE opened > closed AND opened > 0 AND NOT regexp_matches(line, '^enum\\s+[\\p{{L}}\\p{{N}}_]+') AND regexp_matches(regexp_extract(line, '^\\s+([\\p{{L}}\\p{{N}}_]+)', 1), '^[A-Z]')),
 r AS (SELECT project, term, row_number() OVER (PARTITION BY project ORDER BY term) AS position FROM (SELECT DISTINCT * FROM t))
-SELECT * FROM r WHERE position <= 20""", "corpus")
+SELECT * FROM r""", "corpus")
 def constant_names(spark, sf_dir):
     return facts.constant_names(_corpus(spark, sf_dir))
 
@@ -133,6 +133,6 @@ WITH {FILES_SQL}, m AS (""" + " UNION ALL ".join(
     f"(SELECT project, path, regexp_extract_all(text, {_s(p)}, 1) AS k, regexp_extract_all(text, {_s(p)}, 2) AS b FROM files WHERE lang IS NOT NULL)"
     for i, p in enumerate(_MARK)) + f"""),
 r AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY {KEY_SQL}, pass_no, idx) AS position, kind, substr(trim(body, ' ' || chr(9)), 1, 100) AS body, path FROM m)
-SELECT * FROM r WHERE position <= 30""", "corpus")
+SELECT * FROM r""", "corpus")
 def marker_comments(spark, sf_dir):
     return facts.marker_comments(_corpus(spark, sf_dir))

@@ -75,9 +75,9 @@ def path_flags(spark, sf_dir):
 
 @query("kept_files", "P2 P3", f"""
 SELECT project, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM corpus
-WHERE NOT {EXCLUDED_SQL} AND strlen(text) <= 8 * 1024 GROUP BY project""", "corpus")
+WHERE NOT {EXCLUDED_SQL} AND strlen(text) <= 500 * 1024 GROUP BY project""", "corpus")
 def kept_files(spark, sf_dir):
-    files = inv.drop_oversize(inv.drop_excluded(view(spark, sf_dir, "corpus")), max_kb=8)
+    files = inv.drop_oversize(inv.drop_excluded(view(spark, sf_dir, "corpus")))
     return files.groupBy("project").agg(
         F.count("*").alias("n_files"), F.sum(F.octet_length("text")).alias("n_bytes"))
 

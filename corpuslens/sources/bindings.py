@@ -513,16 +513,12 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table of the driver.
 
-    A text table stored as fewer row groups than there are cores is spread by a round-robin
-    repartition, because the text work behind it is far heavier than the move. Input that
-    already has a partition per core, i.e. any large one, is left alone.
+    A table written as one row group is read by one task. ``spark.corpuslens.textPartitions`` names a
+    number of partitions over which text tables are then spread; unset, they are read as they are.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    partitions = spark.conf.get("spark.corpuslens.textPartitions", None)
+    return df.repartition(int(partitions)) if partitions and name in TEXT_TABLES else df
 
 
 # columns of a view that are long expressions: computed once per row, see ``opaque``
@@ -546,23 +542,16 @@ def opaque(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*rest, made).select(*df.columns)
 
 
-# analysed plans (no data) of views already asked for in this application
-_PLANS: dict[tuple, DataFrame] = {}
-
-
 def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A derived view over the base tables in ``sf_dir``; ``columns`` restricts it at the
     source, so that texts are not read when only names are needed."""
-    key = (spark._jsparkSession.sessionUUID(), sf_dir, name, columns)
-    if key not in _PLANS:
-        for base in VIEWS[name][0]:
-            table(spark, sf_dir, base).createOrReplaceTempView(base)
-        df = spark.sql(_body(name, "spark"))
-        if columns:
-            df = df.select(*columns)
-        computed = [c for c in COMPUTED.get(name, ()) if c in df.columns]
-        _PLANS[key] = opaque(df, *computed) if computed else df
-    return _PLANS[key]
+    for base in VIEWS[name][0]:
+        table(spark, sf_dir, base).createOrReplaceTempView(base)
+    df = spark.sql(_body(name, "spark"))
+    if columns:
+        df = df.select(*columns)
+    computed = [c for c in COMPUTED.get(name, ()) if c in df.columns]
+    return opaque(df, *computed) if computed else df
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,21 +11,26 @@ from corpuslens.functions.text import glob_regex
 def read_corpus(
     spark: SparkSession, root: str, max_kb: int = 500, globs=fixed.EXCLUDE_GLOBS, glob_filter: str | None = None
 ) -> DataFrame:
-    """Recursive read of ``root/<project>/...``.
+    """Recursive read of ``root/<project>/...``: project, path, text, size_bytes, skipped.
 
-    The size limit is a filter on ``length``, which Spark applies before it opens a file.
-    Binary files (a zero byte in the first 8192) keep a null text.
+    Files above the size limit are not opened: the limit is a filter on ``length``, which Spark
+    applies before it reads. They stay as rows with a null text and ``skipped`` = ``oversize``.
+    Binary files (a zero byte in the first 8192) have a null text and ``skipped`` = ``binary``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob_filter:
         reader = reader.option("pathGlobFilter", glob_filter)
-    rows = reader.load(root).filter(F.col("length") <= max_kb * 1024)
+    found = reader.load(root)
+    limit = max_kb * 1024
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     below = F.substring_index(F.col("path"), f"{base}/", -1)
     binary = F.contains(F.substring(F.col("content"), 1, 8192), F.lit(bytearray(b"\x00")))
-    named = rows.select(
-        F.substring_index(below, "/", 1).alias("project"), F.regexp_replace(below, "^[^/]+/", "").alias("path"),
-        F.when(~binary, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"),
-        F.col("length").alias("size_bytes"),
+    names = (F.substring_index(below, "/", 1).alias("project"), F.regexp_replace(below, "^[^/]+/", "").alias("path"))
+    read = found.filter(F.col("length") <= limit).select(
+        *names, F.when(~binary, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"),
+        F.col("length").alias("size_bytes"), F.when(binary, "binary").alias("skipped"),
     )
+    skipped = found.filter(F.col("length") > limit).select(
+        *names, F.lit(None).cast("string").alias("text"), F.col("length").alias("size_bytes"), F.lit("oversize").alias("skipped"))
+    named = read.unionByName(skipped)
     return named.filter(~F.col("path").rlike(glob_regex(tuple(globs))))

@@ -250,8 +250,9 @@ def test_read_corpus(spark, tmp_path):
     put("p1/node_modules/x.js", b"1")
     put("p2/big.txt", b"x" * 2048)
     df = file_source.read_corpus(spark, str(tmp_path), max_kb=1)
-    assert rows(df, "project", "path", "text", "size_bytes") == [
-        ("p1", "bad.txt", "caf�\n", 5), ("p1", "bin.dat", None, 3), ("p1", "src/a.py", "x\ny\n", 4)]
+    assert rows(df, "project", "path", "text", "size_bytes", "skipped") == [
+        ("p1", "bad.txt", "caf�\n", 5, None), ("p1", "bin.dat", None, 3, "binary"), ("p1", "src/a.py", "x\ny\n", 4, None),
+        ("p2", "big.txt", None, 2048, "oversize")]
 
 
 def test_suite_files(spark, tmp_path):

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.columns[0] == "project" and df.count() == 15
+    assert df.columns[0] == "project" and df.count() == 20
 
 
 def test_every_check_sql_belongs_to_a_query():
