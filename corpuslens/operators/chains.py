@@ -15,13 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuslens.functions import fixed
-from corpuslens.session import cut_lineage, ship_with_tasks
+from corpuslens.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 _LONG_AGO = -(1 << 62)
+HOPS_PER_BUCKET = 4  #: width of a bucket of session uses, in shortest renewal gaps
 
 
 def _exits(times: np.ndarray, hop: int) -> np.ndarray:
@@ -159,30 +160,21 @@ def session_renewals(
     rejected_from).
 
     A session is issued at its first use and lives ``ttl``. A use with less than
-    ``renew_under`` left renews it; a use at or after the expiry is rejected for good. Each
-    round finds, for all sessions at once, the next use behind ``renewal + ttl - renew_under``
-    with a partial minimum, so a hot token is no hot task. Rounds are bounded by the time span
-    over the shortest renewal gap, and no round is run without open sessions.
+    ``renew_under`` left renews it; a use at or after the expiry is rejected for good. Up to the
+    rejection the renewals are the greedy chain of uses more than ``ttl - renew_under`` apart, so the
+    plan is the same for every time span; a token has one row per renewal left when the first gap
+    of ``ttl`` is looked for.
     """
     ttl, hop = ttl_seconds * 1_000_000, (ttl_seconds - renew_under_seconds) * 1_000_000
-    log = uses.select("token", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    span = log.agg((F.max("t") - F.min("t")).alias("s")).first()["s"] or 0
-    state = log.groupBy("token").agg(F.min("t").alias("issued")).select(
-        "token", "issued", F.col("issued").alias("at"), F.lit(0).alias("renewals"),
-        F.lit(None).cast("bigint").alias("rejected"))
-    for _ in range(int(span // hop)):
-        following = (
-            log.join(state.filter(F.col("rejected").isNull()).select("token", "at"), "token")
-            .filter(F.col("t") > F.col("at") + hop).groupBy("token").agg(F.min("t").alias("_next"))
-        )
-        late = F.col("_next") >= F.col("at") + ttl
-        state = state.join(following, "token", "left").select(
-            "token", "issued", F.when(F.col("_next").isNotNull() & ~late, F.col("_next")).otherwise(F.col("at")).alias("at"),
-            (F.col("renewals") + F.coalesce((~late).cast("int"), F.lit(0))).alias("renewals"),
-            F.coalesce("rejected", F.when(late, F.col("_next"))).alias("rejected"),
-        )
-        # each round reads the state twice: without a cut the plan would double per round
-        state = cut_lineage(state, "sessions")
+    log = uses.select(F.col("token").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    kept = chain_times(log, hop, HOPS_PER_BUCKET * hop)
+    token = Window.partitionBy("key")
+    late = F.col("t") - F.lag("t").over(token.orderBy("t")) >= ttl
+    rejected = F.min(F.when(F.col("late"), F.col("t"))).over(token)
+    rows = kept.withColumn("late", late).withColumn("rejected", rejected)
+    alive = F.when(F.col("rejected").isNull() | (F.col("t") < F.col("rejected")), F.col("t"))
+    state = rows.groupBy(F.col("key").alias("token")).agg(
+        F.min("t").alias("issued"), F.max(alive).alias("at"), (F.count(alive) - 1).cast("int").alias("renewals"), F.min("rejected").alias("rejected"))
     return state.select(
         "token", F.timestamp_micros("issued").alias("issued_at"), "renewals",
         F.timestamp_micros("at").alias("last_renewal"), F.timestamp_micros(F.col("at") + ttl).alias("expires_at"),

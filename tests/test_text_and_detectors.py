@@ -8,6 +8,7 @@ import re
 from pathlib import PurePosixPath
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -15,7 +16,7 @@ from corpuslens.functions import fixed
 from corpuslens.functions.json_text import holds_json, strict_json
 from corpuslens.functions.rules import Rule, first_match
 from corpuslens.functions.text import explode_lines, glob_regex, line_total, matches_with_line, suffix
-from corpuslens.operators import detect, facts, inventory, style
+from corpuslens.operators import detect, facts, harvest, inventory, style
 
 TEXTS = [
     "a\nb\n", "a\nb", "\n", "\n\n", "x\r\ny\r\n", "x\ry", "a\x0bb\x0cc", "a\x1cb\x1dc\x1e", "p\x85q r ",
@@ -43,7 +44,7 @@ def test_match_lines_equal_finditer(spark, pattern):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {i: [tuple(m) for m in found] for i, found in rows(df.select("i", matches_with_line("t", "(?md)" + pattern)))}
     for i, t in enumerate(texts):
-        want = [(t[: m.start()].count("\n") + 1, m.group(0)) for m in re.finditer(pattern, t, re.M)]
+        want = [(t[: m.start()].count("\n") + 1, m.group(0)) for m in regex.finditer(pattern, t, regex.M)]
         assert got[i] == want, repr(t)
 
 
@@ -110,6 +111,25 @@ def test_leaks_and_suppression(files):
     assert [g for g in got if g[3] == "low"] == [("a-task/take_home.md", None, "strategy_docs", "low")]
 
 
+def test_all_leaks_are_reported_in_pages(files):
+    from corpuslens.operators import documents
+
+    tree = {"a.yml": "".join(f"password: 'hunter{i:04d}'\n" for i in range(300)), "b.yml": "url: postgres://ü:p@h/d\n"}
+    pages = rows(documents.leak_report_pages(detect.leak_findings(files({"p": tree}))), "severity", "page", "content")
+    high = [c for s, _, c in pages if s == "high"]
+    assert [p for s, p, _ in pages] == [1, 1, 2, 3] and high[0].startswith("### High Priority\n\n- ")
+    assert sum(c.count("- ") for c in high) == 300 and [c for s, _, c in pages if s == "critical"][0].count("b.yml:1") == 1
+
+
+def test_words_of_all_scripts(files, spark):
+    tree = {"src/größe.py": "class Größe:\n    pass\n", "a.yml": "x: /home/müller/data\n"}
+    found = rows(detect.leak_findings(files({"p": tree})), "path", "line", "category")
+    assert ("a.yml", 1, "local_paths") in found
+    assert [t for _, t, _ in rows(facts.class_names(files({"p": tree})), "project", "term", "position")] == ["Größe"]
+    error = spark.createDataFrame([("no file /home/müller/x.py here",)], "t string")
+    assert rows(error.select(harvest.error_signature(F.col("t")))) == [("no file <PATH> here",)]
+
+
 def test_scores_keep_clean_projects_and_invariance(files, spark):
     df = files({"dirty": {f"m{i}.py": "# FIXME\n" for i in range(30)}, "clean": {"a.py": "x\n"}})
     findings = detect.debt_findings(df)
