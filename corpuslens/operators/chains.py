@@ -180,8 +180,3 @@ def session_renewals(
         F.timestamp_micros("at").alias("last_renewal"), F.timestamp_micros(F.col("at") + ttl).alias("expires_at"),
         F.timestamp_micros("rejected").alias("rejected_from"),
     )
-
-
-def sessions_by_gap(uses: DataFrame, gap: str = "30 days") -> DataFrame:
-    """Plain gap sessions, as an approximation beside the renewal rule."""
-    return uses.groupBy("token", F.session_window("ts", gap)).agg(F.count("*").alias("uses"))

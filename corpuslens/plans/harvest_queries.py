@@ -11,7 +11,7 @@ from corpuslens.plans.registry import query
 from corpuslens.session import scratch_path, ship_with_tasks
 from corpuslens.sources import suites as suite_io
 from corpuslens.sources.bindings import table, view
-from corpuslens.sources.transcripts import transcript_items
+from corpuslens.sources.transcripts import read_transcripts, transcript_items
 
 
 ship_with_tasks(__name__)
@@ -38,6 +38,14 @@ def transcript_items_query(spark, sf_dir):
     return _items(spark, sf_dir)
 
 
+@query("transcript_files_round_trip", "S3", "SELECT kind, tool, is_error, count(*) AS n FROM transcript GROUP BY ALL", "transcript")
+def transcript_files_round_trip(spark, sf_dir):
+    """The lines are written as transcript files and read back as such."""
+    path = scratch_path(spark, "transcripts")
+    view(spark, sf_dir, "transcript_lines").select("line").write.text(path)
+    return transcript_items(read_transcripts(spark, path)).groupBy("kind", "tool", "is_error").agg(F.count("*").alias("n"))
+
+
 @query("paired_errors", "J1 F4", f"WITH {ERRORS_SQL} SELECT session, pos, tool_id, tool, cwd, signature, example FROM errors WHERE signature <> ''", "transcript")
 def paired_errors(spark, sf_dir):
     return harvest.paired_errors(_items(spark, sf_dir)).drop("item_no")
@@ -189,6 +197,14 @@ def run_history_round_trip(spark, sf_dir):
         "run_id", "model", "score", "severity", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
+@query("trend_cache_round_trip", "S9", "SELECT run_id, model, score FROM run_history", "run_history")
+def trend_cache_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "trend")
+    points = _history(spark, sf_dir).select("run_id", "model", "score")
+    suite_io.save_trend(points, path)
+    return suite_io.load_trend(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema))
+
+
 @query("baseline_round_trip", "S8", "SELECT model, arg_min(score, ts) AS score FROM run_history GROUP BY model", "run_history")
 def baseline_round_trip(spark, sf_dir):
     path = scratch_path(spark, "baseline")

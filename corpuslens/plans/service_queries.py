@@ -8,8 +8,8 @@ from corpuslens.functions import fixed, keys
 from corpuslens.operators import advisories, audit, chains, inventory, licences, repo_health, scans, telemetry
 from corpuslens.plans.audit_queries import QUALITY_SQL  # noqa: F401
 from corpuslens.plans.inventory_queries import sql_list, sql_values
-from corpuslens.plans.registry import query
-from corpuslens.session import scratch_path
+from corpuslens.plans.registry import ORACLES, query
+from corpuslens.session import cut_lineage, scratch_path
 from corpuslens.sources import tables
 from corpuslens.sources.bindings import view
 
@@ -59,6 +59,14 @@ def machine_activity(spark, sf_dir):
     return licences.machine_activity(_outcomes(spark, sf_dir))
 
 
+@query("machine_upsert", "S12", ORACLES["machine_activity"])
+def machine_upsert(spark, sf_dir):
+    """The uses of the mornings are the table, those of the rest of the day are merged into it."""
+    outcomes = _outcomes(spark, sf_dir)
+    morning = F.hour("ts") < 12
+    return licences.merged_machines(licences.machine_activity(outcomes.filter(morning)), licences.machine_activity(outcomes.filter(~morning)))
+
+
 _BOUGHT = f"""bought AS (SELECT event_id AS checkout_id, ts, subscription_id, email, CASE WHEN product = 'bundle' THEN 'bundle-' || event_id END AS bundle_id, n - 1 AS item_no, p AS product FROM billing_events,
  unnest(CASE WHEN product <> 'bundle' THEN [product] WHEN len(list_filter(list_transform(string_split(bundle_products, ','), lambda x: trim(x)), lambda x: x <> '')) > 0 THEN list_filter(list_transform(string_split(bundle_products, ','), lambda x: trim(x)), lambda x: x <> '') ELSE [{sql_list(DEFAULT_BUNDLE)}] END) WITH ORDINALITY AS u(p, n)
  WHERE event_type = 'checkout.session.completed' AND email IS NOT NULL)"""
@@ -350,6 +358,19 @@ def event_log_round_trip(spark, sf_dir):
     return spark.read.parquet(path).groupBy("name").agg(F.count("*").alias("n"))
 
 
+@query("event_reset", "S16", "SELECT 'logged' AS phase, count(*) AS n FROM telemetry UNION ALL SELECT 'after reset', 0", "telemetry")
+def event_reset(spark, sf_dir):
+    """All events are logged and counted, then the log is emptied and counted again."""
+    path = scratch_path(spark, "events")
+    events = view(spark, sf_dir, "telemetry")
+    tables.append_events(events, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    counted = lambda phase: spark.read.schema(schema).parquet(path).agg(F.count("*").alias("n")).select(F.lit(phase).alias("phase"), "n")
+    logged = cut_lineage(counted("logged"), "logged")
+    tables.reset_events(spark, path, schema)
+    return logged.unionByName(counted("after reset"))
+
+
 @query("feed_round_trip", "S13 S14", f"SELECT project, number, title, {_AGE} AS age FROM issues", "issues")
 def feed_round_trip(spark, sf_dir):
     from corpuslens.functions.scores import day_age

@@ -30,13 +30,6 @@ def reset_events(spark: SparkSession, path: str, schema: str) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
-def replace_table(rows: DataFrame, path: str) -> str:
-    """Writes a new version next to the old ones and returns its path; readers switch by path, so
-    a lost executor never leaves a half-written table behind."""
-    rows.write.mode("errorifexists").parquet(path)
-    return path
-
-
 def write_report(rows: DataFrame, path: str) -> None:
     """Report rows as JSON lines."""
     rows.write.mode("overwrite").json(path)
