@@ -11,27 +11,38 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslens.functions import fixed
 from corpuslens.operators import drift, licences
 from corpuslens.operators.harvest import error_signature
-from corpuslens.session import scratch_path, ship_with_tasks
+from corpuslens.session import ROCKSDB_PROVIDER, scratch_path, ship_with_tasks
 
 
 ship_with_tasks(__name__)
 
 
 # ---- running ------------------------------------------------------------------------
+def _finish(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Runs a stream to its end with its keyed state in RocksDB, so that state is bounded by disk
+    and not by the executors' heaps. The session's own setting is left as it was."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB_PROVIDER)
+    try:
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def run_append(stream: DataFrame, label: str) -> DataFrame:
     """Runs an append-mode stream over what is there now; returns its files as a table."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    query = (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    _finish(
+        spark, stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        .outputMode("append").trigger(availableNow=True))
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -44,11 +55,9 @@ def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame], DataF
     def write(batch: DataFrame, batch_id: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    _finish(
+        spark, stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode)
+        .trigger(availableNow=True))
     return spark.read.parquet(out)
 
 
@@ -231,15 +240,21 @@ def drift_alerts(runs: DataFrame, baseline: DataFrame) -> DataFrame:
     return drift.against_baseline(runs, baseline).filter(F.col("severity") == "critical")
 
 
+LOG_PARTS = 256  #: folders of the billing log; a micro-batch reads those of its subscriptions again
+
+
 def license_state_log(spark: SparkSession, label: str, default_bundle: tuple[str, ...]) -> Callable[[DataFrame], DataFrame]:
     """Micro-batch step for billing events: appends them to a log and folds again the history of
-    the subscriptions that the batch touches."""
+    the subscriptions that the batch touches. The log lies in folders by hash of the subscription,
+    and only folders with a touched subscription are read."""
     log = scratch_path(spark, f"{label}-log")
 
     def each(batch: DataFrame) -> DataFrame:
-        batch.write.mode("append").parquet(log)
-        history = spark.read.schema(batch.schema).parquet(log).dropDuplicates(["event_id"])
+        keyed = batch.withColumn("log_part", F.pmod(F.xxhash64("subscription_id"), F.lit(LOG_PARTS)).cast("int"))
+        keyed.write.mode("append").partitionBy("log_part").parquet(log)
+        parts = [r[0] for r in keyed.select("log_part").distinct().collect()]  # LOG_PARTS numbers at most
+        history = spark.read.schema(keyed.schema).parquet(log).filter(F.col("log_part").isin(parts)).dropDuplicates(["event_id"])
         touched = batch.select("subscription_id").distinct()
-        return licences.license_states(history.join(touched, "subscription_id", "left_semi"), default_bundle)
+        return licences.license_states(history.join(touched, "subscription_id", "left_semi").drop("log_part"), default_bundle)
 
     return each
