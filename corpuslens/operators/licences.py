@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.keys import KeyConfig, key_checksum_ok, key_format_ok, key_hash
-from corpuslens.operators.ranking import bucketed_rank, carried
-from corpuslens.session import local_rows
+from corpuslens.operators.ranking import bucketed_counts, bucketed_rank, carried
+from corpuslens.session import cut_lineage, local_rows
 
 
 def _candidates(aliases: Mapping[str, str]) -> Column:
@@ -160,27 +160,31 @@ def quota_admission(requests: DataFrame, bucket_seconds: int = 3600) -> DataFram
     * any other request is allowed while its rank among the requests that count for it is; for
       audits without a repository these include the admitted repository audits of the month.
 
-    Ranks are taken per time bucket, so one licence with most of the requests is spread.
+    Ranks are taken per time bucket, so one licence with most of the requests is spread. The log is
+    read once; what is read again is written as narrow rows.
     """
     order = [F.col("ts"), F.col("request_id")]
     bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket_seconds)
     rows = requests.withColumn("period", period_key(F.col("ts"))).withColumn(
         "limit", tier_limit(F.col("tier"), F.col("scan_type")))
+    rows = cut_lineage(
+        rows.select("request_id", "license_id", "scan_type", "repo_fingerprint", "ts", "period", "limit"), "requests")
     by_repo = (F.col("scan_type") == "audit") & F.col("repo_fingerprint").isNotNull()
     unlimited = F.col("limit") == -1
 
     repo = bucketed_rank(rows.filter(by_repo), ["license_id", "repo_fingerprint"], bucket, order, "n")
     repo = repo.withColumn("allowed", unlimited | (F.col("n") <= F.col("limit"))).withColumn(
         "before", F.when(unlimited, F.col("n") - 1).otherwise(F.least(F.col("n") - 1, F.col("limit"))))
+    repo = cut_lineage(repo, "repository-audits")
 
     key = ["license_id", "scan_type", "period"]
     plain = rows.filter(~by_repo)
     counted = plain.withColumn("_plain", F.lit(True)).unionByName(
         repo.filter("allowed").select(*plain.columns).withColumn("_plain", F.lit(False)))
-    ranked = bucketed_rank(counted, key, bucket, order, "c")
+    ranked = cut_lineage(bucketed_counts(counted, key, bucket, order, {"c": F.lit(True), "m": F.col("_plain")}), "counted")
     # admitted repository audits among the first ``limit`` rows of the key
     early = ranked.filter(~F.col("_plain") & (F.col("c") <= F.col("limit"))).groupBy(*key).agg(F.count("*").alias("_early"))
-    own = bucketed_rank(ranked.filter("_plain"), key, bucket, order, "m").join(early, key, "left").fillna(0, ["_early"])
+    own = ranked.filter("_plain").join(early, key, "left").fillna(0, ["_early"])
     inside = unlimited | (F.col("c") <= F.col("limit"))
     own = own.withColumn("allowed", inside).withColumn(
         "before", F.when(inside, F.col("c") - 1)

@@ -29,26 +29,31 @@ def global_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
-def bucketed_rank(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str
+def bucketed_counts(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], counters: dict[str, Column]
 ) -> DataFrame:
-    """Exact ``row_number`` per key when one key may hold a large share of all rows.
+    """Running counts per key (the row itself included) of the rows that fulfil each condition of
+    ``counters``, exact when one key holds a large share of all rows.
 
-    ``bucket`` must not decrease along ``order``. Rows are counted per (key, bucket) with
-    map-side partial sums, the small counts are accumulated over buckets, and rows are ranked
+    ``bucket`` must not decrease along ``order``. Rows are counted per (key, bucket) with map-side
+    partial sums, the small counts are accumulated over buckets, and rows are counted one by one
     only inside their (key, bucket). The count table has one row per key and bucket.
     """
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    rows = df.select("*", bucket.alias("_bucket"), *[c.cast("int").alias(f"_is_{n}") for n, c in counters.items()])
+    sums = rows.groupBy(*keys, "_bucket").agg(*[F.sum(f"_is_{n}").alias(f"_sum_{n}") for n in counters])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        rows.withColumn("_in", F.row_number().over(inside))
-        .join(before, [*keys, "_bucket"])
-        .withColumn(name, F.col("_before") + F.col("_in"))
-        .drop("_bucket", "_in", "_before")
-    )
+    before = sums.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in counters])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.select("*", *[F.sum(f"_is_{n}").over(inside).alias(f"_in_{n}") for n in counters])
+    return seen.join(before, [*keys, "_bucket"]).select(
+        *df.columns, *[(F.col(f"_before_{n}") + F.col(f"_in_{n}")).alias(n) for n in counters])
+
+
+def bucketed_rank(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str
+) -> DataFrame:
+    """Exact ``row_number`` per key, see ``bucketed_counts``."""
+    return bucketed_counts(df, keys, bucket, order, {name: F.lit(True)})
 
 
 def carried(
