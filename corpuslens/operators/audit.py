@@ -391,16 +391,16 @@ def fleet_summary(report: DataFrame, score: str = "score") -> DataFrame:
 def line_difference(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Lines that only one of two document versions has, with multiplicity.
 
-    Equal lines are counted per version first (map-side), so a line repeated many times is one
-    row in the shuffle; the full outer join is then one row per distinct line.
+    Lines of both versions are counted in one aggregate, old ones negatively, so that a line is
+    shuffled once and no join is needed.
     """
     keys = keys or DOC
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return explode_lines(df.select(*keys, "text"), *keys).groupBy(*keys, "line").agg(F.count("*").alias(name))
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        return explode_lines(df.select(*keys, "text"), *keys).select(*keys, "line", F.lit(sign).cast("bigint").alias("sign"))
 
-    both = counted(old, "n_old").join(counted(new, "n_new"), [*keys, "line"], "full_outer").fillna(0, ["n_old", "n_new"])
-    delta = F.col("n_new") - F.col("n_old")
-    return both.filter(delta != 0).select(
+    delta = F.col("delta")
+    counted = signed(old, -1).unionByName(signed(new, 1)).groupBy(*keys, "line").agg(F.sum("sign").alias("delta"))
+    return counted.filter(delta != 0).select(
         *keys, "line", F.when(delta > 0, "added").otherwise("removed").alias("change"), F.abs(delta).alias("times")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.text import last_segment, parent_dirs, path_key
@@ -39,40 +39,47 @@ def file_rules() -> list[tuple[str, str, str, str | None]]:
 
 
 def detected_tools(files: DataFrame) -> DataFrame:
-    """(project, kind, tool), distinct: semi join of the rule table with paths (and their
-    folders) and with the texts of the few files that rules look into."""
-    spark = files.sparkSession
+    """(project, kind, tool), distinct, in one pass over the files.
+
+    The rules, a few dozen, are literal maps from a path to what its presence says and to the
+    needles that are looked up in its text; framework words in lower case, tool words as written.
+    """
     rules = file_rules()
-    by_path = [r[:3] for r in rules if r[3] is None]
-    by_text = [r for r in rules if r[3] is not None]
-    wanted = sorted({p for _, _, p in by_path})
-    found = (
-        files.select("project", F.explode(F.concat(F.array("path"), parent_dirs("path"))).alias("path"))
-        .filter(F.col("path").isin(*wanted))
-        .join(_rules(spark, by_path, "kind string, tool string, path string"), "path")
-        .select("project", "kind", "tool")
-    )
-    # framework words are looked up in lower case, tool words as written
-    said = (
-        files.filter(F.col("path").isin(*sorted({r[2] for r in by_text})))
-        .join(_rules(spark, by_text, "kind string, tool string, path string, needle string"), "path")
-        .filter(F.contains(F.when(F.col("kind") == "framework", F.lower("text")).otherwise(F.col("text")), F.col("needle")))
-        .select("project", "kind", "tool")
-    )
-    tools = found.unionByName(said).distinct()
-    return tools.unionByName(_pip_by_backend(files, tools))
+    present: dict[str, list[Column]] = {}
+    needles: dict[str, list[Column]] = {}
+    for kind, tool, path, needle in rules:
+        if needle is None:
+            present.setdefault(path, []).append(_tool(kind, tool))
+        else:
+            needles.setdefault(path, []).append(F.struct(F.lit(kind).alias("kind"), F.lit(tool).alias("tool"), F.lit(needle).alias("needle")))
+
+    def of_path(found: dict[str, list[Column]], path: Column) -> Column:
+        return F.try_element_at(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), F.array(*v))]), path)
+
+    above = F.filter(F.concat(F.array("path"), parent_dirs("path")), lambda x: x.isin(*present))
+    by_path = F.flatten(F.transform(above, lambda x: of_path(present, x)))
+    text = F.col("text")
+    said = F.filter(of_path(needles, F.col("path")), lambda r: F.contains(F.when(r["kind"] == "framework", F.lower(text)).otherwise(text), r["needle"]))
+    by_text = F.transform(said, lambda r: F.struct(r["kind"].alias("kind"), r["tool"].alias("tool")))
+    backend = F.lit(False)
+    for word in fixed.PIP_BACKENDS:
+        backend = backend | F.contains(text, F.lit(word))
+    none = F.expr("CAST(array() AS array<struct<kind: string, tool: string>>)")
+    assumed = F.when((F.col("path") == "pyproject.toml") & backend, F.array(_tool(_ASSUMED, "pip")))
+    every = F.concat(*[F.coalesce(x, none) for x in (by_path, by_text, assumed)])
+    found = files.select("project", F.inline(every)).distinct()
+    tools = found.filter(F.col("kind") != _ASSUMED)
+    # pip is assumed from a build backend when neither pip nor poetry was found
+    have = tools.filter((F.col("kind") == "package_manager") & F.col("tool").isin("pip", "poetry")).select("project")
+    pip = found.filter(F.col("kind") == _ASSUMED).join(have, "project", "left_anti")
+    return tools.unionByName(pip.select("project", F.lit("package_manager").alias("kind"), "tool"))
 
 
-def _pip_by_backend(files: DataFrame, tools: DataFrame) -> DataFrame:
-    """pip is assumed from a build backend when neither pip nor poetry was found."""
-    named = F.lit(False)
-    for word in fixed.PIP_BACKENDS:
-        named = named | F.contains(F.col("text"), F.lit(word))
-    backend = files.filter((F.col("path") == "pyproject.toml") & named).select("project").distinct()
-    have = tools.filter((F.col("kind") == "package_manager") & F.col("tool").isin("pip", "poetry"))
-    return backend.join(have, "project", "left_anti").select(
-        "project", F.lit("package_manager").alias("kind"), F.lit("pip").alias("tool")
-    )
+_ASSUMED = "assumed"
+
+
+def _tool(kind: str, tool: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(tool).alias("tool"))
 
 
 def tools_by_kind(tools: DataFrame) -> DataFrame:
