@@ -191,25 +191,33 @@ def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
+def _slices(docs: list[tuple[int, int, bytes]]):
+    """(doc, key, offset, text) of the documents in order, long ones in overlapping slices of
+    ``BUFFER_BYTES`` windows. A slice cuts a span in two; both halves keep their anchor, so their
+    windows still meet those of other copies."""
+    for doc, key, text in sorted(set(docs), key=lambda d: d[:2]):
+        for at in range(0, max(1, len(text) - LENGTH + 1), BUFFER_BYTES):
+            yield doc, key, at, text[at:at + BUFFER_BYTES + LENGTH - 1]
+
+
 def _spans_of_chunk(docs: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The spans of some documents (doc, key, text), in the order of documents and starts."""
-    docs = sorted(set(docs), key=lambda d: d[:2])
-    out, at = [], 0
-    while at < len(docs):
+    slices, out, at = list(_slices(docs)), [], 0
+    while at < len(slices):
         size, end = 0, at
-        while end < len(docs) and (end == at or size + len(docs[end][2]) <= BUFFER_BYTES):
-            size += len(docs[end][2])
+        while end < len(slices) and (end == at or size + len(slices[end][3]) <= BUFFER_BYTES):
+            size += len(slices[end][3])
             end += 1
-        texts = [d[2] for d in docs[at:end]]
-        begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        buffer = b"".join(texts)
-        k, start, stop, anchor, own = spans_of(buffer, [(int(b), len(t)) for b, t in zip(begins, texts)])
+        part = slices[at:end]
+        begins = np.concatenate([[0], np.cumsum([len(s[3]) for s in part])]).astype(np.int64)
+        buffer = b"".join([s[3] for s in part])
+        k, start, stop, anchor, own = spans_of(buffer, [(int(b), len(s[3])) for b, s in zip(begins, part)])
         rows = np.zeros(len(k), _SPAN)
         digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(buffer[a:b])[:12] for a, b in zip(start.tolist(), stop.tolist())]), [("one", "<u8"), ("two", "<u4")])
         rows["one"], rows["two"], rows["anchor"], rows["own"] = digests["one"], digests["two"], anchor, own
-        rows["doc"] = np.array([d[0] for d in docs[at:end]], np.int64)[k]
-        rows["key"] = np.array([d[1] for d in docs[at:end]], np.uint32)[k]
-        rows["start"], rows["size"] = start - begins[k], stop - start
+        rows["doc"] = np.array([s[0] for s in part], np.int64)[k]
+        rows["key"] = np.array([s[1] for s in part], np.uint32)[k]
+        rows["start"], rows["size"] = start - begins[k] + np.array([s[2] for s in part], np.int64)[k], stop - start
         out.append(rows)
         at = end
     return np.concatenate(out) if out else np.zeros(0, _SPAN)

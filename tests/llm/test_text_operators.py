@@ -59,6 +59,8 @@ def test_hot_anchors_and_small_limits(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_SPANS", 20)
     monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 1 << 40)
     monkeypatch.setattr(suffix_dedup, "LOCAL_SPANS", 3)
+    monkeypatch.setattr(suffix_dedup, "BUFFER_BYTES", 500)  # long texts in slices
+    docs += [(500, words(500, 1500)), (501, words(501, 20) + words(500, 1500)), (502, "ab" * 2000)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
     assert removed(suffix_dedup.without_repeats(frame)) == Counter(plain_repeats(docs))
 
