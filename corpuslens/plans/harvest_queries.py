@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from corpuslens.functions import fixed
@@ -263,10 +265,12 @@ def suite_round_trip(spark, sf_dir):
 def word_share_judge(prompt: str) -> str:
     """Stand-in for a user's model client: the share of distinct words."""
     text = prompt.split("## Output to evaluate\n", 1)[1].split()
-    return '{"score": %f}' % (len(set(text)) / max(len(text), 1))
+    return json.dumps({"score": len(set(text)) / max(len(text), 1)})
 
 
-@query("judged_outputs", "UDF1 F10")
+@query("judged_outputs", "UDF1 F10", r"""SELECT run_id, benchmark_id, s AS judge_score, s >= 0.5 AS passed FROM (SELECT run_id, benchmark_id,
+ CASE WHEN output IS NULL THEN 1.0 ELSE CAST(len(list_distinct(w)) AS DOUBLE) / greatest(len(w), 1) END AS s
+ FROM (SELECT run_id, benchmark_id, output, regexp_extract_all(output, '[^\s\x0B\x1C-\x1F\x{85}\x{A0}]+') AS w FROM outputs))""", "outputs")
 def judged_outputs(spark, sf_dir):
     rows = view(spark, sf_dir, "outputs").select("run_id", "benchmark_id", "output")
     return drift.judge_outputs(rows, word_share_judge, "varied wording", 0.5)

@@ -226,14 +226,15 @@ _CONTEXT = " || ".join((
     "(CASE WHEN doc_id % 14 = 2 THEN '## Git Conventions' || chr(10) || chr(10) || '- **Commits**: small' || chr(10) || '- **Branches**: short' || chr(10) || '- **Tests**: pytest with coverage' || chr(10) ELSE '' END)",
 ))
 
-# Text of a tool error. Long messages hide the free text behind the signature length;
-# the other half ends in the conversation text itself.
+# Text of a tool error: a message that names the first letter of the turn, padding beyond the
+# length of a signature, and the whole turn; one in five is the turn itself.
+_FIRST_LETTER = "lower(substr(text, 1, 1))"
 _ERROR_TEXT = (
     "(CASE (conv_id + turn) % 5 "
-    "WHEN 0 THEN 'File has not been read yet. Read it first: /home/u/' || conv_id || '/a.py line ' || turn || repeat(' retry the call', 20) || ' ' || text "
-    "WHEN 1 THEN '  bash: flyctl: command not found (exit ' || (120 + turn) || ') 0badc0de' || (10 + turn) || repeat(' see the log', 20) || ' ' || text "
-    "WHEN 2 THEN 'File does not exist.' || chr(10) || 'Path /srv/app-' || conv_id || '/x' || repeat(' checked again', 20) || ' ' || text "
-    "WHEN 3 THEN 'Request failed with status code ' || (400 + conv_id % 7) || repeat(' for the host', 20) || ' ' || text "
+    f"WHEN 0 THEN 'File has not been read yet. Read it first: /home/u/' || conv_id || '/a.py line ' || turn || ' at ' || {_FIRST_LETTER} || repeat(' retry the call', 20) || ' ' || text "
+    f"WHEN 1 THEN '  bash: flyctl: command not found (exit ' || (120 + turn) || ') 0badc0de' || (10 + turn) || ' at ' || {_FIRST_LETTER} || repeat(' see the log', 20) || ' ' || text "
+    f"WHEN 2 THEN 'File does not exist.' || chr(10) || 'Path /srv/app-' || conv_id || '/x for ' || {_FIRST_LETTER} || repeat(' checked again', 20) || ' ' || text "
+    f"WHEN 3 THEN 'Request failed with status code ' || (400 + conv_id % 7) || ' on ' || {_FIRST_LETTER} || repeat(' for the host', 20) || ' ' || text "
     "ELSE text END)"
 )
 
@@ -249,6 +250,11 @@ def _keyed(rows: str) -> str:
     )
 
 
+# a text as the inside of a JSON string
+_TEXT_IN_JSON = "text"
+for _from, _to in ((92, "chr(92) || chr(92)"), (34, "chr(92) || chr(34)"), (10, "chr(92) || 'n'"), (13, "chr(92) || 'r'"), (9, "chr(92) || 't'")):
+    _TEXT_IN_JSON = f"replace({_TEXT_IN_JSON}, chr({_from}), {_to})"
+
 # "name": (base tables, SELECT)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "corpus": (
@@ -304,8 +310,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT 'run' || k AS run_id, 'model' || (k % 4) AS model, 'b' || nth AS benchmark_id, "
         "(CASE WHEN doc_id % 41 = 40 THEN CAST(NULL AS VARCHAR(9)) "
         "WHEN doc_id % 6 = 1 THEN '# Summary' || chr(10) || text || chr(10) || '**Details**' "
-        "WHEN doc_id % 6 = 2 THEN 'Result:' || chr(10) || repeat(chr(96), 3) || 'json' || chr(10) || '{' || chr(34) || 'n' || chr(34) || ': ' || doc_id || '}' || chr(10) || repeat(chr(96), 3) "
-        "WHEN doc_id % 6 = 3 THEN '{' || chr(34) || 'id' || chr(34) || ': ' || doc_id || ', ' || chr(34) || 'ok' || chr(34) || ': true}' "
+        "WHEN doc_id % 6 = 2 THEN 'Result:' || chr(10) || text || chr(10) || repeat(chr(96), 3) || 'json' || chr(10) || '{' || chr(34) || 'n' || chr(34) || ': ' || doc_id || '}' || chr(10) || repeat(chr(96), 3) "
+        f"WHEN doc_id % 6 = 3 THEN '{{' || chr(34) || 'id' || chr(34) || ': ' || doc_id || ', ' || chr(34) || 'ok' || chr(34) || ': true, ' || chr(34) || 'text' || chr(34) || ': ' || chr(34) || {_TEXT_IN_JSON} || chr(34) || '}}' "
         "ELSE text END) AS output, doc_id, "
         "TIMESTAMP '2024-01-01 00:00:00' + k * INTERVAL '1' DAY AS ts "
         f"FROM ({_NUMBERED}) d0",
