@@ -222,7 +222,7 @@ def _quality_parts() -> dict[str, Column]:
     absent = F.array_compact(F.array(*[F.when(~_has(f"## {h}"), F.lit(h)) for h in fixed.QUALITY_HEADINGS]))
     n = len(fixed.QUALITY_HEADINGS)
     fences = count_of(c("text"), FENCE)
-    bold = F.regexp_count("text", F.lit(r"- \*\*\w+"))
+    bold = F.regexp_count("text", F.lit(r"- \*\*[\p{L}\p{N}_]+"))
     return {
         "n_present": F.size(F.array_compact(present)),
         "_absent": absent,

@@ -14,15 +14,15 @@ SNAKE = (r"\bdef [a-z][a-z0-9_]+\(", r"\bfn [a-z][a-z0-9_]+\(")
 CAMEL = (r"\bfunction [a-z][a-zA-Z0-9]+\(", r"\bconst [a-z][a-zA-Z0-9]+ =")
 SINGLE_QUOTED = r"""(?<!["\\])'[^']*'"""
 DOUBLE_QUOTED = r"""(?<!['\\])"[^"]*\""""
-DEFS = r"\bdef \w+\("
-HINTS = (r"\bdef \w+\([^)]*:[^)]*\)", r"-> \w")
+DEFS = r"\bdef [\p{L}\p{N}_]+\("
+HINTS = (r"\bdef [\p{L}\p{N}_]+\([^)]*:[^)]*\)", r"-> [\p{L}\p{N}_]")
 GOOGLE_DOC = r"(?md)^\s+(?:Args|Returns|Raises|Example):"
 NUMPY_DOC = r"(?md)^\s+(?:Parameters|Returns)\s*\n\s+-+"
 SPHINX_DOC = r"(?md)^\s+:param\s"
 ABSOLUTE_IMPORT, RELATIVE_IMPORT = r"(?md)^from [a-zA-Z]", r"(?md)^from \."
 PATHLIB, OS_PATH = (r"\bPath\(", r"from pathlib"), r"\bos\.path\."
 TRAILING_COMMA, NO_TRAILING_COMMA = r",\s*[\]\)\}]", r"[^,\s]\s*[\]\)\}]"
-TRY_BLOCK, CUSTOM_ERROR = r"\btry:", r"class \w+(?:Error|Exception)\("
+TRY_BLOCK, CUSTOM_ERROR = r"\btry:", r"class [\p{L}\p{N}_]+(?:Error|Exception)\("
 
 
 def hits(*patterns: str) -> Column:

@@ -196,7 +196,7 @@ def fleet_summary(spark, sf_dir):
 
 
 _QP = " + ".join(f"CAST(contains(text, '## {h}') AS INT)" for h in fixed.QUALITY_HEADINGS)
-_BOLD = "len(regexp_extract_all(text, '- \\*\\*\\w+'))"
+_BOLD = "len(regexp_extract_all(text, '- \\*\\*[\\p{L}\\p{N}_]+'))"
 QUALITY_SQL = f"q AS (SELECT project, path, text, {_QP} AS n_present, {LINES} AS line_count, {FENCES} AS fences, {_BOLD} AS bold_bullets FROM contexts)"
 _DEPTH = "(CASE WHEN line_count > 150 THEN 20 WHEN line_count > 100 THEN 15 WHEN line_count > 50 THEN 10 ELSE 0 END)"
 _SPEC = "(CASE WHEN bold_bullets > 5 THEN 10 WHEN bold_bullets > 2 THEN 5 ELSE 0 END)"
