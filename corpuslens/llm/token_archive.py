@@ -16,6 +16,7 @@ import sys
 import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,10 @@ WORD_PIPELINE = {
 }
 
 
+#: Marks that are one run of their own behind letters (not the apostrophe, which may join them).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def _printable_bytes() -> dict[int, str]:
     """What byte-level models write for a byte: itself where it prints, else a character from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -72,6 +77,8 @@ class Encoder:
         self.by_word = all(pipeline.get(k) == v for k, v in WORD_PIPELINE.items()) and not pipeline["model"].get("unk_token")
         self.plain_specials = all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"]) for t in pipeline.get("added_tokens") or ())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model = self.tokenizer.model
         self.kept: dict[bytes, bytes] = {}
         self.byte_names = _printable_bytes()
 
@@ -83,13 +90,14 @@ class Encoder:
         if not word.isalpha() or max(word) >= "\u0250" or word != word.lower() or not unicodedata.is_normalized("NFC", word):
             return None
         name = word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_names)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(name)], self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(name)]).tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
+        letters = text.rstrip(MARKS)
+        if letters != text and letters.isalpha():  # the pipeline cuts letters from the marks after them
+            return self._ids(letters.encode()) + self._ids(text[len(letters):].encode())
         ids = self._word(text)
-        if ids is None and text[-1] in ".,;:!?" and (ids := self._word(text[:-1])) is not None:
-            ids += self._ids(piece[-1:])
         return self._whole(text) if ids is None else ids
 
     def _ids(self, piece: bytes) -> bytes:
