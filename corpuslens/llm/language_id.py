@@ -20,11 +20,12 @@ ship_with_tasks(__name__)
 
 BUCKETS = 1 << 13  #: hashed n-grams
 ORDERS = (1, 2, 3)  #: lengths of the n-grams, in bytes of the folded text
-SAMPLE_PER_LANGUAGE = 1500  #: labelled rows per language that weights and temperature are fitted on
+SAMPLE_PER_LANGUAGE = 600  #: labelled rows per language that weights and temperature are fitted on
 MOST_LANGUAGES = 200  #: the most frequent languages are learned
+SMOOTHING = 0.02  #: share of doubt in the labels that the temperature is fitted on
 CALIBRATION = 5  #: every fifth row of the sample fits the temperature
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.5, 1.0
-LEAST_SCORE = 0.5  #: documents below it count as of unknown language when a corpus is filtered
+LEAST_SCORE = 0.3  #: documents below it count as of unknown language when a corpus is filtered
 UNKNOWN = "und"
 CHUNK = 1 << 16  #: bytes of a text handled at a time
 _STEP = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -96,10 +97,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int) -> np.
 
 
 def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the scores with the least log loss, by golden section on its logarithm."""
+    """The divisor of the scores with the least log loss, by golden section on its logarithm. The
+    labels are smoothed a little: rows that are all told right would else ask for no doubt at all."""
+    aim = np.full(scores.shape, SMOOTHING / scores.shape[1])
+    aim[np.arange(len(labels)), labels] += 1 - SMOOTHING
+
     def loss(t):
-        p = softmax(scores / np.exp(t))
-        return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean()
+        return -(aim * np.log(np.maximum(softmax(scores / np.exp(t)), 1e-12))).sum(axis=1).mean()
 
     low, high, ratio = -5.0, 3.0, (5 ** 0.5 - 1) / 2
     for _ in range(50):
@@ -164,16 +168,16 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_languages
         for batch in batches:
             found = [features(gram_counts(t), idf) for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").cast(pa.string()), batch.column("at"), pa.array([a for a, _ in found], pa.list_(pa.int64())),
-                 pa.array([v for _, v in found], pa.list_(pa.float64()))], names=["lang", "at", "buckets", "weights"])
+                [batch.column("lang").cast(pa.string()), batch.column("at"), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()),
+                 pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["lang", "at", "buckets", "weights"])
 
-    # bounded: per_language * most_languages sparse vectors
-    sample = map_batches(sampled(docs, per_language, most_languages), run, "lang string, at int, buckets array<bigint>, weights array<double>").collect()
+    # bounded: per_language * most_languages sparse vectors, 6 bytes for each n-gram of a text
+    sample = map_batches(sampled(docs, per_language, most_languages), run, "lang string, at int, buckets binary, weights binary").collect()
     sample = sorted((r for r in sample if r["buckets"]), key=lambda r: (r["at"], r["lang"], r["buckets"]))
     languages = sorted({r["lang"] for r in sample})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), idf, 1.0)
-    rows = [(np.array(r["buckets"]), np.array(r["weights"]), languages.index(r["lang"])) for r in sample]
+    rows = [(np.frombuffer(r["buckets"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(np.float64), languages.index(r["lang"])) for r in sample]
     late = [r for r, s in zip(rows, sample) if s["at"] % CALIBRATION == 0]
     weights = train([r for r, s in zip(rows, sample) if s["at"] % CALIBRATION], len(languages))
     divisor = temperature(np.array([v @ weights[a] for a, v, _ in late]), np.array([k for *_, k in late])) if late else 1.0
