@@ -26,12 +26,16 @@ HOPS_PER_BUCKET = 4  #: width of a bucket of session uses, in shortest renewal g
 
 
 def _exits(times: np.ndarray, hop: int) -> np.ndarray:
-    """For each row kept first, the last row kept in the same bucket."""
-    nxt = np.searchsorted(times, times + hop, side="right")
-    out = np.empty(len(times), dtype=np.int64)
-    for i in range(len(times) - 1, -1, -1):
-        out[i] = times[i] if nxt[i] >= len(times) else out[nxt[i]]
-    return out
+    """For each row kept first, the last row kept in the same bucket: the next kept row, followed
+    by doubling."""
+    rows = np.arange(len(times))
+    after = np.searchsorted(times, times + hop, side="right")
+    last = np.where(after < len(times), after, rows)
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return times[last]
+        last = further
 
 
 def per_group(keys: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]):
@@ -46,18 +50,28 @@ def per_group(keys: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, n
         out = [fn({c: v[i:j] for c, v in columns.items()}) for i, j in zip(starts, ends)]
         return pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
 
+    def whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return groups(pd.concat(parts, ignore_index=True), np.array([0]))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry: list[pd.DataFrame] = []
+        carry: list[pd.DataFrame] = []  # pieces of the one group that goes on, joined when it ends
         for pdf in batches:
             if not len(pdf):
                 continue
-            pdf = pd.concat([*carry, pdf], ignore_index=True)
             starts = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            if carry and (carry[-1][keys].iloc[-1] == pdf[keys].iloc[0]).all():
+                if len(starts) == 1:
+                    carry.append(pdf)
+                    continue
+                carry.append(pdf.iloc[: starts[1]])
+                starts = starts[1:]
+            if carry:
+                yield whole(carry)
             if len(starts) > 1:
-                yield groups(pdf.iloc[: starts[-1]], starts[:-1])
+                yield groups(pdf.iloc[starts[0]: starts[-1]], starts[:-1] - starts[0])
             carry = [pdf.iloc[starts[-1]:]]
         if carry:
-            yield groups(carry[0], np.array([0]))
+            yield whole(carry)
 
     return run
 

@@ -260,3 +260,24 @@ def test_suite_files(spark, tmp_path):
         {"id": "b", "prompt": "p", "checks": [{"type": "contains_sections", "sections": ["A", "B"]}]}]}))
     got = suites.suite_checks(suites.read_suites(spark, str(tmp_path))).select("benchmark_id", "weight", "type", "sections", "threshold").first()
     assert tuple(got) == ("b", 1.0, "contains_sections", "A|B", 0.8)
+
+
+def test_groups_may_span_batches():
+    import numpy as np
+    import pandas as pd
+
+    pick = np.random.default_rng(1)
+    for _ in range(30):
+        keys = np.sort(pick.integers(0, 5, 40))
+        whole = pd.DataFrame({"key": keys, "bucket": np.zeros(40, int), "t": pick.integers(0, 99, 40)})
+        cuts = [0, *np.sort(pick.integers(0, 41, 6)), 40]
+        sums = chains.per_group(["key", "bucket"], lambda g: {"key": g["key"][:1], "n": np.array([len(g["t"])]), "t": np.array([g["t"].sum()])})
+        got = pd.concat(list(sums(whole.iloc[a:b] for a, b in zip(cuts, cuts[1:]))))
+        want = whole.groupby("key").agg(n=("t", "size"), t=("t", "sum")).reset_index()
+        assert got.reset_index(drop=True).equals(want.astype(got.dtypes.to_dict()))
+        times = np.unique(pick.integers(0, 500, 60))
+        for i, last in enumerate(chains._exits(times, 40)):
+            at = times[i]
+            while (times > at + 40).any():
+                at = times[times > at + 40][0]
+            assert at == last
