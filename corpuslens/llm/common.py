@@ -88,6 +88,6 @@ def open_input(path: str):
     return store.open_input_file(at)
 
 
-def hot_share(spark: SparkSession) -> int:
+def shuffle_partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

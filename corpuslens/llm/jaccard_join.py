@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuslens.llm.common import as_bytes, cut_lineage, folded_words, hot_share, map_batches, ship_with_tasks, text_hash
+from corpuslens.llm.common import as_bytes, cut_lineage, folded_words, shuffle_partitions, map_batches, ship_with_tasks, text_hash
 from corpuslens.llm.components import components
 
 ship_with_tasks(__name__)
@@ -169,7 +169,7 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD, tolerance: floa
     members = members.select(
         "set_key", "band", "block", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("gid"))
     rows = members.join(classes.select("set_key", "sig"), "set_key")
-    rows = rows.repartition(hot_share(spark), "gid").sortWithinPartitions("gid")
+    rows = rows.repartition(shuffle_partitions(spark), "gid").sortWithinPartitions("gid")
     need = least_matches(threshold, tolerance)
 
     def run(batches):
@@ -271,7 +271,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) ->
                 names=["gid", "set_key", "partners", "runs"])
 
     sets = map_batches(rows, cut, "gid bigint, set_key binary, partners binary, runs binary")
-    sets = sets.repartition(hot_share(docs.sparkSession), "gid").sortWithinPartitions("gid")
+    sets = sets.repartition(shuffle_partitions(docs.sparkSession), "gid").sortWithinPartitions("gid")
 
     def check(batches):
         for _, (keys, partners, runs) in grouped(batches, ("set_key", "partners", "runs")):

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corpuslens.llm.common import as_bytes, cut_lineage, hot_share, map_batches, ship_with_tasks, text_hash
+from corpuslens.llm.common import as_bytes, cut_lineage, shuffle_partitions, map_batches, ship_with_tasks, text_hash
 
 ship_with_tasks(__name__)
 
@@ -232,7 +232,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def pieces(docs: DataFrame) -> DataFrame:
     """doc, key, kind (covered or different), start, end, anchor: the outcome of steps 1 and 2."""
-    partitions = hot_share(docs.sparkSession)
+    partitions = shuffle_partitions(docs.sparkSession)
     buckets = BUCKETS * partitions
 
     def cut(batches):
@@ -414,7 +414,7 @@ def _covered(spans: list[tuple[int, int, int, bytes]], length: int) -> list[tupl
 def different_parts(texts: DataFrame, found: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, key, start, end: the repeated parts of the different pieces (step 3)."""
     spark = texts.sparkSession
-    partitions = hot_share(spark)
+    partitions = shuffle_partitions(spark)
     buckets = BUCKETS * partitions
     wanted = found.where(F.col("kind") == DIFFERENT)
     counts = wanted.groupBy("anchor").agg(F.count("*").alias("n"))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpuslens.llm.common import as_bytes, cut_lineage, hot_share, map_batches, open_input, open_output, output_folder, ship_with_tasks, text_hash
+from corpuslens.llm.common import as_bytes, cut_lineage, shuffle_partitions, map_batches, open_input, open_output, output_folder, ship_with_tasks, text_hash
 
 ship_with_tasks(__name__)
 
@@ -209,7 +209,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file, a few MB
     name = uuid.uuid4().hex
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(hot_share(spark), F.col("doc_id").asc_nulls_first(), text_hash()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text_hash())
+    rows = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first(), text_hash()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), text_hash())
 
     def run(batches):
         encoder = _encoder(name, lambda: spec.value)
@@ -246,7 +246,7 @@ def read_tokens(index: DataFrame, doc_ids: DataFrame | None = None, ids: bool =
         asked = index.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
         frames = asked.groupBy(*at).agg(F.sort_array(F.collect_list("place")).alias("places"))
     # frames of one file stay together, so that a task reads a seek table once
-    frames = frames.repartition(hot_share(index.sparkSession), "path").sortWithinPartitions("path", "frame")
+    frames = frames.repartition(shuffle_partitions(index.sparkSession), "path").sortWithinPartitions("path", "frame")
     schema = "part bigint, file bigint, frame bigint, place bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>"
 
     def run(batches):

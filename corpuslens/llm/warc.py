@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.llm.common import as_bytes, cut_lineage, hot_share, map_batches, open_input, open_output, output_folder, ship_with_tasks
+from corpuslens.llm.common import as_bytes, cut_lineage, shuffle_partitions, map_batches, open_input, open_output, output_folder, ship_with_tasks
 
 ship_with_tasks(__name__)
 
@@ -253,7 +253,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return map_batches(manifest.select("path").repartition(hot_share(manifest.sparkSession)), run, _RECORDS)
+    return map_batches(manifest.select("path").repartition(shuffle_partitions(manifest.sparkSession)), run, _RECORDS)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
