@@ -20,10 +20,10 @@ ship_with_tasks(__name__)
 
 BUCKETS = 1 << 13  #: hashed n-grams
 ORDERS = (1, 2, 3)  #: lengths of the n-grams, in bytes of the folded text
-SAMPLE_PER_LANGUAGE = 600  #: labelled rows per language that weights and temperature are fitted on
+SAMPLE_SLOTS, SAMPLE_PER_SLOT = 200, 3  #: weights and temperature are fitted on that many labelled rows per language at most
 MOST_LANGUAGES = 200  #: the most frequent languages are learned
 SMOOTHING = 0.02  #: share of doubt in the labels that the temperature is fitted on
-CALIBRATION = 5  #: every fifth row of the sample fits the temperature
+CALIBRATION = 5  #: every fifth slot of the sample fits the temperature
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.5, 1.0
 LEAST_SCORE = 0.3  #: documents below it count as of unknown language when a corpus is filtered
 UNKNOWN = "und"
@@ -131,14 +131,16 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
-def sampled(docs: DataFrame, per_language: int, most_languages: int) -> DataFrame:
-    """text, lang, at: up to ``per_language`` rows for each of the most frequent languages, chosen by
-    hash of the text (hence the same on every run). Only keys are shuffled to choose them."""
+def sampled(docs: DataFrame, slots: int, per_slot: int, most_languages: int) -> DataFrame:
+    """text, lang, at: rows of the most frequent languages, the first ``per_slot`` of each of
+    ``slots`` slots by hash of the text (hence the same on every run, and no language is ranked by
+    one task). Only keys are shuffled to choose them."""
     keys = docs.select("lang", F.xxhash64("text").alias("key"))
     frequent = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    # per_language * most_languages rows at most
-    chosen = keys.distinct().withColumn("at", rank).where(F.col("at") <= per_language).join(F.broadcast(frequent), "lang")
+    rank = F.row_number().over(Window.partitionBy("lang", "at").orderBy("key"))
+    firsts = keys.withColumn("at", F.pmod("key", F.lit(slots)).cast("int")).distinct().withColumn("rank", rank).where(F.col("rank") <= per_slot)
+    # slots * per_slot * most_languages rows at most
+    chosen = firsts.drop("rank").join(F.broadcast(frequent), "lang")
     picked = docs.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "key"])
     return picked.dropDuplicates(["lang", "key"]).select("text", "lang", "at")
 
@@ -158,7 +160,7 @@ class Model:
         return self.languages[best], float(p[best])
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+def fit(docs: DataFrame, slots: int = SAMPLE_SLOTS, per_slot: int = SAMPLE_PER_SLOT, most_languages: int = MOST_LANGUAGES) -> Model:
     """A model from documents (text, lang); rows without text or lang are left out."""
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     seen, n = document_frequencies(docs)
@@ -171,8 +173,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_languages
                 [batch.column("lang").cast(pa.string()), batch.column("at"), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()),
                  pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["lang", "at", "buckets", "weights"])
 
-    # bounded: per_language * most_languages sparse vectors, 6 bytes for each n-gram of a text
-    sample = map_batches(sampled(docs, per_language, most_languages), run, "lang string, at int, buckets binary, weights binary").collect()
+    # bounded: slots * per_slot * most_languages sparse vectors, 6 bytes for each n-gram of a text
+    sample = map_batches(sampled(docs, slots, per_slot, most_languages), run, "lang string, at int, buckets binary, weights binary").collect()
     sample = sorted((r for r in sample if r["buckets"]), key=lambda r: (r["at"], r["lang"], r["buckets"]))
     languages = sorted({r["lang"] for r in sample})
     if not languages:
