@@ -3,8 +3,10 @@
 Every source is laid out as a line of words in a shuffled order (by digest of the doc_id), three
 rounds long, and cut into blocks of equal size. Slot t of the schedule has the van der Corput point
 of t; the cumulative weights turn the point into a source, so that every stretch of the schedule
-has the sources in their shares. The k-th slot of a source takes block k of its line. Ranks of
-slots and positions on the lines are prefix sums over buckets: no source is walked by one task.
+has the sources in their shares. The k-th slot of a source takes block k of its line. A source of
+few blocks can miss the points or catch too many: its line is scheduled up to its target to the
+word, the last block being a part, in slots at equal distances. Ranks of slots and positions on the
+lines are prefix sums over buckets: no source is walked by one task.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ LEAST_SLOTS = 4096  #: small corpora get smaller blocks, so that there are so ma
 BUCKET_DIGITS = 3  #: hexadecimal digits of the digest that name a bucket of a line
 POINT_BITS = 40  #: van der Corput points are multiples of 2**-40
 CELL_BITS = 12  #: cells into which the points are cut for the join with the sources
+FEW_BLOCKS = 64  #: a source whose target is below so many blocks is scheduled to the word
 SLOT_BUCKET = 1 << 16  #: consecutive slots whose ranks are counted by one task
 
 
@@ -80,13 +83,16 @@ def block_words(targets: DataFrame, most: int = BLOCK_WORDS, slots: int = LEAST_
 
 
 def schedule(targets: DataFrame, total: int, words: int) -> DataFrame:
-    """slot, source, block (rank of the slot among those of its source): ``total / words`` slots."""
-    slots = targets.sparkSession.range(-(-total // words))
+    """slot, source, block (rank of the slot among those of its source), upto (place on the line where
+    the block ends): ``total / words`` slots, and those of the sources of few blocks, which may share
+    their numbers with others; the order of the mix is (slot, source, block)."""
+    n = -(-total // words)
+    few = F.col("target") < FEW_BLOCKS * words
     # the bits of the slot number in reverse order, as a number of POINT_BITS bits
     point = F.conv(F.reverse(F.lpad(F.bin("id"), POINT_BITS, "0")), 2, 10).cast("bigint")
-    points = slots.select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.shiftright("point", POINT_BITS - CELL_BITS))
+    points = targets.sparkSession.range(n).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.shiftright("point", POINT_BITS - CELL_BITS))
     # a source has a row for each cell that it touches: at most sources + 2**CELL_BITS rows
-    ranges = targets.where("high > low").select("source", "low", "high", F.explode(F.sequence(
+    ranges = targets.where("high > low").where(~few).select("source", "low", "high", F.explode(F.sequence(
         F.shiftright("low", POINT_BITS - CELL_BITS), F.shiftright(F.col("high") - 1, POINT_BITS - CELL_BITS))).alias("cell"))
     drawn = points.join(ranges, "cell").where("point >= low AND point < high").select("slot", "source")
     drawn = drawn.withColumn("bucket", F.floor(F.col("slot") / SLOT_BUCKET))
@@ -96,7 +102,16 @@ def schedule(targets: DataFrame, total: int, words: int) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("slot"))
     ranked = drawn.withColumn("inside", inside).alias("s").join(
         counts.alias("c"), F.expr("s.source <=> c.source AND s.bucket = c.bucket"))
-    return ranked.select("slot", "s.source", (F.col("before") + F.col("inside") - 1).alias("block"))
+    block = F.col("before") + F.col("inside") - 1
+    whole = ranked.select("slot", "s.source", block.alias("block"), ((block + 1) * words).alias("upto"))
+    # whole blocks and a part up to the target, at most FEW_BLOCKS rows a source; the first place is by hash
+    small = targets.where(few).select("source", F.round("target").cast("bigint").alias("due")).where("due > 0")
+    small = small.withColumn("blocks", F.ceil(F.col("due") / words)).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    shift = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)
+    slot = F.least(F.floor((F.col("block") + shift) * n / F.col("blocks")), F.lit(n - 1))
+    return whole.unionByName(small.select(
+        slot.cast("bigint").alias("slot"), "source", "block", F.least((F.col("block") + 1) * words, F.col("due")).alias("upto")))
 
 
 def mixed_pieces(lines: DataFrame, targets: DataFrame, plan: DataFrame, words: int, rounds: int = ROUNDS) -> DataFrame:
@@ -110,8 +125,8 @@ def mixed_pieces(lines: DataFrame, targets: DataFrame, plan: DataFrame, words: i
         F.floor(F.col("at") / words), F.floor((F.col("at") + F.col("size") - 1) / words))))
     joined = parts.alias("p").join(plan.alias("s"), F.expr("p.source <=> s.source AND p.block = s.block"))
     begin = F.greatest("at", F.col("p.block") * words)
-    end = F.least(F.col("at") + F.col("size"), (F.col("p.block") + 1) * words)
-    return joined.select("slot", "row", "doc_id", "round", (begin - F.col("at")).alias("skip"), (end - begin).alias("words"))
+    end = F.least(F.col("at") + F.col("size"), F.col("upto"))
+    return joined.where(begin < end).select("slot", "row", "doc_id", "round", (begin - F.col("at")).alias("skip"), (end - begin).alias("words"))
 
 
 def planned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
