@@ -17,6 +17,7 @@ from corpuslens.functions.text import count_of, strip
 from corpuslens.operators import audit, detect, facts, inventory, stack
 from corpuslens.operators import manifests as man
 from corpuslens.operators import style
+from corpuslens.operators.ranking import ranged_rank
 from corpuslens.session import cut_lineage
 
 ORD = {name: i for i, name in enumerate(fixed.SECTION_ORDER)}
@@ -239,8 +240,7 @@ def leak_report_pages(findings: DataFrame, lines_per_page: int = 100) -> DataFra
     critical = F.col("severity") == "critical"
     item = F.when(critical, F.concat(F.lit("- **"), "message", F.lit("** (`"), place, F.lit("`)"))).otherwise(
         F.concat(F.lit("- "), "message", F.lit(" (`"), place, F.lit("`)")))
-    rank = F.row_number().over(Window.partitionBy("project", "severity").orderBy("path", F.col("line").asc_nulls_first(), "message"))
-    rows = findings.filter(F.col("severity").isin("critical", "high")).withColumn("rank", rank)
+    rows = ranged_rank(findings.filter(F.col("severity").isin("critical", "high")), ["project", "severity"], ["path", "line", "message"], "rank")
     rows = rows.withColumn("page", F.floor((F.col("rank") - 1) / lines_per_page) + 1)
     pages = rows.groupBy("project", "severity", "page").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("items"))
     heading = F.when(F.col("page") > 1, "").when(critical, "### Critical Issues\n\n").otherwise("### High Priority\n\n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions.text import path_key, split_lines, strip, suffix, without_final_break
 from corpuslens.operators import inventory as inv
+from corpuslens.operators.ranking import ranged_rank
 
 # ---- Fixed values: what is mined ----------------------------------------------------
 CLASS_EXTS = (".py", ".ts", ".tsx", ".js", ".jsx", ".rs")
@@ -33,9 +34,10 @@ def _all(pattern: str, group: int = 1) -> Column:
 
 def alphabetical_top(terms: DataFrame, n: int | None = None) -> DataFrame:
     """Distinct terms per project with their position by name; ``n`` keeps the first of a display."""
+    if n is None:
+        return ranged_rank(terms.distinct(), ["project"], ["term"], "position")
     order = Window.partitionBy("project").orderBy("term")
-    ranked = terms.distinct().withColumn("position", F.row_number().over(order))
-    return ranked if n is None else ranked.filter(F.col("position") <= n)
+    return terms.distinct().withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
 
 
 def class_terms() -> Column:
@@ -144,7 +146,11 @@ def marker_comments(files: DataFrame, n: int | None = None, body_chars: int = BO
         )
 
     every = F.concat(*[found(i, p) for i, p in enumerate(COMMENT_MARKERS)])
-    order = Window.partitionBy("project").orderBy(path_key("path"), "pass_no", "at")
-    ranked = rows.select("project", "path", F.inline(every)).withColumn("position", F.row_number().over(order))
-    kept = ranked if n is None else ranked.filter(F.col("position") <= n)
+    comments = rows.select("project", "path", F.inline(every)).withColumn("_key", path_key("path"))
+    order = ["_key", "pass_no", "at"]
+    if n is None:
+        kept = ranged_rank(comments, ["project"], order, "position")
+    else:
+        position = F.row_number().over(Window.partitionBy("project").orderBy(*order))
+        kept = comments.withColumn("position", position).filter(F.col("position") <= n)
     return kept.select("project", "position", "kind", "body", "path")

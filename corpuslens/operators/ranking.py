@@ -56,6 +56,24 @@ def bucketed_rank(
     return bucketed_counts(df, keys, bucket, order, {name: F.lit(True)})
 
 
+def ranged_rank(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``row_number`` per key where one key may hold a large share of all rows and nothing is known
+    of the spread of ``order`` (null keys are keys, nulls come first in the order).
+
+    The rows are range-partitioned by key and order and written once; a row is ranked inside its
+    key and range, and the counts of the earlier ranges, one row per key and range, are added.
+    """
+    parts = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
+    rows = cut_lineage(parts, "ranges")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = before.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).alias("b")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    same = " AND ".join(f"r.`{c}` <=> b.`{c}`" for c in [*keys, "_part"])
+    return rows.withColumn("_in", inside).alias("r").join(before, F.expr(same)).select(
+        *[F.col(f"r.`{c}`") for c in df.columns], (F.col("_before") + F.col("_in")).cast("int").alias(name))
+
+
 def carried(
     df: DataFrame, keys: list[str], bucket: Column, order: list[str], values: dict[str, Column],
     how: str = "last",

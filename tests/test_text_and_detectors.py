@@ -121,6 +121,27 @@ def test_all_leaks_are_reported_in_pages(files):
     assert sum(c.count("- ") for c in high) == 300 and [c for s, _, c in pages if s == "critical"][0].count("b.yml:1") == 1
 
 
+@pytest.mark.parametrize("project", ["p", None])
+def test_ranks_of_one_hot_project_are_dealt_out(files, spark, project):
+    from corpuslens.operators import documents
+
+    tree = {f"m{i:03d}.py": f"class Name{i:03d}:\n    KEY_{i:03d} = 'x'\n# TODO: do {i}\napp.get('/r{i:03d}')\npassword: 'hunter{i:04d}'\n" for i in range(400)}
+    some = files({project: tree}).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for found, value in (
+            (facts.class_names(some), lambda i: f"Name{i:03d}"), (facts.route_paths(some), lambda i: f"/r{i:03d}"),
+            (facts.constant_names(some), lambda i: f"KEY_{i:03d}"), (facts.marker_comments(some).withColumnRenamed("body", "term"), lambda i: f"do {i}"),
+        ):
+            got = found.select("project", "position", "term", F.spark_partition_id().alias("task")).collect()
+            assert sorted((r[1], r[2], r[0]) for r in got) == sorted((i + 1, value(i), project) for i in range(400))
+            assert max(sum(r["task"] == t for r in got) for t in {r["task"] for r in got}) < 400
+        plan = documents.leak_report_pages(detect.leak_findings(some))
+        assert len(plan.collect()) == 4 and "_part" in plan._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_words_of_all_scripts(files, spark):
     tree = {"src/größe.py": "class Größe:\n    pass\n", "a.yml": "x: /home/müller/data\n"}
     found = rows(detect.leak_findings(files({"p": tree})), "path", "line", "category")
