@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, secrets, suffix_dedup, token_archive, url_filter, warc
+from corpuslens.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality_rules, secrets, suffix_dedup, token_archive, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -81,3 +81,13 @@ def op9_language_id(spark, sf_dir):
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contamination(
         _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op12_quality_rules", quality_rules.ORACLE)
+def op12_quality_rules(spark, sf_dir):
+    return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("rule_ablations", quality_rules.ABLATION_ORACLE)
+def rule_ablations(spark, sf_dir):
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents", "doc_id", "text")))
