@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality_rules, secrets, suffix_dedup, token_archive, url_filter, warc
+from corpuslens.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, periodic_runs, quality_rules, secrets, suffix_dedup, token_archive, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -91,3 +91,8 @@ def op12_quality_rules(spark, sf_dir):
 @query("rule_ablations", quality_rules.ABLATION_ORACLE)
 def rule_ablations(spark, sf_dir):
     return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(_table(spark, sf_dir, "documents", "doc_id", "text"), periodic_runs.planted))
