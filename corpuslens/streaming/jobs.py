@@ -24,14 +24,14 @@ ship_with_tasks(__name__)
 
 
 # ---- running ------------------------------------------------------------------------
-def _finish(spark: SparkSession, writer: DataStreamWriter) -> None:
-    """Runs a stream to its end with its keyed state in RocksDB, so that state is bounded by disk
+def run_available(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Runs a stream over what is there now with its keyed state in RocksDB, so that state is bounded by disk
     and not by the executors' heaps. The session's own setting is left as it was."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, ROCKSDB_PROVIDER)
     try:
-        writer.start().awaitTermination()
+        writer.trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
@@ -40,9 +40,8 @@ def run_append(stream: DataFrame, label: str) -> DataFrame:
     """Runs an append-mode stream over what is there now; returns its files as a table."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    _finish(
-        spark, stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-        .outputMode("append").trigger(availableNow=True))
+    run_available(
+        spark, stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append"))
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -55,9 +54,7 @@ def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame], DataF
     def write(batch: DataFrame, batch_id: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
 
-    _finish(
-        spark, stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode)
-        .trigger(availableNow=True))
+    run_available(spark, stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode))
     return spark.read.parquet(out)
 
 
