@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, periodic_runs, quality_rules, secrets, suffix_dedup, token_archive, url_filter, warc
+from corpuslens.llm import decontaminate, exact_dedup, filter_audit, jaccard_join, language_id, mixing, periodic_runs, quality_rules, secrets, suffix_dedup, token_archive, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -83,6 +83,12 @@ def op10_decontaminate(spark, sf_dir):
         _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+@query("op11_filter_audit", filter_audit.ORACLE)
+def op11_filter_audit(spark, sf_dir):
+    docs = filter_audit.documents_stream(spark, f"{sf_dir}/documents.parquet")
+    return filter_audit.interaction_audit(docs, _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 @query("op12_quality_rules", quality_rules.ORACLE)
 def op12_quality_rules(spark, sf_dir):
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents", "doc_id", "text"))
