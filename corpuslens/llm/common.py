@@ -43,6 +43,17 @@ def text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def unused_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``docs`` has them (Spark ignores case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

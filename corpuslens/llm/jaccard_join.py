@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuslens.llm.common import as_bytes, cut_lineage, folded_words, shuffle_partitions, map_batches, ship_with_tasks, text_hash
+from corpuslens.llm.common import as_bytes, cut_lineage, folded_words, shuffle_partitions, map_batches, ship_with_tasks, text_hash, unused_names
 from corpuslens.llm.components import components
 
 ship_with_tasks(__name__)
@@ -327,8 +327,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, with all their columns; repeated rows once."""
-    stay = near_duplicates(docs, threshold).where("stays").select(F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key")).distinct()
-    keyed = docs.withColumn("_near_key", text_hash())
-    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stay_id")) & (F.col("_near_key") == F.col("_stay_key"))
-    return keyed.join(stay, on, "left_semi").dropDuplicates(["doc_id", "_near_key"]).drop("_near_key")
+    """The documents that stay, with all their columns, whatever their names; repeated rows once."""
+    key, stay_id, stay_key = unused_names(docs, "_near_key", "_stay_id", "_stay_key")
+    stay = near_duplicates(docs, threshold).where("stays").select(F.col("doc_id").alias(stay_id), F.col("text_key").alias(stay_key)).distinct()
+    keyed = docs.withColumn(key, text_hash())
+    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col(stay_id)) & (F.col(key) == F.col(stay_key))
+    return keyed.join(stay, on, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
