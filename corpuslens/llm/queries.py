@@ -37,8 +37,9 @@ def op1_suffix_dedup(spark, sf_dir):
 @query("op2_url_filter", url_filter.ORACLE)
 def op2_url_filter(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
-    # a page is labelled through the document of the same number: bad when toxic or of low quality
-    outcomes = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").selectExpr("doc_id AS page_id", "toxic = 1 OR quality = 0 AS bad")
+    # a page is labelled through the document of the same number: bad when toxic or of low quality,
+    # null (no outcome) where a missing label could make it so
+    outcomes = labels.selectExpr("doc_id AS page_id", "toxic = 1 OR quality = 0 AS bad")
     return url_filter.url_verdicts(_table(spark, sf_dir, "pages", "page_id", "url"), outcomes)
 
 
