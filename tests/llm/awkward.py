@@ -7,7 +7,8 @@ import random
 import pytest
 
 #: Extra columns under names that the operators use for themselves.
-EXTRA = ("row", "key", "doc", "gid", "bucket", "size", "kept", "keep_id", "class_id", "score", "lang_pred", "start", "at", "block")
+EXTRA = ("row", "key", "doc", "gid", "bucket", "size", "kept", "keep_id", "class_id", "score", "lang_pred", "start", "at", "block",
+         "_near_key", "_stay_id", "_stay_key", "_mix_text", "_mix_id", "_mix_key", "_mix_times", "_mix_copy", "_text", "words", "part", "mask", "n", "rank", "times")
 SCHEMA = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{e}` string" for e in EXTRA)
 
 
