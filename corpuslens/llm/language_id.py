@@ -3,12 +3,14 @@
 Document frequencies are counted over all rows that may be learned from. The weights are trained by
 follow-the-regularised-leader (per-coordinate rates, elastic net: the first penalty makes weights
 exactly zero) on a bounded sample per language, and a temperature is fitted on a part of the sample
-that the weights have not seen. Prediction reads whole texts inside the tasks.
+that the weights have not seen. Prediction reads whole texts inside the tasks. The n-grams are of
+characters: code points in small letters, where whatever is no letter is a gap.
 """
 
 from __future__ import annotations
 
-import uuid
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -18,52 +20,57 @@ from corpuslens.llm.common import as_bytes, cut_lineage, map_batches, ship_with_
 
 ship_with_tasks(__name__)
 
-BUCKETS = 1 << 13  #: hashed n-grams
-ORDERS = (1, 2, 3)  #: lengths of the n-grams, in bytes of the folded text
+BUCKETS = 1 << 16  #: hashed n-grams
+ORDERS = (1, 2, 3)  #: lengths of the n-grams, in characters
 SAMPLE_SLOTS, SAMPLE_PER_SLOT = 200, 3  #: weights and temperature are fitted on that many labelled rows per language at most
-MOST_LANGUAGES = 200  #: the most frequent languages are learned
 SMOOTHING = 0.02  #: share of doubt in the labels that the temperature is fitted on
 CALIBRATION = 5  #: every fifth slot of the sample fits the temperature
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.5, 1.0
 LEAST_SCORE = 0.3  #: documents below it count as of unknown language when a corpus is filtered
 UNKNOWN = "und"
-CHUNK = 1 << 16  #: bytes of a text handled at a time
+CHUNK = 1 << 16  #: characters of a text handled at a time
+BROADCAST_ROWS = 1_000_000  #: keys of a sample that are broadcast; more are joined by a shuffle
 _STEP = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
+_GAP = 32
+_LETTERS: list[np.ndarray] = []
 
 
-def _folding() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint32)
-    table[65:91] += 32
-    table[:48] = table[58:65] = table[91:97] = table[123:128] = table[48:58] = 32  # what is no letter is a gap
-    return table
+def letters() -> np.ndarray:
+    """For every code point itself if it is a letter or a mark on one, else a gap; made once per worker."""
+    if not _LETTERS:
+        table = np.full(sys.maxunicode + 1, _GAP, np.uint32)
+        at = [c for c in range(sys.maxunicode + 1) if chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M"]
+        table[at] = at
+        _LETTERS.append(table)
+    return _LETTERS[0]
 
 
-_FOLDED = _folding()
-
-
-def gram_counts(text: bytes) -> np.ndarray:
-    """Counts per bucket of the n-grams of a whole text, a piece of ``CHUNK`` bytes at a time."""
-    total = np.zeros(BUCKETS, np.int64)
-    raw = np.frombuffer(text, np.uint8)
+def gram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of the n-grams of a whole text, a piece of ``CHUNK`` characters at a time."""
+    folded = np.frombuffer(text.decode().lower().encode("utf-32-le"), np.uint32)
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
-    for at in range(0, len(raw), CHUNK):
-        codes = _FOLDED[raw[at:at + CHUNK + max(ORDERS) - 1]]
-        gram = np.zeros(len(codes), np.uint32)
+    total = None
+    for at in range(0, max(1, len(folded)), CHUNK):
+        codes = letters()[folded[at:at + CHUNK + max(ORDERS) - 1]]
+        gram, found = np.zeros(len(codes), np.uint32), []
         for n in ORDERS:
-            # grams start inside this piece; the bytes after it only complete them
-            gram = gram[:len(codes) - n + 1] * np.uint32(257) + codes[n - 1:] + np.uint32(n)
-            total += np.bincount((gram[:CHUNK] * _STEP[n - 1]) >> shift, minlength=BUCKETS)
-    return total
+            # grams start inside this piece; the characters after it only complete them
+            gram = gram[:len(codes) - n + 1] * np.uint32(0x01000193) ^ codes[n - 1:]
+            found.append(((gram[:CHUNK] + np.uint32(n)) * _STEP[n - 1]) >> shift)
+        counts = np.bincount(np.concatenate(found), minlength=BUCKETS)
+        total = counts if total is None else total + counts
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def features(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(counted: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of the TF-IDF vector of length 1; counts enter by their logarithm."""
-    at = np.flatnonzero(counts)
-    values = (1 + np.log(counts[at])) * idf[at]
+    at, counts = counted
+    values = (1 + np.log(counts)) * idf[at]
     norm = np.sqrt((values * values).sum())
     return at, values / norm if norm else values
 
@@ -75,7 +82,7 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int) -> np.ndarray:
     """Weights (buckets x languages) by follow-the-regularised-leader, one row at a time."""
-    z, n = np.zeros((BUCKETS, languages)), np.zeros((BUCKETS, languages))
+    z, n = np.zeros((BUCKETS, languages)), np.zeros((BUCKETS, languages))  # 1 MB a language
 
     def weights(at):
         zs = z[at]
@@ -118,7 +125,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for text in as_bytes(batch.column("text")):
-                total += gram_counts(text) > 0
+                total[gram_counts(text)[0]] += 1
                 n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -131,17 +138,16 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
-def sampled(docs: DataFrame, slots: int, per_slot: int, most_languages: int) -> DataFrame:
-    """text, lang, at: rows of the most frequent languages, the first ``per_slot`` of each of
-    ``slots`` slots by hash of the text (hence the same on every run, and no language is ranked by
-    one task). Only keys are shuffled to choose them."""
+def sampled(docs: DataFrame, slots: int, per_slot: int) -> DataFrame:
+    """text, lang, at: of every language the first ``per_slot`` rows of each of ``slots`` slots by hash of
+    the text (hence the same on every run, and no language is ranked by one task). Only keys are
+    shuffled to choose them."""
     keys = docs.select("lang", F.xxhash64("text").alias("key"))
-    frequent = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
     rank = F.row_number().over(Window.partitionBy("lang", "at").orderBy("key"))
     firsts = keys.withColumn("at", F.pmod("key", F.lit(slots)).cast("int")).distinct().withColumn("rank", rank).where(F.col("rank") <= per_slot)
-    # slots * per_slot * most_languages rows at most
-    chosen = firsts.drop("rank").join(F.broadcast(frequent), "lang")
-    picked = docs.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "key"])
+    chosen = cut_lineage(firsts.drop("rank"), "sample")  # slots * per_slot rows a language at most
+    small = chosen.count() <= BROADCAST_ROWS
+    picked = docs.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen) if small else chosen, ["lang", "key"])
     return picked.dropDuplicates(["lang", "key"]).select("text", "lang", "at")
 
 
@@ -160,8 +166,8 @@ class Model:
         return self.languages[best], float(p[best])
 
 
-def fit(docs: DataFrame, slots: int = SAMPLE_SLOTS, per_slot: int = SAMPLE_PER_SLOT, most_languages: int = MOST_LANGUAGES) -> Model:
-    """A model from documents (text, lang); rows without text or lang are left out."""
+def fit(docs: DataFrame, slots: int = SAMPLE_SLOTS, per_slot: int = SAMPLE_PER_SLOT) -> Model:
+    """A model from documents (text, lang) of all their languages; rows without text or lang are left out."""
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     seen, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + seen)) + 1
@@ -173,8 +179,8 @@ def fit(docs: DataFrame, slots: int = SAMPLE_SLOTS, per_slot: int = SAMPLE_PER_S
                 [batch.column("lang").cast(pa.string()), batch.column("at"), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()),
                  pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["lang", "at", "buckets", "weights"])
 
-    # bounded: slots * per_slot * most_languages sparse vectors, 6 bytes for each n-gram of a text
-    sample = map_batches(sampled(docs, slots, per_slot, most_languages), run, "lang string, at int, buckets binary, weights binary").collect()
+    # slots * per_slot sparse vectors a language at most, 6 bytes for each n-gram of a text
+    sample = map_batches(sampled(docs, slots, per_slot), run, "lang string, at int, buckets binary, weights binary").collect()
     sample = sorted((r for r in sample if r["buckets"]), key=lambda r: (r["at"], r["lang"], r["buckets"]))
     languages = sorted({r["lang"] for r in sample})
     if not languages:
@@ -209,7 +215,8 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def accepted(docs: DataFrame, model: Model, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents with a known language, with all their columns: neither ``und`` nor below the score."""
+    """The documents with a known language, with all their columns: neither ``und`` (null texts and those
+    without a letter) nor below the score. Repeated rows are judged alike; an empty table gives none."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.idf, model.divisor))
 
     def run(batches):
