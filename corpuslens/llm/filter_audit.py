@@ -34,6 +34,8 @@ COPY = 16  #: the bit of filter E
 NO_ID = (1 << 63) - 1  #: stands for a null doc_id, which is larger than every number
 MICRO_BATCHES = 4  #: the files are dealt to so many micro-batches (a file is never cut)
 COMBINED = 50_000  #: texts that a task sums up at a time
+BUCKET_TEXTS = 64  #: texts of a key of the state, about
+_BEARER = "text_key: binary, least: bigint, part: string, good: int, toxic: int, n: bigint"
 _PARTIAL = "text_key binary, part string, good int, toxic int, mask int, n bigint, least bigint, n_least bigint"
 _CHANGE = "part string, mask int, good int, toxic int, n bigint"
 
@@ -88,30 +90,36 @@ def combined(rows: DataFrame) -> DataFrame:
 
 
 class LeastBearers(StatefulProcessor):
-    """State of a text: the least doc_id so far and its bearers, by part and labels. Gives the changes
-    of the counters."""
+    """State of a bucket of texts: per text the least doc_id so far and its bearers, by part and labels.
+    Gives the changes of the counters."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("least", "least bigint, bearers array<struct<part: string, good: int, toxic: int, n: bigint>>")
+        self.state = handle.getValueState("least", f"bearers array<struct<{_BEARER}>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.state.get()
-        least, bearers = (known[0], {tuple(b[:3]): b[3] for b in known[1]}) if known else (None, {})
-        before, changes, mask = (least, dict(bearers)), defaultdict(int), 0
+        least: dict[bytes, int] = {}
+        bearers: dict[bytes, dict] = defaultdict(dict)
+        for text, number, part, good, toxic, n in known[0] if known else ():
+            text = bytes(text)
+            least[text] = number
+            bearers[text][part, good, toxic] = n
+        changes, changed = defaultdict(int), False
         for r in rows:
-            who, mask = (r.part, r.good, r.toxic), r.mask
-            changes[who, mask | COPY] += r.n
-            if least is None or r.least < least:  # the bearers so far are copies now
-                for other, n in bearers.items():
-                    changes[other, mask] -= n
-                    changes[other, mask | COPY] += n
-                least, bearers = r.least, {}
-            if r.least == least:
-                bearers[who] = bearers.get(who, 0) + r.n_least
-                changes[who, mask | COPY] -= r.n_least
-                changes[who, mask] += r.n_least
-        if (least, bearers) != before:
-            self.state.update((least, [(*who, n) for who, n in bearers.items()]))
+            text, who = bytes(r.text_key), (r.part, r.good, r.toxic)
+            changes[who, r.mask | COPY] += r.n
+            if text not in least or r.least < least[text]:  # the bearers so far are copies now
+                for other, n in bearers.pop(text, {}).items():
+                    changes[other, r.mask] -= n
+                    changes[other, r.mask | COPY] += n
+                least[text] = r.least
+            if r.least == least[text]:
+                bearers[text][who] = bearers[text].get(who, 0) + r.n_least
+                changes[who, r.mask | COPY] -= r.n_least
+                changes[who, r.mask] += r.n_least
+                changed = True
+        if changed:
+            self.state.update(([(text, least[text], *who, n) for text, all_of in bearers.items() for who, n in all_of.items()],))
         for ((part, good, toxic), pattern), n in changes.items():
             if n:
                 yield Row(part=part, mask=pattern, good=good, toxic=toxic, n=n)
@@ -120,12 +128,14 @@ class LeastBearers(StatefulProcessor):
         pass
 
 
-def counters(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def counters(docs: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
     """part, mask, good, toxic, n after the whole stream ``docs`` (doc_id, text, source) has gone
-    through, in micro-batches of what is there now. ``labels`` is a plain table."""
+    through, in micro-batches of what is there now. ``labels`` is a plain table; ``n_rows`` says
+    about how many rows there are, which sets the number of buckets and no result."""
     spark = docs.sparkSession
     out, state = scratch_path(spark, "filter-audit"), scratch_path(spark, "filter-audit-state")
-    changes = combined(marked(docs, labels)).groupBy("text_key").transformWithState(LeastBearers(), _CHANGE, "update", "none")
+    bucket = F.pmod(F.xxhash64("text_key"), F.lit(n_rows // BUCKET_TEXTS + 1)).alias("bucket")
+    changes = combined(marked(docs, labels)).select("*", bucket).groupBy("bucket").transformWithState(LeastBearers(), _CHANGE, "update", "none")
     sums = ("part", "mask", "good", "toxic")
 
     def write(batch: DataFrame, number: int) -> None:
@@ -164,25 +174,21 @@ def audit(counted: DataFrame) -> DataFrame:
         "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
-def documents_stream(spark: SparkSession, path: str, micro_batches: int = MICRO_BATCHES) -> DataFrame:
-    """The files of a Parquet table as a stream of about ``micro_batches`` micro-batches. The path may be
-    one file or a folder."""
-    table = spark.read.parquet(path)
-    files = max(1, -(-len(table.inputFiles()) // micro_batches))
-    pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern the path may be a file, too
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(pattern)
-
-
-def interaction_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def interaction_audit(spark: SparkSession, path: str, labels: DataFrame, micro_batches: int = MICRO_BATCHES) -> DataFrame:
     """Per part, order of the filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
-    ``docs`` is a stream (doc_id, text, source), ``labels`` a table (doc_id, quality, toxic). A null
-    text is the empty text and a null source the part ''. A null doc_id is larger than every number
-    and has no labels; rows that share a doc_id and a text are no copies of each other. Where a
-    document has several labels, one that says so is enough. Other columns are ignored; an empty
-    table gives an empty result.
+    ``path`` is a Parquet table (doc_id, text, source), a file or a folder, whose files are dealt to
+    ``micro_batches`` micro-batches; ``labels`` is a table (doc_id, quality, toxic). A null text is the
+    empty text and a null source the part ''. A null doc_id is larger than every number and has no
+    labels; rows that share a doc_id and a text are no copies of each other. Where a document has several
+    labels, one that says so is enough. Other columns are ignored; an empty table gives an empty
+    result.
     """
-    return audit(counters(docs, labels))
+    table = spark.read.parquet(path)
+    files = max(1, -(-len(table.inputFiles()) // micro_batches))
+    pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern the path may be a file, too
+    docs = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(pattern)
+    return audit(counters(docs, labels, table.count()))  # counted from the files' footers
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -86,8 +86,7 @@ def op10_decontaminate(spark, sf_dir):
 
 @query("op11_filter_audit", filter_audit.ORACLE)
 def op11_filter_audit(spark, sf_dir):
-    docs = filter_audit.documents_stream(spark, f"{sf_dir}/documents.parquet")
-    return filter_audit.interaction_audit(docs, _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return filter_audit.interaction_audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
 @query("op12_quality_rules", quality_rules.ORACLE)

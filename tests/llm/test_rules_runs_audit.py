@@ -214,7 +214,7 @@ def test_audit_with_late_smaller_ids(spark, tmp_path, micro_batches):
     rows = [[(i, t, "en", s, *["x"] * len(EXTRA)) for i, t, s in b] for b in batches]
     files_of(spark, path, SCHEMA, rows)
     told = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    got = Counter(tuple(r) for r in filter_audit.interaction_audit(filter_audit.documents_stream(spark, path, micro_batches), told).collect())
+    got = Counter(tuple(r) for r in filter_audit.interaction_audit(spark, path, told, micro_batches).collect())
     assert got == plain_audit([d for b in batches for d in b], labels)
 
 
@@ -222,7 +222,7 @@ def test_audit_of_an_empty_table(spark, tmp_path, empty):
     path = str(tmp_path / "documents.parquet")
     empty.write.parquet(path)
     told = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    assert filter_audit.interaction_audit(filter_audit.documents_stream(spark, path), told).count() == 0
+    assert filter_audit.interaction_audit(spark, path, told).count() == 0
 
 
 def test_a_hot_text_is_summed_before_the_shuffle(spark):
