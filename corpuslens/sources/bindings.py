@@ -34,7 +34,14 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-# k = project number, nth = position of the document inside its project
+# k = project number, nth = position of the document inside its project: every 500 doc_ids are 20
+# projects, so the number of projects, and of their manifests, grows with the table
+_PLACED = (
+    "SELECT doc_id, text, lang, source || (CASE WHEN doc_id < 500 THEN '' ELSE '-' || CAST(floor(doc_id / 500) AS BIGINT) END) AS project, "
+    "doc_id % 20 AS k, CAST(floor((doc_id % 500) / 20) AS BIGINT) AS nth FROM documents"
+)
+
+# the same for model outputs: one run per k, one benchmark per nth
 _NUMBERED = (
     "SELECT doc_id, text, lang, source, doc_id % 20 AS k, "
     "CAST(floor(doc_id / 20) AS BIGINT) AS nth FROM documents"
@@ -259,12 +266,12 @@ for _from, _to in ((92, "chr(92) || chr(92)"), (34, "chr(92) || chr(34)"), (10,
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "corpus": (
         ("documents",),
-        f"SELECT source AS project, {_PATH} AS path, {_TEXT} AS text FROM ({_NUMBERED}) d0",
+        f"SELECT project, {_PATH} AS path, {_TEXT} AS text FROM ({_PLACED}) d0",
     ),
     "contexts": (
         ("documents",),
-        "SELECT source AS project, 'docs/ctx_' || doc_id || '/CLAUDE.md' AS path, "
-        f"{_CONTEXT} AS text FROM ({_NUMBERED}) d0",
+        "SELECT project, 'docs/ctx_' || doc_id || '/CLAUDE.md' AS path, "
+        f"{_CONTEXT} AS text FROM ({_PLACED}) d0",
     ),
     # one JSON line per conversation turn
     "transcript_lines": (
