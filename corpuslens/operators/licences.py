@@ -74,15 +74,24 @@ def merged_machines(current: DataFrame, update: DataFrame) -> DataFrame:
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-def bundle_products(events: DataFrame, default: Sequence[str]) -> DataFrame:
-    """One row per product a checkout buys: a listed bundle, the default bundle, or one product."""
+def is_checkout() -> Column:
+    """Billing events that buy something: completed checkouts with an address."""
+    return (F.col("event_type") == "checkout.session.completed") & F.col("email").isNotNull()
+
+
+def bought_products(default: Sequence[str]) -> tuple[Column, Column]:
+    """(products that a checkout buys, number of its bundle or null): a listed bundle, the default bundle, or one product."""
     listed = F.filter(F.transform(F.split("bundle_products", ","), lambda p: F.trim(p)), lambda p: p != "")
     bundle = F.when(F.size(listed) > 0, listed).otherwise(F.array(*[F.lit(p) for p in default]))
-    products = F.when(F.col("product") == "bundle", bundle).otherwise(F.array("product"))
-    bought = events.filter((F.col("event_type") == "checkout.session.completed") & F.col("email").isNotNull())
-    return bought.select(
-        F.col("event_id").alias("checkout_id"), "ts", "subscription_id", "email",
-        F.when(F.col("product") == "bundle", F.concat(F.lit("bundle-"), F.col("event_id").cast("string"))).alias("bundle_id"),
+    is_bundle = F.col("product") == "bundle"
+    return F.when(is_bundle, bundle).otherwise(F.array("product")), F.when(is_bundle, F.concat(F.lit("bundle-"), F.col("event_id").cast("string")))
+
+
+def bundle_products(events: DataFrame, default: Sequence[str]) -> DataFrame:
+    """One row per product a checkout buys."""
+    products, bundle_id = bought_products(default)
+    return events.filter(is_checkout()).select(
+        F.col("event_id").alias("checkout_id"), "ts", "subscription_id", "email", bundle_id.alias("bundle_id"),
         F.posexplode(products).alias("item_no", "bought"),
     ).withColumnRenamed("bought", "product")
 

@@ -13,6 +13,13 @@ from corpuslens.sources.bindings import stream_view, view
 from corpuslens.streaming import jobs
 
 
+PIECES = 3  #: a log comes to a keyed stream in so many pieces, in the order of time
+
+
+def _arriving(spark, sf_dir, name, time="ts"):
+    return jobs.arriving(view(spark, sf_dir, name), time, PIECES, f"{name}-log")
+
+
 def _event_stream(spark, sf_dir):
     return stream_view(spark, sf_dir, "telemetry")
 
@@ -20,18 +27,25 @@ def _event_stream(spark, sf_dir):
 @query("stream_quota", "R1", f"""WITH {QUOTA_SQL} SELECT request_id, license_id, scan_type, period, lim AS "limit", allowed, CAST(before + CAST(allowed AS INT) AS BIGINT) AS used,
  CAST(CASE WHEN NOT allowed THEN 0 WHEN lim = -1 THEN -1 ELSE greatest(0, lim - before - 1) END AS BIGINT) AS remaining FROM every""", "usage_requests")
 def stream_quota(spark, sf_dir):
-    return jobs.run_append(jobs.quota_stream(stream_view(spark, sf_dir, "usage_requests")), "quota")
+    requests, pieces = _arriving(spark, sf_dir, "usage_requests")
+    return jobs.run_append(jobs.quota_stream(requests), "quota", pieces)
 
 
 @query("stream_retries", "R2", "SELECT request_id, repo_url, admitted, epoch_us(reused_at) AS reused_t FROM (" + ORACLES["suppressed_retries"] + ") w")
 def stream_retries(spark, sf_dir):
-    return jobs.run_append(jobs.retry_stream(stream_view(spark, sf_dir, "scan_requests")), "retries")
+    requests, pieces = _arriving(spark, sf_dir, "scan_requests", "created_at")
+    return jobs.run_append(jobs.retry_stream(requests), "retries", pieces)
 
 
 @query("stream_sessions", "R3", "SELECT token, renewals, epoch_us(expires_at) AS expires_t FROM (" + ORACLES["session_renewals"] + ") w")
 def stream_sessions(spark, sf_dir):
-    uses = jobs.run_append(jobs.session_stream(stream_view(spark, sf_dir, "session_uses")), "sessions")
-    return uses.groupBy("token").agg(
+    # the log has no logins: the first use of a token is one
+    every = view(spark, sf_dir, "session_uses")
+    first = every.groupBy("token").agg(F.min(F.struct("ts", "use_id"))["use_id"].alias("use_id")).withColumn("kind", F.lit("login"))
+    log = every.join(first, ["token", "use_id"], "left").withColumn("kind", F.coalesce("kind", F.lit("use")))
+    uses, pieces = jobs.arriving(log, "ts", PIECES, "sessions-log")
+    found = jobs.run_append(jobs.session_stream(uses), "sessions", pieces)
+    return found.groupBy("token").agg(
         F.count_if(F.col("outcome") == "renewed").cast("int").alias("renewals"), F.max("expires_t").alias("expires_t"))
 
 
@@ -55,7 +69,9 @@ def stream_active_users(spark, sf_dir):
 
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    return jobs.run_append(jobs.active_users(events), "active")
+    progress = []
+    daily = jobs.run_append(jobs.daily_users(events), "active", progress=progress)
+    return jobs.active_users(daily, jobs.last_watermark(progress))
 
 
 # transcripts carry no clock: one session per minute, one second per turn
@@ -82,8 +98,8 @@ def stream_rolling_gotchas(spark, sf_dir):
     from corpuslens.operators.harvest import error_signature
 
     errors = _items(spark, sf_dir).filter((F.col("kind") == "result") & F.col("is_error")).select(
-        "session", "ts", F.lit("result").alias("tool"), error_signature(F.col("text")).alias("signature"))
-    return jobs.run_append(jobs.rolling_gotchas(errors, "10 minutes", "5 minutes"), "gotchas")
+        "session", "pos", "ts", F.lit("result").alias("tool"), error_signature(F.col("text")).alias("signature"))
+    return jobs.run_append(jobs.rolling_gotchas(errors, "10 minutes", "5 minutes", ["session", "pos"]), "gotchas")
 
 
 @query("stream_batch_progress", "R9", "SELECT batch_id, count(*) AS done FROM scans WHERE status IN ('complete', 'error') GROUP BY batch_id", "scans")
@@ -94,8 +110,8 @@ def stream_batch_progress(spark, sf_dir):
 
 @query("stream_license_states", "R10", f"WITH {_BOUGHT} SELECT b.*, e.ended AS revoked_at, e.ended IS NULL AS active FROM bought b LEFT JOIN LATERAL (SELECT min(ts) AS ended FROM billing_events x WHERE x.event_type = 'customer.subscription.deleted' AND x.subscription_id = b.subscription_id AND x.ts >= b.ts) e ON true", "billing_events")
 def stream_license_states(spark, sf_dir):
-    each = jobs.license_state_log(spark, "billing", DEFAULT_BUNDLE)
-    updates = jobs.run_batches(stream_view(spark, sf_dir, "billing_events"), "billing", each)
+    events, pieces = _arriving(spark, sf_dir, "billing_events")
+    updates = jobs.run_batches(jobs.licence_stream(events, DEFAULT_BUNDLE), "billing", lambda b: b, arrivals=pieces)
     return jobs.latest_updates(updates, "checkout_id", "item_no")
 
 
@@ -108,7 +124,7 @@ def stream_machine_activity(spark, sf_dir):
 @query("stream_validation_log", "R12 S11", f"WITH {_CAND}, {_CFG}, {_LOOK}, {_OUT} SELECT result, count(*) AS n FROM outcome GROUP BY result", "license_requests licenses")
 def stream_validation_log(spark, sf_dir):
     known = view(spark, sf_dir, "licenses")
-    stream = stream_view(spark, sf_dir, "license_requests")
+    stream = jobs.once(stream_view(spark, sf_dir, "license_requests"), ["request_id"], "ts", jobs.LATE)
     log = jobs.run_batches(stream, "validation", lambda b: licences.validation_outcomes(b, known, KEY_CONFIG, ALIASES))
     return log.groupBy("result").agg(F.count("*").alias("n"))
 

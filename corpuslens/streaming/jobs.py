@@ -7,20 +7,16 @@ emitted (admissions, suppressions) are never revised.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuslens.functions import fixed
 from corpuslens.operators import drift, licences
 from corpuslens.operators.harvest import error_signature
-from corpuslens.session import ROCKSDB_PROVIDER, scratch_path, ship_with_tasks
-
-
-ship_with_tasks(__name__)
+from corpuslens.session import ROCKSDB_PROVIDER, scratch_path
+from corpuslens.streaming import keyed
 
 
 # ---- running ------------------------------------------------------------------------
@@ -48,16 +44,23 @@ def run_available(spark: SparkSession, writer: DataStreamWriter) -> list[dict]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Runs an append-mode stream over what is there now; returns its files as a table."""
+def run_append(stream: DataFrame, label: str, arrivals: Iterable[object] = (None,), progress: list[dict] | None = None) -> DataFrame:
+    """Runs an append-mode stream over what is there now, once for each of ``arrivals`` (see
+    ``arriving``); returns its files as a table. ``progress`` takes the reports of its micro-batches."""
     spark = stream.sparkSession
     out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    run_available(
-        spark, stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append"))
+    for _ in arrivals:
+        reports = run_available(
+            spark, stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append"))
+        if progress is not None:
+            progress += reports
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+def run_batches(
+    stream: DataFrame, label: str, each: Callable[[DataFrame], DataFrame], mode: str = "append",
+    arrivals: Iterable[object] = (None,), progress: list[dict] | None = None,
+) -> DataFrame:
     """``foreachBatch`` sink: ``each`` turns a micro-batch into rows that are written under the
     batch number, so a repeated batch replaces its own files."""
     spark = stream.sparkSession
@@ -66,10 +69,35 @@ def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame], DataF
     def write(batch: DataFrame, batch_id: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{out}/epoch={batch_id}")
 
-    run_available(spark, stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode))
+    for _ in arrivals:
+        reports = run_available(spark, stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode))
+        if progress is not None:
+            progress += reports
     return spark.read.parquet(out)
 
 
+def arriving(rows: DataFrame, time: str, pieces: int, label: str) -> tuple[DataFrame, Iterator[int]]:
+    """A log as a stream to which it comes piece by piece in the order of ``time`` (equal stretches of
+    time): the stream, and an iterator that writes the next piece each time it is asked."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, label)
+    rows.limit(0).write.parquet(path)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+
+    def pieces_of() -> Iterator[int]:
+        low, high = rows.agg(F.min(at), F.max(at)).first()
+        for k in range(pieces):
+            if low is None:
+                part = F.lit(False)
+            else:
+                edges = [low + (high - low + 1) * i // pieces for i in (k, k + 1)]
+                part = (at >= edges[0]) & (at < edges[1])
+            rows.where(part).write.mode("append").parquet(path)
+            yield k
+
+    return spark.readStream.schema(rows.schema).parquet(path), pieces_of()
+
+
 def latest_updates(updates: DataFrame, *keys: str) -> DataFrame:
     """Newest version of every key of an update-mode sink."""
     rest = [c for c in updates.columns if c not in (*keys, "epoch")]
@@ -81,96 +109,69 @@ def _ts(c: str = "ts") -> Column:
     return F.col(c).cast("timestamp")
 
 
-# ---- keyed decisions ----------------------------------------------------------------
-QUOTA_OUT = "request_id bigint, license_id string, scan_type string, period string, limit int, allowed boolean, used bigint, remaining bigint"
-
-
-def _quota(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts of recorded requests per repository and per month decide one by one, in time order."""
-    counts = json.loads(state.get[0]) if state.exists else {}
-    rows = pd.concat(list(batches)).sort_values(["t", "request_id"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        by_repo = r.scan_type == "audit" and isinstance(r.repo_fingerprint, str)
-        month, repo = f"m:{r.period}", f"r:{r.repo_fingerprint}"
-        used = counts.get(repo if by_repo else month, 0)
-        allowed = r.limit == -1 or used < r.limit
-        if allowed:
-            used += 1
-            counts[month] = counts.get(month, 0) + 1
-            if by_repo:
-                counts[repo] = counts.get(repo, 0) + 1
-        remaining = 0 if not allowed else -1 if r.limit == -1 else max(0, r.limit - used)
-        out.append((r.request_id, key[0], r.scan_type, r.period, r.limit, allowed, used, remaining))
-    state.update((json.dumps(counts),))
-    yield pd.DataFrame(out, columns=[f.split()[0] for f in QUOTA_OUT.split(", ")])
-
-
-def quota_stream(requests: DataFrame) -> DataFrame:
+def once(stream: DataFrame, ids: list[str], time: str, late: str) -> DataFrame:
+    """Rows whose ``ids`` came before, within the watermark, are dropped: a file that is delivered twice
+    counts once, and the state holds the ids of the last ``late`` only."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(ids)
+
+
+# ---- keyed decisions (see ``keyed``) --------------------------------------------------
+LATE = "1 hour"  #: how late a row may come
+
+
+def quota_stream(requests: DataFrame, late: str = LATE) -> DataFrame:
     """Quota admission as requests arrive, state per (licence, type)."""
-    rows = requests.select(
-        "request_id", "license_id", "scan_type", "repo_fingerprint", licences.period_key(F.col("ts")).alias("period"),
-        F.unix_micros(_ts()).alias("t"), licences.tier_limit(F.col("tier"), F.col("scan_type")).alias("limit"))
-    return rows.groupBy("license_id", "scan_type").applyInPandasWithState(
-        _quota, QUOTA_OUT, "counts string", "append", GroupStateTimeout.NoTimeout)
-
-
-def retry_stream(requests: DataFrame, window_seconds: int = fixed.RETRY_WINDOW_SECONDS) -> DataFrame:
-    """Retry-storm suppression per repository; state is the last admitted blocking request."""
-    hop = window_seconds * 1_000_000
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["t", "request_id"], kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            admitted = last is None or r.t > last + hop
-            out.append((r.request_id, key[0], admitted, None if admitted else last))
-            if admitted and r.status in ("pending", "error"):
-                last = int(r.t)
-        if last is not None:
-            state.update((last,))
-        made = pd.DataFrame(out, columns=["request_id", "repo_url", "admitted", "reused_t"])
-        yield made.astype({"reused_t": "Int64"})
-
-    rows = requests.select("request_id", "repo_url", "status", F.unix_micros(_ts("created_at")).alias("t"))
-    return rows.groupBy("repo_url").applyInPandasWithState(
-        decide, "request_id bigint, repo_url string, admitted boolean, reused_t bigint", "last bigint",
-        "append", GroupStateTimeout.NoTimeout)
+    rows = requests.withColumn("ts", _ts()).withWatermark("ts", late).select(
+        "request_id", "license_id", "scan_type", "repo_fingerprint", licences.period_key(F.col("ts")).alias("period"), "ts",
+        F.unix_micros("ts").alias("t"), licences.tier_limit(F.col("tier"), F.col("scan_type")).alias("limit"))
+    return rows.groupBy("license_id", "scan_type").transformWithState(
+        keyed.QuotaDecisions(),
+        "request_id bigint, license_id string, scan_type string, period string, limit int, allowed boolean, used bigint, remaining bigint",
+        "append", "eventTime")
+
+
+def retry_stream(requests: DataFrame, window_seconds: int = fixed.RETRY_WINDOW_SECONDS, late: str = "1 minute") -> DataFrame:
+    """Retry-storm suppression per repository."""
+    rows = requests.withColumn("created_at", _ts("created_at")).withWatermark("created_at", late).select(
+        "request_id", "repo_url", "status", "created_at", F.unix_micros("created_at").alias("t"))
+    return rows.groupBy("repo_url").transformWithState(
+        keyed.RetryDecisions(window_seconds * 1_000_000), "request_id bigint, repo_url string, admitted boolean, reused_t bigint", "append", "eventTime")
 
 
 def session_stream(
-    uses: DataFrame, ttl_seconds: int = fixed.SESSION_TTL_SECONDS, renew_under_seconds: int = fixed.SESSION_RENEW_UNDER_SECONDS
+    uses: DataFrame, ttl_seconds: int = fixed.SESSION_TTL_SECONDS, renew_under_seconds: int = fixed.SESSION_RENEW_UNDER_SECONDS, late: str = LATE,
 ) -> DataFrame:
-    """Session renewal and revocation per token. ``uses(token, ts, use_id[, kind])``: kind
-    ``revoke`` ends the session; the first use issues it."""
-    ttl, under = ttl_seconds * 1_000_000, renew_under_seconds * 1_000_000
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expires, revoked = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values(["t", "use_id"], kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.kind == "revoke":
-                revoked, outcome = True, "revoked"
-            elif expires is None:
-                expires, outcome = int(r.t) + ttl, "issued"
-            elif revoked or r.t >= expires:
-                outcome = "rejected"
-            elif expires - r.t < under:
-                expires, outcome = int(r.t) + ttl, "renewed"
-            else:
-                outcome = "used"
-            out.append((r.use_id, key[0], outcome, expires))
-        if expires is not None:
-            state.update((expires, revoked))
-        yield pd.DataFrame(out, columns=["use_id", "token", "outcome", "expires_t"]).astype({"expires_t": "Int64"})
-
-    kind = F.col("kind") if "kind" in uses.columns else F.lit("use")
-    rows = uses.select("token", "use_id", kind.alias("kind"), F.unix_micros(_ts()).alias("t"))
-    return rows.groupBy("token").applyInPandasWithState(
-        follow, "use_id bigint, token string, outcome string, expires_t bigint", "expires bigint, revoked boolean",
-        "append", GroupStateTimeout.NoTimeout)
+    """Session renewal and revocation. ``uses(token, ts, use_id[, kind][, owner])``: kind is ``login``, ``use``,
+    ``revoke`` or ``revoke_all`` (all sessions of the owner; without owners each token is its own).
+    Without a column ``kind`` every row is a use, and the first use of an unknown token issues it."""
+    given = "kind" in uses.columns
+    owner = F.coalesce("owner", "token") if "owner" in uses.columns else F.col("token")
+    rows = uses.withColumn("ts", _ts()).withWatermark("ts", late).select(
+        owner.alias("owner"), "token", "use_id", (F.col("kind") if given else F.lit("use")).alias("kind"), "ts", F.unix_micros("ts").alias("t"))
+    decide = keyed.SessionDecisions(ttl_seconds * 1_000_000, renew_under_seconds * 1_000_000, not given)
+    return rows.groupBy("owner").transformWithState(
+        decide, "use_id bigint, token string, outcome string, expires_t bigint", "append", "eventTime")
+
+
+def licence_stream(events: DataFrame, default_bundle: Sequence[str], late: str = LATE) -> DataFrame:
+    """Versions of licence states from billing events; the newest of a licence (checkout_id, item_no) holds,
+    see ``latest_updates``. An event that is delivered again changes nothing. Siblings of a bundle
+    come from one checkout, hence from one subscription, and end together."""
+    events = once(events, ["event_id"], "ts", late)
+    products, bundle_id = licences.bought_products(default_bundle)
+    is_end = F.col("event_type") == "customer.subscription.deleted"
+    items = F.when(is_end, F.array(F.lit(None).cast("string"))).otherwise(products)
+    told = events.where(is_end | licences.is_checkout())
+    rows = told.select(
+        "subscription_id", "ts", is_end.alias("ended"), F.unix_micros("ts").alias("t"), F.col("event_id").alias("checkout_id"), "email",
+        bundle_id.alias("bundle_id"), F.posexplode(items).alias("item_no", "product"))
+    states = rows.groupBy("subscription_id").transformWithState(
+        keyed.LicenceStates(), "checkout_id bigint, t bigint, subscription_id string, email string, bundle_id string, item_no int, product string, revoked bigint",
+        "append", "eventTime")
+    kind = events.schema["ts"].dataType
+    return states.select(
+        "checkout_id", F.timestamp_micros("t").cast(kind).alias("ts"), "subscription_id", "email", "bundle_id", "item_no", "product",
+        F.timestamp_micros("revoked").cast(kind).alias("revoked_at"), F.col("revoked").isNull().alias("active"))
 
 
 # ---- windows ------------------------------------------------------------------------
@@ -192,15 +193,31 @@ def daily_names(events: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
-def active_users(events: DataFrame, days: int = 7, late: str = "1 hour") -> DataFrame:
-    """Distinct users of the last ``days`` days, every day (sliding): first one row per user and
-    window, then a count per window."""
-    per_user = (
+def daily_users(events: DataFrame, late: str = LATE) -> DataFrame:
+    """Exact user sets per day as bitmaps, one per stretch of 32,768 ids (``user_id`` is a whole number that
+    isn't negative): the state has a bitmap per open day and stretch, however many events there are."""
+    return (
         events.withColumn("ts", _ts()).withWatermark("ts", late)
-        .groupBy(F.window("ts", f"{days} days", "1 day"), "user_id").agg(F.count("*").alias("_n"))
+        .groupBy(F.window("ts", "1 day"), F.bitmap_bucket_number("user_id").alias("stretch"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("users"))
+        .select(F.col("window.start").alias("day"), "stretch", "users")
     )
-    return per_user.groupBy("window").agg(F.count("*").alias("users")).select(
-        F.col("window.start").alias("from_day"), F.col("window.end").alias("to_day"), "users")
+
+
+def active_users(daily: DataFrame, until, days: int = 7) -> DataFrame:
+    """Distinct users of ``days`` days, for every window that ends at ``until`` (the watermark of
+    ``daily_users``) or before: bitmaps of its days, merged."""
+    spread = daily.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+    start = F.expr("day - make_dt_interval(back)")
+    merged = spread.groupBy(start.alias("from_day"), "stretch").agg(F.bitmap_or_agg("users").alias("users"))
+    end = F.col("from_day") + F.expr(f"INTERVAL {days} DAYS")
+    return merged.where(end <= F.lit(until).cast("timestamp")).groupBy("from_day", end.alias("to_day")).agg(
+        F.sum(F.bitmap_count("users")).alias("users"))
+
+
+def last_watermark(progress: list[dict]) -> str | None:
+    """The watermark that a stream reached."""
+    return max((p["eventTime"]["watermark"] for p in progress if p.get("eventTime", {}).get("watermark")), default=None)
 
 
 def paired_calls(items: DataFrame, bound: str = "1 hour") -> DataFrame:
@@ -220,10 +237,12 @@ def paired_calls(items: DataFrame, bound: str = "1 hour") -> DataFrame:
         "session", "tool_id", "ts", F.coalesce("tool", F.lit("?")).alias("tool"), error_signature(F.col("text")).alias("signature"))
 
 
-def rolling_gotchas(errors: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Error counts and distinct sessions by tool and signature per window."""
+def rolling_gotchas(errors: DataFrame, window: str = "1 day", late: str = LATE, ids: Sequence[str] = ()) -> DataFrame:
+    """Error counts and distinct sessions by tool and signature per window. With ``ids``, the columns that
+    name an error, one that comes again within the watermark isn't counted again."""
+    timed = once(errors, list(ids), "ts", late) if ids else errors.withColumn("ts", _ts()).withWatermark("ts", late)
     per_session = (
-        errors.withColumn("ts", _ts()).withWatermark("ts", late)
+        timed
         .groupBy(F.window("ts", window), "tool", "signature", "session").agg(F.count("*").alias("_n"))
     )
     return per_session.groupBy("window", "tool", "signature").agg(
@@ -247,23 +266,3 @@ def machine_counter(uses: DataFrame) -> DataFrame:
 def drift_alerts(runs: DataFrame, baseline: DataFrame) -> DataFrame:
     """Runs whose score fell critically below the baseline of their model (stream-static join)."""
     return drift.against_baseline(runs, baseline).filter(F.col("severity") == "critical")
-
-
-LOG_PARTS = 256  #: folders of the billing log; a micro-batch reads those of its subscriptions again
-
-
-def license_state_log(spark: SparkSession, label: str, default_bundle: tuple[str, ...]) -> Callable[[DataFrame], DataFrame]:
-    """Micro-batch step for billing events: appends them to a log and folds again the history of
-    the subscriptions that the batch touches. The log lies in folders by hash of the subscription,
-    and only folders with a touched subscription are read."""
-    log = scratch_path(spark, f"{label}-log")
-
-    def each(batch: DataFrame) -> DataFrame:
-        keyed = batch.withColumn("log_part", F.pmod(F.xxhash64("subscription_id"), F.lit(LOG_PARTS)).cast("int"))
-        keyed.write.mode("append").partitionBy("log_part").parquet(log)
-        parts = [r[0] for r in keyed.select("log_part").distinct().collect()]  # LOG_PARTS numbers at most
-        history = spark.read.schema(keyed.schema).parquet(log).filter(F.col("log_part").isin(parts)).dropDuplicates(["event_id"])
-        touched = batch.select("subscription_id").distinct()
-        return licences.license_states(history.join(touched, "subscription_id", "left_semi").drop("log_part"), default_bundle)
-
-    return each

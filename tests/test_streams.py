@@ -25,18 +25,35 @@ def at(days: float) -> dt.datetime:
     return START + dt.timedelta(seconds=days * DAY)
 
 
+def state_rows(progress):
+    """Rows of keyed state after the last micro-batch, timers included."""
+    return progress[-1]["stateOperators"][-1]["numRowsTotal"]
+
+
 def test_sessions_over_batches(spark, tmp_path):
-    schema = "token string, ts timestamp, use_id bigint, kind string"
+    schema = "token string, ts timestamp, use_id bigint, kind string, owner string"
     stream = replay(spark, str(tmp_path / "uses"), schema, [
-        [("a", at(0), 1, "use"), ("a", at(1), 2, "use"), ("b", at(0), 3, "use")],
-        [("a", at(25), 4, "use"), ("b", at(40), 5, "use"), ("c", at(40), 6, "use")],
-        [("a", at(54), 7, "use"), ("b", at(41), 8, "use"), ("c", at(41), 9, "revoke")],
-        [("a", at(90), 10, "use"), ("c", at(42), 11, "use")],
+        [("a", at(0), 1, "login", "u"), ("a", at(1), 2, "use", "u"), ("b", at(0), 3, "login", "u"), ("z", at(1), 20, "use", "u")],
+        [("a", at(25), 4, "use", "u"), ("b", at(40), 5, "use", "u"), ("c", at(40), 6, "login", "v"), ("d", at(40), 12, "login", "v")],
+        [("a", at(54), 7, "use", "u"), ("b", at(41), 8, "use", "u"), ("c", at(41), 9, "revoke", "v"), ("a", at(53.97), 21, "use", "u")],  # out of order
+        [("a", at(90), 10, "use", "u"), ("c", at(89.99), 11, "use", "v"), ("e", at(90), 13, "login", "w"), ("f", at(90), 14, "login", "w"), ("b", at(3), 99, "use", "u")],  # the last one is late
+        [("x", at(91), 15, "revoke_all", "w"), ("e", at(92), 16, "use", "w"), ("f", at(93), 17, "use", "w")],
+        [("g", at(200), 18, "login", "w")],
     ])
-    got = {i: o for i, o in rows(jobs.run_append(jobs.session_stream(stream), "sessions-test"), "use_id", "outcome")}
+    progress = []
+    got = {i: o for i, o in rows(jobs.run_append(jobs.session_stream(stream), "sessions-test", progress=progress), "use_id", "outcome")}
     assert got == {
-        1: "issued", 2: "used", 4: "renewed", 7: "renewed", 10: "rejected",  # renewed at day 25 and 54, over at day 84
-        3: "issued", 5: "rejected", 8: "rejected", 6: "issued", 9: "revoked", 11: "rejected"}
+        1: "issued", 2: "used", 20: "rejected", 4: "renewed", 21: "renewed", 7: "used", 10: "rejected",  # renewed at day 25 and 53.97
+        3: "issued", 5: "rejected", 8: "rejected", 6: "issued", 12: "issued", 9: "revoked", 11: "rejected",
+        13: "issued", 14: "issued", 15: "revoked", 16: "rejected", 17: "rejected", 18: "issued"}
+    assert state_rows(progress) <= 3  # session g and its timers: what expired or was revoked is gone
+
+
+def test_first_use_issues_without_kinds(spark, tmp_path):
+    schema = "token string, ts timestamp, use_id bigint"
+    stream = replay(spark, str(tmp_path / "uses"), schema, [[("a", at(0), 1), ("a", at(1), 2)], [("a", at(25), 3), ("b", at(25), 4)]])
+    got = rows(jobs.run_append(jobs.session_stream(stream), "sessions-test"), "use_id", "outcome")
+    assert got == [(1, "issued"), (2, "used"), (3, "renewed"), (4, "issued")]
 
 
 def test_retries_over_batches(spark, tmp_path):
@@ -46,15 +63,97 @@ def test_retries_over_batches(spark, tmp_path):
         [(1, "r", "pending", at(0)), (2, "r", "pending", at(20 * second))],
         [(3, "r", "pending", at(30 * second)), (4, "r", "pending", at(31 * second))],
         [(5, "r", "complete", at(100 * second)), (6, "r", "pending", at(101 * second))],
+        [(7, f"r{i}", "error", at(500 * second)) for i in range(1)] + [(8 + i, f"q{i}", "error", at((501 + i) * second)) for i in range(20)],
+        [(40, "s", "complete", at(2000 * second))],
     ])
-    got = dict(rows(jobs.run_append(jobs.retry_stream(stream, 30), "retries-test"), "request_id", "admitted"))
-    assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: True}
+    progress = []
+    got = dict(rows(jobs.run_append(jobs.retry_stream(stream, 30), "retries-test", progress=progress), "request_id", "admitted"))
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: True, 40: True} | {i: True for i in range(7, 28)}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) >= 21 and state_rows(progress) == 0
 
 
 def test_quota_over_batches(spark, tmp_path):
     schema = "request_id bigint, license_id string, scan_type string, repo_fingerprint string, tier string, ts timestamp"
     deep = lambda i, day: (i, "l", "deep_scan", None, "pro", at(day))
     stream = replay(spark, str(tmp_path / "quota"), schema, [
-        [deep(i, 0.1 * i) for i in range(6)], [deep(i, 0.1 * i) for i in range(6, 12)], [deep(12, 40)]])
-    got = sorted(rows(jobs.run_append(jobs.quota_stream(stream), "quota-test"), "request_id", "allowed", "used"))
-    assert got == [(i, i < 10 or i == 12, min(i + 1, 10) if i < 12 else 1) for i in range(13)]
+        [deep(i, 0.1 * i) for i in range(6)], [deep(i, 0.1 * i) for i in range(6, 12)], [deep(12, 40)],
+        [deep(13, 80)], [deep(14, 400), deep(99, 10)],  # the second one is late
+        [deep(15, 500)]])
+    progress = []
+    got = sorted(rows(jobs.run_append(jobs.quota_stream(stream), "quota-test", progress=progress), "request_id", "allowed", "used"))
+    assert got == [(i, i < 10 or i >= 12, min(i + 1, 10) if i < 12 else 1) for i in range(16)]
+    assert state_rows(progress) <= 3  # the last month and its timer
+
+
+def test_repository_quotas_stay(spark, tmp_path):
+    schema = "request_id bigint, license_id string, scan_type string, repo_fingerprint string, tier string, ts timestamp"
+    stream = replay(spark, str(tmp_path / "quota"), schema, [[(10 * k + i, "l", "audit", "repo", "free", at(40 * k + i)) for i in range(4)] for k in range(3)])
+    got = sorted(rows(jobs.run_append(jobs.quota_stream(stream), "quota-test"), "request_id", "allowed", "used", "limit"))
+    limit = got[0][3]
+    assert [g[1] for g in got] == [i < limit for i in range(12)] and got[-1][2] == limit
+
+
+BILLING = "event_id bigint, ts timestamp, event_type string, subscription_id string, product string, bundle_products string, email string"
+
+
+def billing(i, day, kind, sub, product="alpha", listed=""):
+    return (i, at(day), {"buy": "checkout.session.completed", "end": "customer.subscription.deleted", "fail": "invoice.payment_failed"}[kind], sub, product, listed, "u@example.org")
+
+
+def licence_versions(spark, path, batches):
+    progress = []
+    stream = replay(spark, path, BILLING, batches)
+    out = jobs.run_batches(jobs.licence_stream(stream, ("alpha", "beta")), "billing-test", lambda b: b, progress=progress)
+    got = {(r["checkout_id"], r["item_no"]): (r["product"], r["revoked_at"]) for r in jobs.latest_updates(out, "checkout_id", "item_no").collect()}
+    return got, progress
+
+
+def test_licence_states_over_batches(spark, tmp_path):
+    batches = [
+        [billing(1, 0, "buy", "s", "bundle"), billing(2, 0.5, "fail", "s"), billing(3, 1, "buy", "t", "beta")],
+        [billing(4, 2, "end", "s"), billing(5, 1.999, "end", "s")],  # the earlier one counts
+        [billing(6, 3, "buy", "s", "bundle", "gamma, delta,"), billing(6, 3, "buy", "s", "bundle", "gamma, delta,"), billing(7, 2.99, "end", "t")],
+        [billing(3, 1, "buy", "t", "beta"), billing(8, 4, "buy", "t"), billing(9, 3.99, "end", "s")],  # the first comes again, too late
+        [billing(10, 30, "end", "nobody"), billing(11, 30, "buy", "v")],
+    ]
+    got, progress = licence_versions(spark, str(tmp_path / "billing"), batches)
+    assert got == {
+        (1, 0): ("alpha", at(1.999)), (1, 1): ("beta", at(1.999)), (3, 0): ("beta", at(2.99)), (6, 0): ("gamma", at(3.99)), (6, 1): ("delta", at(3.99)),
+        (8, 0): ("alpha", None), (11, 0): ("alpha", None)}
+    # a delivery of all files twice changes nothing
+    again, _ = licence_versions(spark, str(tmp_path / "again"), [b * 2 for b in batches])
+    assert again == got
+    assert progress[-1]["stateOperators"][-1]["numRowsTotal"] <= 8  # open licences, and what the watermark hasn't passed
+
+
+def test_licence_state_does_not_grow_with_the_log(spark, tmp_path):
+    """Sixty subscriptions are bought and ended, a hundred events each batch: what a batch holds at its end stays."""
+    batches = [[billing(1000 * k + i, 10 * k + i / 1000, "buy", f"s{k}-{i}") for i in range(60)]
+               + [billing(1000 * k + 500 + i, 10 * k + 1 + i / 1000, "end", f"s{k}-{i}") for i in range(60)] for k in range(5)]
+    got, progress = licence_versions(spark, str(tmp_path / "billing"), batches)
+    assert len(got) == 300 and all(end is not None for _, end in got.values())
+    held = [p["stateOperators"][-1]["numRowsTotal"] for p in progress if p["numInputRows"]]
+    assert held[-1] <= 1.5 * held[0]
+
+
+def test_events_that_come_twice_count_once(spark, tmp_path):
+    schema = "session string, pos bigint, ts timestamp, tool string, signature string"
+    second = 1 / DAY
+    piece = [[(f"s{i % 3}", 10 * k + i, at((600 * k + i) * second), "t", "sig") for i in range(6)] for k in range(4)]
+    once, twice = (rows(jobs.run_append(jobs.rolling_gotchas(replay(spark, str(tmp_path / f"errors{n}"), schema, pieces), "10 minutes", "5 minutes", ["session", "pos"]), "g"), "start", "n", "sessions")
+                   for n, pieces in ((1, piece), (2, [piece[0], piece[0] + piece[1], piece[1], piece[2], piece[3]])))
+    assert once == twice and [(n, s) for _, n, s in once] == [(6, 3)] * 2  # the windows that the watermark has passed
+
+
+def test_active_users_by_bitmaps(spark, tmp_path):
+    schema = "user_id bigint, ts timestamp"
+    events = [[(u, at(day + u / 1e6)) for u in range(day * 7, day * 7 + 40_000, 997)] for day in range(10)] + [[(1, at(12))]]
+    stream, progress = replay(spark, str(tmp_path / "events"), schema, events), []
+    daily = jobs.run_append(jobs.daily_users(stream), "daily", progress=progress)
+    got = {r["from_day"]: r["users"] for r in jobs.active_users(daily, jobs.last_watermark(progress)).collect()}
+    want = {}
+    for start in range(-6, 5):
+        users = {u for day in range(max(0, start), min(10, start + 7)) for u, _ in events[day]}
+        want[at(start)] = len(users)
+    assert got == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 8  # a bitmap per open day and 32,768 ids
