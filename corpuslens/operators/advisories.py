@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-def version_key(version: Column) -> Column:
-    """Sortable key of a dotted version: numeric parts padded, missing parts as 0.
-
-    Pre-release tags are not ordered; only the leading number of each part counts.
-    """
-    parts = F.transform(F.split(version, r"\."), lambda p: F.lpad(F.regexp_extract(p, r"^(\d*)", 1), 10, "0"))
-    padded = F.concat(parts, F.array_repeat(F.lit("0" * 10), 4))
-    return F.when(version.isNotNull(), F.array_join(F.slice(padded, 1, 4), "."))
+from corpuslens.functions.versions import version_key
+from corpuslens.operators.ranking import carried
+from corpuslens.session import cut_lineage
 
 
 def cvss_band(score: Column) -> Column:
@@ -24,21 +18,69 @@ def cvss_band(score: Column) -> Column:
     )
 
 
-def vulnerabilities(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+def _covering(low: Column, high: Column, bits: int) -> Column:
+    """array<struct<level, node>>: the fewest aligned blocks of powers of two that make up [low, high)."""
+    def blocks(level: Column) -> Column:
+        a = F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1), level) - 1, level)
+        b = F.call_function("shiftright", high, level)
+        node = lambda n: F.struct(level.alias("level"), n.cast("int").alias("node"))
+        none = F.array().cast("array<struct<level: int, node: int>>")
+        first = F.when(a % 2 == 1, F.array(node(a))).otherwise(none)
+        last = F.when(b % 2 == 1, F.array(node(b - 1))).otherwise(none)
+        return F.when(a < b, F.concat(first, last)).otherwise(none)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), blocks))
+
+
+def affected_versions(versions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ecosystem, name, version, adv_id for distinct ``versions`` (ecosystem, name, version) and
+    ``ranges`` (ecosystem, name, adv_id, introduced, fixed): introduced <= version < fixed.
+
+    The ends of a package's ranges cut its versions into disjoint intervals, numbered in order. A
+    version finds its interval by an as-of lookup; a range becomes the few aligned blocks of intervals that
+    it covers, so hits come from an equi join on blocks and no version meets a range that doesn't hold
+    it. A null introduced has no lower end, a null fixed no upper one; what is no version is never hit.
+    """
+    package = ["ecosystem", "name"]
+    keyed = versions.select(*package, "version", version_key(F.col("version"), F.col("ecosystem")).alias("at")).where("at IS NOT NULL")
+    bounds = ranges.select(
+        *package, "adv_id", version_key(F.col("introduced"), F.col("ecosystem")).alias("low"), version_key(F.col("fixed"), F.col("ecosystem")).alias("high"),
+        (F.col("introduced").isNull()).alias("from_start"), F.col("fixed").isNull().alias("to_end"))
+    bounds = bounds.where("(from_start OR low IS NOT NULL) AND (to_end OR high IS NOT NULL)")
+    ends = bounds.select(*package, F.explode(F.array("low", "high")).alias("at")).where("at IS NOT NULL").distinct()
+    # one row per end of a range; windows are per package
+    ends = cut_lineage(ends.withColumn("no", F.row_number().over(Window.partitionBy(*package).orderBy("at"))), "range-ends")
+    bits = (ends.agg(F.coalesce(F.max("no"), F.lit(0))).first()[0] + 1).bit_length()
+    one, other = ends.select(*package, F.col("at").alias("low"), F.col("no").alias("first")), ends.select(*package, F.col("at").alias("high"), F.col("no").alias("beyond"))
+    spans = bounds.join(one, [*package, "low"], "left").join(other, [*package, "high"], "left")
+    count = ends.groupBy(*package).agg(F.max("no").alias("most"))
+    spans = spans.join(count, package, "left").select(
+        *package, "adv_id", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("beyond", F.col("most") + 1, F.lit(1)).alias("beyond"))
+    blocks = spans.select(*package, "adv_id", F.explode(_covering(F.col("first"), F.col("beyond"), bits)).alias("block"))
+    # as-of: the number of the last end that isn't beyond the version; ends come before equal versions
+    both = ends.select(*package, "at", F.lit(0).alias("side"), "no", F.lit(None).cast("string").alias("version")).unionByName(
+        keyed.select(*package, "at", F.lit(1).alias("side"), F.lit(None).cast("int").alias("no"), "version"))
+    placed = carried(both, package, F.substring("at", 1, 12), ["at", "side", "version"], {"interval": F.col("no")}).where("side = 1")
+    levels = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.coalesce("interval", F.lit(0)), level).cast("int").alias("node")))
+    asked = placed.select(*package, "version", F.explode(levels).alias("block"))
+    return asked.join(blocks, [*package, "block"]).select(*package, "version", "adv_id")
+
+
+def vulnerabilities(deps: DataFrame, advisories: DataFrame, summary_chars: int = 200) -> DataFrame:
     """Pinned dependencies hit by an advisory: introduced <= version < fixed.
 
-    The range join runs on the distinct (ecosystem, name, version) triples, which do not grow
+    Ranges are looked up for the distinct (ecosystem, name, version) triples, which do not grow
     with the number of projects that use a popular package; projects come back by an equi join.
+    ``summary`` is cut to ``summary_chars``, ``full_summary`` is whole.
     """
     pinned = deps.filter(F.col("version") != "")
-    triples = pinned.select("ecosystem", "name", "version").distinct().withColumn("_v", version_key(F.col("version")))
-    ranges = advisories.select(
+    triples = pinned.select("ecosystem", "name", "version").distinct()
+    text = F.coalesce("summary", F.lit("No description available"))
+    told = advisories.select(
         "ecosystem", "name", "adv_id", F.coalesce("alias", "adv_id").alias("cve_id"), cvss_band(F.col("cvss")).alias("severity"),
-        F.substring(F.coalesce("summary", F.lit("No description available")), 1, 200).alias("summary"),
-        F.col("fixed").alias("fix_version"), version_key(F.col("introduced")).alias("_from"), version_key(F.col("fixed")).alias("_to"))
-    hit = triples.join(ranges, ["ecosystem", "name"]).filter(
-        F.coalesce(F.col("_v") >= F.col("_from"), F.lit(True)) & F.coalesce(F.col("_v") < F.col("_to"), F.lit(True)))
-    found = hit.select("ecosystem", "name", "version", "adv_id", "cve_id", "severity", "summary", "fix_version")
+        F.substring(text, 1, summary_chars).alias("summary"), text.alias("full_summary"), F.col("fixed").alias("fix_version"))
+    found = affected_versions(triples, advisories.select("ecosystem", "name", "adv_id", "introduced", "fixed"))
+    found = found.distinct().join(told, ["ecosystem", "name", "adv_id"])
     return pinned.join(found, ["ecosystem", "name", "version"])
 
 

@@ -332,11 +332,16 @@ def cleanup_plan(spark, sf_dir):
 
 # ---- advisories ---------------------------------------------------------------------
 def _vk(c: str) -> str:
-    return f"CASE WHEN {c} IS NOT NULL THEN list_concat(list_transform(string_split({c}, '.'), lambda p: CAST(p AS INT)), [0, 0, 0, 0])[1:4] END"
+    """A version as a list of numbers: epoch, release without trailing zeros, -1, phase and number of a pre-release, post, dev."""
+    num = lambda p: f"TRY_CAST(nullif(regexp_extract({c}, '{p}', 1), '') AS BIGINT)"
+    release = f"list_transform(string_split(regexp_replace(regexp_extract({c}, '^(?:[0-9]+!)?([0-9]+(?:[.][0-9]+)*)', 1), '([.]0+)+$', ''), '.'), lambda p: CAST(p AS BIGINT))"
+    phase = f"CASE WHEN regexp_matches({c}, 'dev') THEN 0 WHEN regexp_matches({c}, '[0-9]-?a') THEN 1 WHEN regexp_matches({c}, 'beta') THEN 2 WHEN regexp_matches({c}, 'rc') THEN 3 ELSE 4 END"
+    return (f"list_concat([coalesce({num('^([0-9]+)!')}, 0)], {release}, [-1, {phase}, coalesce({num('(?:a|alpha|beta|rc)[.]?([0-9]+)')}, 0), "
+            f"coalesce({num('post([0-9]+)')}, -1), coalesce({num('dev([0-9]+)')}, 1000000)])")
 
 
 _VULN = f"""v AS (SELECT d.*, a.adv_id, coalesce(a.alias, a.adv_id) AS cve_id, CASE WHEN cvss IS NULL THEN 'unknown' WHEN coalesce(TRY_CAST(cvss AS DOUBLE), 0) >= 9 THEN 'critical' WHEN coalesce(TRY_CAST(cvss AS DOUBLE), 0) >= 7 THEN 'high' WHEN coalesce(TRY_CAST(cvss AS DOUBLE), 0) >= 4 THEN 'medium' ELSE 'low' END AS severity,
- substr(a.summary, 1, 200) AS summary, a.fixed AS fix_version FROM deps d JOIN advisories a ON a.ecosystem = d.ecosystem AND a.name = d.name WHERE d.version <> '' AND {_vk('d.version')} >= {_vk('a.introduced')} AND (a.fixed IS NULL OR {_vk('d.version')} < {_vk('a.fixed')}))"""
+ substr(a.summary, 1, 200) AS summary, a.summary AS full_summary, a.fixed AS fix_version FROM deps d JOIN advisories a ON a.ecosystem = d.ecosystem AND a.name = d.name WHERE d.version <> '' AND {_vk('d.version')} >= {_vk('a.introduced')} AND (a.fixed IS NULL OR {_vk('d.version')} < {_vk('a.fixed')}))"""
 
 
 @query("vulnerabilities", "J15", f"WITH {_VULN} SELECT * FROM v", "deps advisories")

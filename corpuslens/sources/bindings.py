@@ -438,7 +438,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("part",),
         "SELECT p_partkey AS dep_no, 'proj' || (CASE WHEN p_partkey % 3 = 0 THEN 'Hot' ELSE p_brand END) AS project, "
         "replace(p_name, ' ', '-') AS name, "
-        "(CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) END) AS version, "
+        "(CASE WHEN p_partkey % 11 = 0 THEN '' ELSE (CASE WHEN p_partkey % 26 = 4 THEN '1!' ELSE '' END) || p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) || "
+        "(CASE p_partkey % 14 WHEN 2 THEN 'rc1' WHEN 4 THEN '.post2' WHEN 6 THEN '.dev3' WHEN 8 THEN '.4.5' WHEN 10 THEN 'a2' "
+        "WHEN 1 THEN '-beta.2' WHEN 3 THEN '-rc.1' WHEN 5 THEN '-alpha.1' ELSE '' END) END) AS version, "
         "(CASE p_partkey % 2 WHEN 0 THEN 'PyPI' ELSE 'npm' END) AS ecosystem FROM part",
     ),
     "advisories": (
@@ -447,7 +449,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "(CASE s_suppkey % 4 WHEN 0 THEN 'blue' WHEN 1 THEN 'cold' WHEN 2 THEN 'hot' ELSE 'red' END) || '-' || "
         "(CASE s_nationkey % 4 WHEN 0 THEN 'bolt' WHEN 1 THEN 'gear' WHEN 2 THEN 'ring' ELSE 'widget' END) AS name, "
         "(CASE WHEN s_nationkey % 2 = 0 THEN 'PyPI' ELSE 'npm' END) AS ecosystem, "
-        "(s_suppkey % 20) || '.0' AS introduced, (CASE WHEN s_suppkey % 6 <> 5 THEN (s_suppkey % 20 + 9) || '.4.1' END) AS fixed, "
+        "(s_suppkey % 20) || '.0' || (CASE WHEN s_suppkey % 9 = 4 THEN '-rc.1' ELSE '' END) AS introduced, "
+        "(CASE WHEN s_suppkey % 6 <> 5 THEN (s_suppkey % 20 + 9) || '.4.1' || (CASE WHEN s_suppkey % 7 = 2 THEN '-beta.3' ELSE '' END) END) AS fixed, "
         "(CASE WHEN s_suppkey % 10 = 7 THEN 'CVSS:3.1/AV:N' WHEN s_suppkey % 10 = 3 THEN CAST(NULL AS VARCHAR(9)) ELSE '' || (s_suppkey % 10) || '.5' END) AS cvss, "
         "'Advisory about ' || s_name AS summary FROM supplier",
     ),

@@ -281,3 +281,49 @@ def test_groups_may_span_batches():
             while (times > at + 40).any():
                 at = times[times > at + 40][0]
             assert at == last
+
+
+#: In rising order; those of one line are equal.
+PYTHON_VERSIONS = [
+    ["0"], ["1.0.dev456", "1.0.0.dev456"], ["1.0a1"], ["1.0a2.dev456"], ["1.0a12.dev456"], ["1.0a12", "1.0.alpha-12"], ["1.0b1.dev456"], ["1.0b2"], ["1.0b2.post345.dev456"],
+    ["1.0b2.post345", "1.0b2-345"], ["1.0rc1.dev456"], ["1.0rc1", "1.0c1", "1.0-preview1"], ["1.0", "1", "v1.0.0"], ["1.0+abc.5"], ["1.0+abc.7"], ["1.0+5"], ["1.0.post456.dev34"], ["1.0.post456", "1.0.r456"],
+    ["1.0.15"], ["1.1.dev1"], ["1.2.3.4.5"], ["1.2.3.4.5.0.1"], ["1.9"], ["1.10"], ["1.123456789012345678901234567890"], ["2024.1"], ["1!0.1"], ["1!2"],
+]
+SEMANTIC_VERSIONS = [
+    ["1.0.0-1"], ["1.0.0-2"], ["1.0.0-10"], ["1.0.0-alpha"], ["1.0.0-alpha.1"], ["1.0.0-alpha.beta"], ["1.0.0-beta"], ["1.0.0-beta.2"], ["1.0.0-beta.11"], ["1.0.0-rc.1", "1.0.0-rc.1+build.5"],
+    ["1.0.0", "1.0", "v1"], ["1.0.1"], ["1.2.3.4.5"], ["1.10.0"], ["2.0.0"],
+]
+
+
+def test_version_keys_sort_as_versions(spark):
+    from corpuslens.functions.versions import version_key
+
+    for ecosystem, order in (("PyPI", PYTHON_VERSIONS), ("npm", SEMANTIC_VERSIONS)):
+        frame = spark.createDataFrame([(i, v, ecosystem) for i, same in enumerate(order) for v in same], "place int, version string, ecosystem string")
+        found = frame.withColumn("key", version_key(F.col("version"), F.col("ecosystem"))).collect()
+        by_place = {}
+        for r in found:
+            assert by_place.setdefault(r["place"], r["key"]) == r["key"], r
+        keys = [by_place[i].encode() for i in range(len(order))]
+        assert all(a < b for a, b in zip(keys, keys[1:])), [(order[i], order[i + 1]) for i in range(len(keys) - 1) if keys[i] >= keys[i + 1]]
+    none = spark.createDataFrame([("latest", "PyPI"), ("", "npm"), ("1.x", "npm"), (">=1", "PyPI"), (None, "npm")], "version string, ecosystem string")
+    assert all(r[0] is None for r in none.select(version_key(F.col("version"), F.col("ecosystem"))).collect())
+
+
+def test_affected_versions_equal_every_range_tested(spark):
+    pick = random.Random(11)
+    order = [v for same in PYTHON_VERSIONS for v in same]
+    place = {v: i for i, same in enumerate(PYTHON_VERSIONS) for v in same}
+    versions = [("PyPI", name, v) for name in ("x", "y", "z") for v in order]
+    ranges = []
+    for k in range(120):  # x is hit by many ranges, z by none
+        low, high = (pick.choice(order + [None]) for _ in range(2))
+        ranges.append(("PyPI", pick.choice(("x", "x", "x", "y", "w")), f"A{k}", low, high))
+    ranges.append(("PyPI", "y", "odd", "latest", None))  # an end that is no version: never
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    got = advisories.affected_versions(
+        frame(versions, "ecosystem string, name string, version string"), frame(ranges, "ecosystem string, name string, adv_id string, introduced string, fixed string"))
+    want = [(n, v, a) for _, n, v in versions for _, m, a, low, high in ranges
+            if n == m and a != "odd" and (low is None or place[low] <= place[v]) and (high is None or place[v] < place[high])]
+    assert rows(got, "name", "version", "adv_id") == sorted(want, key=repr) and len(want) > 500
+    assert advisories.affected_versions(frame([], "ecosystem string, name string, version string"), frame([], "ecosystem string, name string, adv_id string, introduced string, fixed string")).count() == 0
