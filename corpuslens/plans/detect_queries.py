@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.rules import Rule
-from corpuslens.operators import detect
+from corpuslens.operators import detect, rule_packs
 from corpuslens.operators import inventory as inv
 from corpuslens.plans.inventory_queries import FILES_SQL, IS_TEST_SQL, KEY_SQL, NAME_SQL, sql_list
 from corpuslens.plans.registry import query
@@ -250,6 +250,13 @@ def leak_report(spark, sf_dir):
     return detect.scored_projects(view(spark, sf_dir, "corpus", "project"), _leaks(spark, sf_dir))
 
 
+@query("rule_pack_findings", "P12 UDF4", """WITH l AS (SELECT project, path, u.line AS text, CAST(u.n AS INT) AS line FROM corpus, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, n)),
+h AS (SELECT project, path, line, min(ord) AS ord FROM l, rule_pack WHERE regexp_matches(l.text, pattern) GROUP BY ALL)
+SELECT project, path, line, ord, category, severity, message FROM h JOIN rule_pack USING (ord)""", "corpus rule_pack")
+def rule_pack_findings(spark, sf_dir):
+    return rule_packs.pack_findings(view(spark, sf_dir, "corpus", "project", "path", "text"), view(spark, sf_dir, "rule_pack"))
+
+
 @query("debt_markers", "D9 P11 P12", f"WITH {FILES_SQL}, {LINES_SQL} {MARKER_SQL}", "corpus")
 def debt_markers(spark, sf_dir):
     return detect.text_findings(_corpus(spark, sf_dir), [detect.debt_packs()["markers"]])

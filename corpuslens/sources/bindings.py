@@ -454,6 +454,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "(CASE WHEN s_suppkey % 10 = 7 THEN 'CVSS:3.1/AV:N' WHEN s_suppkey % 10 = 3 THEN CAST(NULL AS VARCHAR(9)) ELSE '' || (s_suppkey % 10) || '.5' END) AS cvss, "
         "'Advisory about ' || s_name AS summary FROM supplier",
     ),
+    # a user's rule pack: markers, credentials, calls and paths that name a number
+    "rule_pack": (
+        ("supplier",),
+        "SELECT CAST(s_suppkey AS BIGINT) AS ord, (CASE s_suppkey % 5 WHEN 0 THEN '(?i)todo: +tidy item ' || s_suppkey || '$' WHEN 1 THEN 'NOTE: see ' || s_suppkey || '$' "
+        "WHEN 2 THEN '(hunter|pw)' || s_suppkey || '[^0-9]' WHEN 3 THEN 'load[(]' || s_suppkey || '[)]|/items/' || s_suppkey || chr(34) "
+        "ELSE '^.{' || s_suppkey || '}[.][.]?$' END) AS pattern, "
+        "'pack' || (s_suppkey % 3) AS category, (CASE s_suppkey % 2 WHEN 0 THEN 'high' ELSE 'low' END) AS severity, 'rule ' || s_suppkey AS message FROM supplier",
+    ),
     # licences and keys; SHA<<expr>> is the hex sha256 of a string expression
     "licenses": (
         ("customer",),
