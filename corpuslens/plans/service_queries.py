@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from corpuslens.functions import fixed, keys
 from corpuslens.operators import advisories, audit, chains, inventory, licences, repo_health, scans, telemetry
 from corpuslens.plans.audit_queries import QUALITY_SQL  # noqa: F401
-from corpuslens.plans.inventory_queries import sql_list, sql_values
+from corpuslens.plans.inventory_queries import EXCLUDED_SQL, sql_list, sql_values
 from corpuslens.plans.registry import ORACLES, query
 from corpuslens.session import cut_lineage, scratch_path
-from corpuslens.sources import tables
+from corpuslens.sources import files as file_source, stored, tables
 from corpuslens.sources.bindings import view
 
 AS_OF = "2024-06-01 00:00:00"
@@ -67,6 +67,19 @@ def machine_upsert(spark, sf_dir):
     return licences.merged_machines(licences.machine_activity(outcomes.filter(morning)), licences.machine_activity(outcomes.filter(~morning)))
 
 
+@query("stored_machines", "S12", ORACLES["machine_activity"])
+def stored_machines(spark, sf_dir):
+    """The uses of four stretches of the day are merged into a stored table one after the other, the second one twice."""
+    outcomes = _outcomes(spark, sf_dir)
+    path = scratch_path(spark, "machines")
+    stored.create_stored(spark, path, "license_id bigint, machine_id string, first_seen timestamp, last_seen timestamp")
+    for batch in (0, 1, 2, 1, 3):
+        uses = outcomes.filter(F.floor(F.hour("ts") / 6) == batch).withColumn("ts", F.col("ts").cast("timestamp"))
+        stored.upsert_machines(spark, path, licences.machine_activity(uses), batch)
+    ntz = [F.col(c).cast(outcomes.schema["ts"].dataType).alias(c) for c in ("first_seen", "last_seen")]
+    return stored.read_stored(spark, path).select("license_id", "machine_id", *ntz)
+
+
 _BOUGHT = f"""bought AS (SELECT event_id AS checkout_id, ts, subscription_id, email, CASE WHEN product = 'bundle' THEN 'bundle-' || event_id END AS bundle_id, n - 1 AS item_no, p AS product FROM billing_events,
  unnest(CASE WHEN product <> 'bundle' THEN [product] WHEN len(list_filter(list_transform(string_split(bundle_products, ','), lambda x: trim(x)), lambda x: x <> '')) > 0 THEN list_filter(list_transform(string_split(bundle_products, ','), lambda x: trim(x)), lambda x: x <> '') ELSE [{sql_list(DEFAULT_BUNDLE)}] END) WITH ORDINALITY AS u(p, n)
  WHERE event_type = 'checkout.session.completed' AND email IS NOT NULL)"""
@@ -221,6 +234,59 @@ def upserted_users(spark, sf_dir):
     return scans.upserted_users(view(spark, sf_dir, "users"), view(spark, sf_dir, "logins"))
 
 
+@query("stored_users", "S15", "SELECT github_id, arg_max(username, (ts, login_id)) AS username, min(ts) AS created_at FROM logins GROUP BY github_id", "logins")
+def stored_users(spark, sf_dir):
+    """Three parts of the log of logins are merged into a stored table, the later ones first."""
+    logins = view(spark, sf_dir, "logins")
+    path = scratch_path(spark, "users")
+    kind = logins.schema["github_id"].dataType.simpleString()
+    stored.create_stored(spark, path, f"github_id {kind}, username string, created_at timestamp, last_login timestamp")
+    for batch in range(3):
+        part = logins.filter(F.pmod("login_id", F.lit(3)) == 2 - batch).withColumn("ts", F.col("ts").cast("timestamp"))
+        stored.upsert_users(spark, path, part, batch)
+    made = F.col("created_at").cast(logins.schema["ts"].dataType)
+    return stored.read_stored(spark, path).select("github_id", "username", made.alias("created_at"))
+
+
+_TREE = "t AS (SELECT project, path, CASE WHEN strlen(text) % 7 = 3 THEN text || chr(0) || 'x' ELSE text END AS text FROM corpus)"
+
+
+def _tree(spark, sf_dir):
+    """The corpus as a tree of files in the shared folder; one file in seven is binary."""
+    text = F.when(F.octet_length("text") % 7 == 3, F.concat("text", F.lit("\x00x"))).otherwise(F.col("text"))
+    root = scratch_path(spark, "tree")
+    files = view(spark, sf_dir, "corpus", "project", "path", "text").withColumn("text", text)
+    stored.write_corpus(files, root)
+    return files, root
+
+
+@query("corpus_from_storage", "S1 S2", f"""WITH {_TREE}, s AS (SELECT project, path, text, CAST(strlen(text) AS BIGINT) AS size_bytes, contains(text, chr(0)) AS bin FROM t WHERE NOT {EXCLUDED_SQL})
+SELECT project, path, CASE WHEN size_bytes <= 8192 AND NOT bin THEN text END AS text, size_bytes, CASE WHEN size_bytes > 8192 THEN 'oversize' WHEN bin THEN 'binary' END AS skipped FROM s""", "corpus")
+def corpus_from_storage(spark, sf_dir):
+    root = _tree(spark, sf_dir)[1]
+    return stored.opened(stored.tree_listing(spark, root), root, max_kb=8).drop("modified", "sha256")
+
+
+@query("corpus_by_binary_files", "S1 S2", f"""WITH {_TREE}, s AS (SELECT project, path, text, CAST(strlen(text) AS BIGINT) AS size_bytes, contains(text, chr(0)) AS bin FROM t WHERE NOT {EXCLUDED_SQL} AND NOT regexp_matches(path, '(^|/)[._]'))
+SELECT project, path, CASE WHEN size_bytes <= 8192 AND NOT bin THEN text END AS text, size_bytes, CASE WHEN size_bytes > 8192 THEN 'oversize' WHEN bin THEN 'binary' END AS skipped FROM s""", "corpus")
+def corpus_by_binary_files(spark, sf_dir):
+    return file_source.read_corpus(spark, _tree(spark, sf_dir)[1], max_kb=8)
+
+
+@query("incremental_scan", "S1 J17", f"""WITH {_TREE} SELECT project, path, 'changed' AS what FROM t WHERE NOT {EXCLUDED_SQL} AND strlen(text) % 5 = 1
+UNION ALL SELECT project, CASE WHEN touched THEN 'scan' ELSE 'skip' END, 'project' FROM (SELECT project, bool_or(strlen(text) % 5 = 1) AS touched FROM t WHERE NOT {EXCLUDED_SQL} GROUP BY project)""", "corpus")
+def incremental_scan(spark, sf_dir):
+    """A tree is scanned, one file in five gets a line more, and the second scan opens those only."""
+    files, root = _tree(spark, sf_dir)
+    _, first = stored.changed_files(spark, root)
+    first = cut_lineage(first, "fingerprints")
+    edited = files.filter(F.octet_length("text") % 5 == 1).withColumn("text", F.concat("text", F.lit("\none line more")))
+    stored.write_corpus(edited, root)
+    texts, second = stored.changed_files(spark, root, first)
+    plan = stored.folders_to_scan(first, second).filter("folder = ''")
+    return texts.select("project", "path", F.lit("changed").alias("what")).unionByName(plan.select("project", F.col("action").alias("path"), F.lit("project").alias("what")))
+
+
 @query("scan_rows", "F26", """WITH RECURSIVE l AS (SELECT project, path, length(text) - length(replace(text, chr(10), '')) AS n FROM contexts)
 SELECT project, path, CASE WHEN n > 40 THEN 'error' ELSE 'complete' END AS status, CASE WHEN n > 40 THEN 'too long' END AS error, CASE WHEN n <= 40 THEN CAST(n AS BIGINT) END AS score, n <= 40 AS has_json FROM l""", "contexts")
 def scan_rows(spark, sf_dir):

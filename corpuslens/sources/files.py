@@ -16,6 +16,8 @@ def read_corpus(
     Files above the size limit are not opened: the limit is a filter on ``length``, which Spark
     applies before it reads. They stay as rows with a null text and ``skipped`` = ``oversize``.
     Binary files (a zero byte in the first 8192) have a null text and ``skipped`` = ``binary``.
+    Spark's file sources don't list names with a dot or an underscore in front; ``stored.tree_listing`` and
+    ``stored.opened`` do.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob_filter:
