@@ -60,6 +60,11 @@ def without_final_break(c: Column | str) -> Column:
     return F.when(drop > 0, F.left(c, F.length(c) - drop)).otherwise(c)
 
 
+def first_chars(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all of them."""
+    return c if n is None else F.substring(c, 1, n)
+
+
 def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
     """One row per line with a 1-based number. Narrow: no shuffle.
 

@@ -17,6 +17,7 @@ from corpuslens.functions import fixed
 from corpuslens.functions.rules import Rule, finding, first_match, kept, no_findings
 from corpuslens.functions.scores import clamp, severity_weight
 from corpuslens.functions.text import (
+    first_chars,
     last_segment, line_total, matches_with_line, newline_count, path_key, split_lines, strip,
     suffix, without_final_break,
 )
@@ -64,10 +65,10 @@ def line_findings(text: Column, packs: Sequence[LinePack]) -> Column:
     return F.when(reduce(lambda a, b: a | b, [p.near(low) for p in packs]), found).otherwise(no_findings())
 
 
-def marker_pack(only: Column | None = None) -> LinePack:
-    """Debt markers, first marker per line."""
+def marker_pack(only: Column | None = None, chars: int | None = 120) -> LinePack:
+    """Debt markers, first marker per line; a message holds the first ``chars`` of the line (None: all)."""
     def find(line: Column, n: Column) -> Column:
-        bare = F.substring(strip(line), 1, 120)
+        bare = first_chars(strip(line), chars)
         return first_match(line, n, [
             Rule(rx, "debt_markers", sev, F.concat(F.lit(f"{label}: "), bare))
             for rx, label, sev in fixed.DEBT_MARKERS
@@ -84,9 +85,10 @@ def quoted_secret_pack(only: Column | None = None) -> LinePack:
     return LinePack(lambda line, n: first_match(line, n, rules), fixed.QUOTED_SECRET_WORDS, only)
 
 
-def home_path_pack(only: Column | None = None) -> LinePack:
+def home_path_pack(only: Column | None = None, chars: int | None = 80) -> LinePack:
+    """Paths of home folders; a message holds the first ``chars`` of the line (None: all)."""
     def find(line: Column, n: Column) -> Column:
-        message = F.concat(F.lit("Local filesystem path exposed: "), F.substring(strip(line), 1, 80))
+        message = F.concat(F.lit("Local filesystem path exposed: "), first_chars(strip(line), chars))
         return first_match(line, n, [Rule(fixed.HOME_PATH, "local_paths", "high", message)])
 
     return LinePack(find, ("/home/", "/users/", "c:\\users\\"), only)
@@ -127,12 +129,14 @@ def custom_pack(rules: Sequence[Rule], needles: tuple[str, ...], only: Column |
 
 
 # ---- leak detectors ------------------------------------------------------------------
-def leak_packs() -> dict[str, LinePack]:
+def leak_packs(scan_scripts: bool = False, chars: int | None = 80) -> dict[str, LinePack]:
+    """The leak detectors over lines. Vendor keys are not looked for in files whose opening names a secret
+    scanner, unless ``scan_scripts``; ``chars`` of a line go into the message of a home path (None: all)."""
     scannable, sample = F.col("_scannable"), F.col("_sample")
     usable = scannable & ~sample
     return {
-        "home": home_path_pack(scannable),
-        "vendor": vendor_key_pack(usable & ~F.col("_script")),
+        "home": home_path_pack(scannable, chars),
+        "vendor": vendor_key_pack(usable if scan_scripts else usable & ~F.col("_script")),
         "password": literal_pack(
             fixed.PASSWORD_LITERAL, "high", "Hardcoded password or secret value",
             ("password", "passwd", "pwd", "secret"), usable),

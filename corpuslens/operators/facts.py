@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslens.functions.text import path_key, split_lines, strip, suffix, without_final_break
+from corpuslens.functions.text import first_chars, path_key, split_lines, strip, suffix, without_final_break
 from corpuslens.operators import inventory as inv
 from corpuslens.operators.ranking import ranged_rank
 
@@ -130,8 +130,8 @@ def vocabulary(files: DataFrame, limits: dict[str, int]) -> DataFrame:
     )
 
 
-def marker_comments(files: DataFrame, n: int | None = None, body_chars: int = BODY_CHARS) -> DataFrame:
-    """Marker comments with type, text (its first ``body_chars``) and file: ``#`` comments of a file
+def marker_comments(files: DataFrame, n: int | None = None, body_chars: int | None = BODY_CHARS) -> DataFrame:
+    """Marker comments with type, text (its first ``body_chars``, None: all) and file: ``#`` comments of a file
     first, then ``//``. ``n`` keeps the first of a display."""
     rows = files.filter(inv.language_of(suffix("path")).isNotNull())
 
@@ -141,7 +141,7 @@ def marker_comments(files: DataFrame, n: int | None = None, body_chars: int = BO
             pairs,
             lambda p, j: F.struct(
                 F.lit(i).alias("pass_no"), j.alias("at"), p["kind"].alias("kind"),
-                F.substring(strip(p["body"]), 1, body_chars).alias("body"),
+                first_chars(strip(p["body"]), body_chars).alias("body"),
             ),
         )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions import fixed
-from corpuslens.functions.text import strip
+from corpuslens.functions.text import first_chars, strip
 from corpuslens.operators.ranking import carried
 
 ITEMS_PER_BUCKET = 100_000
@@ -15,18 +15,24 @@ SIGNATURE_CHARS = 160
 EXAMPLE_CHARS = 200
 
 
-def error_signature(text: Column, read: int = SIGNATURE_INPUT_CHARS, kept: int = SIGNATURE_CHARS) -> Column:
-    """Start of an error text without paths, hex ids and numbers. The order of replacements matters: a
+def error_signature(text: Column, read: int | None = SIGNATURE_INPUT_CHARS, kept: int | None = SIGNATURE_CHARS) -> Column:
+    """Start of an error text, or all of it (None), without paths, hex ids and numbers. The order of replacements matters: a
     number of eight or more digits counts as a hex id."""
-    out = F.substring(strip(text), 1, read)
+    out = first_chars(strip(text), read)
     for pattern, placeholder in fixed.ERROR_NOISE:
         out = F.regexp_replace(out, pattern, placeholder)
-    return F.substring(out, 1, kept)
+    return first_chars(out, kept)
 
 
-def paired_errors(items: DataFrame, cwd_prefix: str | None = None) -> DataFrame:
+def paired_errors(
+    items: DataFrame, cwd_prefix: str | None = None, read: int | None = SIGNATURE_INPUT_CHARS, kept: int | None = SIGNATURE_CHARS,
+    example: int | None = EXAMPLE_CHARS,
+) -> DataFrame:
     """Failed results with the tool and folder of the last earlier call of the same id.
 
+    The signature and the example are cut as ``error_signature`` says (None: whole); ``text_sha256`` is the
+    digest of the whole text.
+
     As-of pairing: a result whose id was never called gets tool ``?``. ``cwd_prefix`` keeps
     results whose call ran below a folder (a plain string prefix).
     """
@@ -41,8 +47,8 @@ def paired_errors(items: DataFrame, cwd_prefix: str | None = None) -> DataFrame:
         errors = errors.filter(F.startswith("call_cwd", F.lit(cwd_prefix)))
     return errors.select(
         "session", "pos", "item_no", "tool_id", F.coalesce("call_tool", F.lit("?")).alias("tool"),
-        F.col("call_cwd").alias("cwd"), error_signature(F.col("text")).alias("signature"),
-        F.substring("text", 1, EXAMPLE_CHARS).alias("example"),
+        F.col("call_cwd").alias("cwd"), error_signature(F.col("text"), read, kept).alias("signature"),
+        first_chars(F.col("text"), example).alias("example"), F.sha2("text", 256).alias("text_sha256"),
     ).filter(F.col("signature") != "")
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.functions import fixed
 from corpuslens.functions.rules import any_of
 from corpuslens.functions.text import (
+    first_chars,
     glob_regex, last_segment, newline_count, parent_dirs, path_key, suffix,
 )
+from corpuslens.operators.ranking import ranged_rank
 
 
 def language_of(ext: Column) -> Column:
@@ -61,6 +63,12 @@ def first_files(files: DataFrame, cap: int) -> DataFrame:
     return files.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).drop("_n")
 
 
+def files_in_walk_order(files: DataFrame) -> DataFrame:
+    """All files of each project with their rank in walk order; no project is ranked by one task."""
+    return ranged_rank(files.select("project", "path", path_key("path").alias("_key")), ["project"], ["_key"], "rank").drop("_key")
+
+
+
 def under_roots(path: Column | str = "path", roots=fixed.SOURCE_ROOTS) -> Column:
     """True below (or at) one of the source roots."""
     path = F.col(path) if isinstance(path, str) else path
@@ -89,10 +97,10 @@ def is_leak_scannable(path: Column | str = "path") -> Column:
     return suffix(path).isin(*known) | F.startswith(last_segment(path), F.lit(".env"))
 
 
-def is_scan_script(text: Column | str = "text") -> Column:
-    """Files whose opening names a secret scanner."""
+def is_scan_script(text: Column | str = "text", chars: int | None = fixed.SCAN_SCRIPT_CHARS) -> Column:
+    """Files whose opening (None: whole text) names a secret scanner."""
     text = F.col(text) if isinstance(text, str) else text
-    head = F.lower(F.substring(text, 1, fixed.SCAN_SCRIPT_CHARS))
+    head = F.lower(first_chars(text, chars))
     return head.rlike(fixed.SCAN_SCRIPT)
 
 

@@ -72,8 +72,11 @@ def _plan(rows: DataFrame, action: str, target: Column, reason: Column) -> DataF
     return rows.select("project", F.lit(action).alias("action"), target.alias("target"), reason.alias("reason"))
 
 
+TITLE_CHARS = 80  #: of a title in a plan
+
+
 def _number(prefix: str) -> Column:
-    return F.concat(F.lit(prefix), F.col("number").cast("string"), F.lit(": "), F.substring("title", 1, 80))
+    return F.concat(F.lit(prefix), F.col("number").cast("string"), F.lit(": "), F.substring("title", 1, TITLE_CHARS))
 
 
 def stale_issue_plan(issues: DataFrame, as_of: Column, days: int = 90) -> DataFrame:

@@ -205,6 +205,18 @@ def leak_vendor_keys(spark, sf_dir):
     return detect.text_findings(_corpus(spark, sf_dir), [detect.leak_packs()["vendor"]])
 
 
+@query("leak_vendor_keys_everywhere", "P8 D2", f"WITH {FILES_SQL}, {LINES_SQL} {VENDOR_SQL.replace('AND NOT script ', '')}", "corpus")
+def leak_vendor_keys_everywhere(spark, sf_dir):
+    """Also in files whose opening names a secret scanner."""
+    return detect.text_findings(_corpus(spark, sf_dir), [detect.leak_packs(scan_scripts=True)["vendor"]])
+
+
+@query("leak_home_lines", "D1", f"WITH {FILES_SQL}, {LINES_SQL} {HOME_SQL.replace('substr(bare, 1, 80)', 'bare')}", "corpus")
+def leak_home_lines(spark, sf_dir):
+    """Home paths with their whole lines."""
+    return detect.text_findings(_corpus(spark, sf_dir), [detect.leak_packs(chars=None)["home"]])
+
+
 @query("leak_passwords", "D4 P9 P10", f"WITH {FILES_SQL}, {LINES_SQL} {PASSWORD_SQL}", "corpus")
 def leak_passwords(spark, sf_dir):
     return detect.text_findings(_corpus(spark, sf_dir), [detect.leak_packs()["password"]])
@@ -263,6 +275,12 @@ def debt_markers(spark, sf_dir):
 
 
 
+@query("debt_marker_lines", "D9", f"WITH {FILES_SQL}, {LINES_SQL} {MARKER_SQL.replace('substr(bare, 1, 120)', 'bare')}", "corpus")
+def debt_marker_lines(spark, sf_dir):
+    """Debt markers with their whole lines."""
+    return detect.text_findings(_corpus(spark, sf_dir), [detect.marker_pack(F.col("_lang").isNotNull(), None)])
+
+
 @query("debt_quoted_secrets", "D10 P12", f"WITH {FILES_SQL}, {LINES_SQL} {SECRET_SQL}", "corpus")
 def debt_quoted_secrets(spark, sf_dir):
     return detect.text_findings(_corpus(spark, sf_dir), [detect.debt_packs()["secrets"]])

@@ -6,7 +6,7 @@ from corpuslens.functions import fixed
 from corpuslens.operators import facts, style
 from corpuslens.plans.detect_queries import LINES_SQL
 from corpuslens.plans.inventory_queries import FILES_SQL, KEY_SQL, sql_list
-from corpuslens.plans.registry import query
+from corpuslens.plans.registry import ORACLES, query
 from corpuslens.sources.bindings import view
 
 
@@ -136,3 +136,8 @@ r AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY {KEY_SQL}
 SELECT * FROM r""", "corpus")
 def marker_comments(spark, sf_dir):
     return facts.marker_comments(_corpus(spark, sf_dir))
+
+
+@query("whole_marker_comments", "X14", ORACLES["marker_comments"].replace("substr(trim(body, ' ' || chr(9)), 1, 100)", "trim(body, ' ' || chr(9))"))
+def whole_marker_comments(spark, sf_dir):
+    return facts.marker_comments(_corpus(spark, sf_dir), body_chars=None)

@@ -30,8 +30,9 @@ def _items(spark, sf_dir):
 _SIG = "substr(trim(text, ' ' || chr(9) || chr(10)), 1, 400)"
 for _p, _r in fixed.ERROR_NOISE:
     _SIG = f"regexp_replace({_SIG}, {_s(_p)}, '{_r}', 'g')"
+_SIG_INNER = _SIG
 _SIG = f"substr({_SIG}, 1, 160)"
-ERRORS_SQL = f"""errors AS (SELECT r.session, r.pos, r.tool_id, coalesce(arg_max(u.tool, u.pos), '?') AS tool, arg_max(u.cwd, u.pos) AS cwd, any_value({_SIG.replace('(text,', '(r.text,')}) AS signature, any_value(substr(r.text, 1, 200)) AS example
+ERRORS_SQL = f"""errors AS (SELECT r.session, r.pos, r.tool_id, coalesce(arg_max(u.tool, u.pos), '?') AS tool, arg_max(u.cwd, u.pos) AS cwd, any_value({_SIG.replace('(text,', '(r.text,')}) AS signature, any_value(substr(r.text, 1, 200)) AS example, any_value(sha256(r.text)) AS text_sha256
 FROM transcript r LEFT JOIN transcript u ON u.kind = 'use' AND u.session = r.session AND u.tool_id = r.tool_id AND u.pos <= r.pos WHERE r.kind = 'result' AND r.is_error GROUP BY r.session, r.pos, r.tool_id)"""
 
 
@@ -48,7 +49,7 @@ def transcript_files_round_trip(spark, sf_dir):
     return transcript_items(read_transcripts(spark, path)).groupBy("kind", "tool", "is_error").agg(F.count("*").alias("n"))
 
 
-@query("paired_errors", "J1 F4", f"WITH {ERRORS_SQL} SELECT session, pos, tool_id, tool, cwd, signature, example FROM errors WHERE signature <> ''", "transcript")
+@query("paired_errors", "J1 F4", f"WITH {ERRORS_SQL} SELECT session, pos, tool_id, tool, cwd, signature, example, text_sha256 FROM errors WHERE signature <> ''", "transcript")
 def paired_errors(spark, sf_dir):
     return harvest.paired_errors(_items(spark, sf_dir)).drop("item_no")
 
@@ -74,6 +75,17 @@ def gotchas(spark, sf_dir):
     return found.withColumn("examples", F.array_join("examples", " || "))
 
 
+_WHOLE = ERRORS_SQL.replace(f"substr({_SIG_INNER}, 1, 160)".replace("(text,", "(r.text,"), _SIG_INNER.replace("(text,", "(r.text,")).replace(
+    ", 1, 400)", ", 1)").replace("substr(r.text, 1, 200)", "r.text")
+
+
+@query("gotchas_by_whole_text", "A24 W9 J1 F4 J12 E5", f"WITH {_WHOLE}, {GOTCHA_SQL.replace('HAVING count(*) >= 2', '')} SELECT * FROM gotchas", "transcript")
+def gotchas_by_whole_text(spark, sf_dir):
+    """Errors count as the same only if their whole texts are, but for paths, ids and numbers."""
+    found = harvest.gotchas(harvest.paired_errors(_items(spark, sf_dir), read=None, kept=None, example=None), min_count=1)
+    return found.withColumn("examples", F.array_join("examples", " || "))
+
+
 @query("harvest_report", "E5 J12 W5", f"""WITH {ERRORS_SQL}, {GOTCHA_SQL}, {RULES_SQL}, a AS (SELECT *, {RULE_SQL} AS rule_no FROM gotchas)
 SELECT row_number() OVER (ORDER BY count DESC, tool, signature) AS rank, tool, signature, count, sessions, title FROM a LEFT JOIN rules USING (rule_no) ORDER BY count DESC, tool, signature LIMIT 10""", "transcript")
 def harvest_report(spark, sf_dir):

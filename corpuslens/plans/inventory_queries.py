@@ -89,6 +89,12 @@ def first_files_in_walk_order(spark, sf_dir):
     return inv.first_files(view(spark, sf_dir, "corpus", "project", "path").select("project", "path"), 25)
 
 
+@query("files_in_walk_order", "P4 O1", """
+SELECT project, path, CAST(row_number() OVER (PARTITION BY project ORDER BY string_split(path, '/')) AS INT) AS rank FROM corpus""", "corpus")
+def files_in_walk_order(spark, sf_dir):
+    return inv.files_in_walk_order(view(spark, sf_dir, "corpus", "project", "path"))
+
+
 @query("files_by_path_parts", "O1", """
 SELECT project, path, row_number() OVER (ORDER BY project, string_split(path, '/')) - 1 AS position FROM corpus""", "corpus")
 def files_by_path_parts(spark, sf_dir):

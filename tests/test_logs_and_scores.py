@@ -327,3 +327,16 @@ def test_affected_versions_equal_every_range_tested(spark):
             if n == m and a != "odd" and (low is None or place[low] <= place[v]) and (high is None or place[v] < place[high])]
     assert rows(got, "name", "version", "adv_id") == sorted(want, key=repr) and len(want) > 500
     assert advisories.affected_versions(frame([], "ecosystem string, name string, version string"), frame([], "ecosystem string, name string, adv_id string, introduced string, fixed string")).count() == 0
+
+
+def test_errors_alike_for_a_signature_are_told_apart_by_their_whole_text(spark):
+    from corpuslens.operators import harvest
+
+    same = "Command failed: " + "x" * 500
+    texts = [same + " first /tmp/a", same + " second /tmp/b", same + " first /tmp/c"]
+    items = [("s", 2 * i + k, kind, f"t{i}", "Bash" if k == 0 else None, "/w", k == 1, t) for i, t in enumerate(texts) for k, kind in enumerate(("use", "result"))]
+    frame = spark.createDataFrame(items, "session string, pos bigint, kind string, tool_id string, tool string, cwd string, is_error boolean, text string")
+    short, whole = (harvest.paired_errors(frame, **cut) for cut in ({}, {"read": None, "kept": None, "example": None}))
+    assert rows(harvest.gotchas(short, min_count=1), "count") == [(3,)]
+    assert rows(harvest.gotchas(whole, min_count=1), "count") == [(1,), (2,)]
+    assert short.select("text_sha256").distinct().count() == 3 and rows(whole, "example") == sorted((t,) for t in texts)
