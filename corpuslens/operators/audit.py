@@ -19,6 +19,7 @@ from corpuslens.operators import inventory as inv
 DOC = ["project", "path"]
 FINDING = [*DOC, "severity", "category", "message", "suggestion"]
 FENCE = "```"
+GREENFIELD = "greenfield"  #: a claim that a project of more than 50 files contradicts
 
 
 def _f(severity: str, category: str, message: Column | str, suggestion: Column | str) -> Column:
@@ -97,8 +98,31 @@ def specificity_checks() -> list[Column]:
     ]
 
 
+# A document's text is read once where its facts are written first (``claims.document_facts``): the
+# functions below take a fact from its column where there is one, else from the text.
+def _fact(contexts: DataFrame, name: str, otherwise: Column) -> Column:
+    return F.col(name) if name in contexts.columns else otherwise
+
+
+def text_checks() -> Column:
+    """Array of the findings of all text-only checks; for ``with_text_facts``."""
+    return F.array_compact(F.array(*coverage_checks(), *anti_pattern_checks(), *specificity_checks()))
+
+
+def said_words() -> Column:
+    """The words of a text that the corpus may contradict."""
+    words = F.array(*[F.lit(w) for w in (GREENFIELD, *fixed.AUDITED_FRAMEWORKS)])
+    return F.filter(words, lambda w: F.contains(F.lower("text"), w))
+
+
+def references() -> Column:
+    return F.regexp_extract_all("text", F.lit(fixed.PATH_REFERENCE), F.lit(1))
+
+
 def text_check_findings(contexts: DataFrame, checks: list[Column] | None = None) -> DataFrame:
     """Findings of all text-only checks: one array per document, then exploded."""
+    if checks is None and "_findings" in contexts.columns:
+        return contexts.select(*DOC, F.inline("_findings")).select(*FINDING)
     every = checks or [*coverage_checks(), *anti_pattern_checks(), *specificity_checks()]
     rows = with_text_facts(contexts)
     return rows.select(*DOC, F.inline(F.array_compact(F.array(*every)))).select(*FINDING)
@@ -111,11 +135,8 @@ def accuracy_findings(contexts: DataFrame, files: DataFrame, tools: DataFrame) -
     is known per (project, word): a detected framework excuses its word, more than 50 files
     contradict ``greenfield``.
     """
-    claim = "greenfield"
-    words = F.array(*[F.lit(w) for w in (claim, *fixed.AUDITED_FRAMEWORKS)])
-    said = contexts.withColumn("_low", F.lower("text")).select(
-        *DOC, F.explode(F.filter(words, lambda w: F.contains(F.col("_low"), w))).alias("word")
-    )
+    claim = GREENFIELD
+    said = contexts.select(*DOC, F.explode(_fact(contexts, "_said", said_words())).alias("word"))
     detected = tools.filter(F.col("kind") == "framework").select(
         "project", F.col("tool").alias("word"), F.lit(None).cast("bigint").alias("n_files"), F.lit(True).alias("_known"))
     large = files.groupBy("project").agg(F.count("*").alias("n_files")).filter(F.col("n_files") > 50).select(
@@ -133,7 +154,7 @@ def accuracy_findings(contexts: DataFrame, files: DataFrame, tools: DataFrame) -
 
 def path_references(contexts: DataFrame) -> DataFrame:
     """Back-ticked relative paths, one row per occurrence: (project, path, ref, ref_no)."""
-    refs = F.regexp_extract_all("text", F.lit(fixed.PATH_REFERENCE), F.lit(1))
+    refs = _fact(contexts, "_refs", references())
     bare = F.regexp_replace("ref", "/+$", "")
     is_path = (
         F.contains("ref", F.lit("/")) & ~F.startswith("ref", F.lit("/"))
@@ -189,7 +210,7 @@ def audit_report(contexts: DataFrame, findings: DataFrame, gate: int | None = No
         of(category="anti_pattern").alias("_anti"), of(category="specificity").alias("_vague"),
     )
     n = ["n_error", "n_warning", "n_info", "_accuracy", "_anti", "_vague"]
-    rows = contexts.select(*DOC, missing_sections().alias("missing")).join(counts, DOC, "left").fillna(0, n)
+    rows = contexts.select(*DOC, _fact(contexts, "_missing", missing_sections()).alias("missing")).join(counts, DOC, "left").fillna(0, n)
     total = len(fixed.REQUIRED_SECTIONS)
     bonus = F.floor((total - F.size("missing")) / F.lit(total) * 20).cast("int")
     lost = F.col("n_error") * 15 + F.col("n_warning") * 5 + F.col("n_info")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.scores import share_score
-from corpuslens.operators import inventory as inv
+from corpuslens.operators import audit, inventory as inv
 from corpuslens.operators.audit import DOC
 from corpuslens.operators.manifests import _field, toml_section
 
@@ -74,6 +74,25 @@ def unknown_dependencies(contexts: DataFrame, declared: DataFrame) -> DataFrame:
     return guarded.join(names, ["project", "claim"], "left_anti").select(*DOC, "claim")
 
 
+def tagged_claims() -> Column:
+    """All claims of a text: array<struct<kind, claim>>."""
+    def tagged(kind: str, claims: Column) -> Column:
+        return F.transform(claims, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("claim")))
+
+    return F.concat(
+        tagged("missing_file", file_claims()), tagged("version_mismatch", F.array_compact(F.array(claimed_version()))),
+        tagged("unknown_dep", dependency_claims()))
+
+
+def document_facts(contexts: DataFrame) -> DataFrame:
+    """What audit and claim checks need of each document, from one reading of its text: findings of the
+    text checks, missing sections, words that may be contradicted, path references and claims. Written
+    once, the rows serve ``audit_findings``, ``audit_report``, ``claim_checks`` and ``reality_report``."""
+    return audit.with_text_facts(contexts).select(
+        *DOC, audit.text_checks().alias("_findings"), audit.missing_sections().alias("_missing"), audit.said_words().alias("_said"),
+        audit.references().alias("_refs"), tagged_claims().alias("_claims"))
+
+
 def claim_checks(contexts: DataFrame, files: DataFrame, manifests: DataFrame, declared: DataFrame) -> DataFrame:
     """Every check that was run: (project, path, kind, claim, actual, passed).
 
@@ -81,14 +100,7 @@ def claim_checks(contexts: DataFrame, files: DataFrame, manifests: DataFrame, de
     meets them with everything that is known. Version claims count only where the project states
     a version, dependency claims only where a manifest declares any.
     """
-    def tagged(kind: str, claims: Column) -> Column:
-        return F.transform(claims, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("claim")))
-
-    said = contexts.select(*DOC, F.inline(F.concat(
-        tagged("missing_file", file_claims()),
-        tagged("version_mismatch", F.array_compact(F.array(claimed_version()))),
-        tagged("unknown_dep", dependency_claims()),
-    )))
+    said = contexts.select(*DOC, F.inline("_claims" if "_claims" in contexts.columns else tagged_claims()))
     versions = manifest_version(manifests)
     known = (
         inv.known_paths(files).select("project", F.lit("missing_file").alias("kind"), F.col("path").alias("claim"))

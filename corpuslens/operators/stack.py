@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.text import last_segment, parent_dirs, path_key
+from corpuslens.operators.manifests import MANIFESTS
 from corpuslens.session import local_rows
 
 
@@ -38,6 +39,13 @@ def file_rules() -> list[tuple[str, str, str, str | None]]:
     return rows
 
 
+def file_facts(files: DataFrame) -> DataFrame:
+    """project, path and text of all files, the text only of those that tool rules or manifests read: a
+    small table that, written once, serves every check against the corpus."""
+    needed = {path for _, _, path, needle in file_rules() if needle} | {"pyproject.toml"} | set(MANIFESTS.values())
+    return files.select("project", "path", F.when(F.col("path").isin(*sorted(needed)), F.col("text")).alias("text"))
+
+
 def detected_tools(files: DataFrame) -> DataFrame:
     """(project, kind, tool), distinct, in one pass over the files.
 

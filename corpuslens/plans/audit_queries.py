@@ -11,6 +11,7 @@ from corpuslens.operators import stack
 from corpuslens.plans.inventory_queries import sql_list, sql_values
 from corpuslens.plans.registry import query
 from corpuslens.plans.stack_queries import ALL_DEPS_SQL, MAN_SQL, TOOLS_SQL, _section
+from corpuslens.session import cut_lineage
 from corpuslens.sources.bindings import table, view
 
 LINES = "(length(text) - length(replace(text, chr(10), '')) + (CASE WHEN right(text, 1) = chr(10) THEN 0 ELSE 1 END))"
@@ -87,14 +88,19 @@ def stale_references(spark, sf_dir):
     return audit.stale_reference_findings(_ctx(spark, sf_dir), view(spark, sf_dir, "corpus", "project", "path"))
 
 
-def _audit(spark, sf_dir):
-    names = view(spark, sf_dir, "corpus", "project", "path")
-    return audit.audit_findings(_ctx(spark, sf_dir), names, stack.detected_tools(_corpus(spark, sf_dir)))
+def _facts(spark, sf_dir):
+    """(facts of documents, facts of files): each text is read once, all checks run on what is written."""
+    return (cut_lineage(claims.document_facts(_ctx(spark, sf_dir)), "document-facts"),
+            cut_lineage(stack.file_facts(_corpus(spark, sf_dir)), "file-facts"))
+
+
+def _audit(docs, files):
+    return audit.audit_findings(docs, files, stack.detected_tools(files))
 
 
 @query("audit_findings", "U1 E2", f"WITH {AUDIT_CTES} SELECT {OUT} FROM audit", "corpus contexts")
 def audit_findings(spark, sf_dir):
-    return _audit(spark, sf_dir)
+    return _audit(*_facts(spark, sf_dir))
 
 
 _PRESENT = " + ".join(f"CAST(contains(text, '## {n}') AS INT)" for n, _ in fixed.REQUIRED_SECTIONS)
@@ -110,7 +116,8 @@ FROM contexts c LEFT JOIN (SELECT project, path, count_if(severity = 'error') AS
 
 @query("audit_report", "E2 A6 C16 P15", f"WITH {AUDIT_CTES}, {REPORT_SQL} SELECT *, score < 70 AS below_gate FROM report", "corpus contexts")
 def audit_report(spark, sf_dir):
-    return audit.audit_report(_ctx(spark, sf_dir), _audit(spark, sf_dir), gate=70)
+    docs, files = _facts(spark, sf_dir)
+    return audit.audit_report(docs, _audit(docs, files), gate=70)
 
 
 CLAIMS_SQL = f"""fclaims AS (SELECT DISTINCT project, path, unnest(regexp_extract_all(text, {_s(claims.claimed_path_pattern())}, 1)) AS claim FROM contexts)"""
@@ -124,11 +131,9 @@ UNION ALL SELECT v.project, path, 'version_mismatch', claim, actual, claim = act
 UNION ALL SELECT project, path, 'unknown_dep', claim, NULL, EXISTS (SELECT 1 FROM alldeps a WHERE a.project = d.project AND a.name = d.claim) FROM dclaims d WHERE project IN (SELECT project FROM alldeps))"""
 
 
-def _checks(spark, sf_dir):
-    files = _corpus(spark, sf_dir)
+def _checks(docs, files):
     rows = man.manifest_rows(files)
-    names = view(spark, sf_dir, "corpus", "project", "path")
-    return claims.claim_checks(_ctx(spark, sf_dir), names, rows, man.all_dependency_names(rows))
+    return claims.claim_checks(docs, files, rows, man.all_dependency_names(rows))
 
 
 @query("claimed_files", "X15", f"WITH {CLAIMS_SQL} SELECT * FROM fclaims", "contexts")
@@ -167,7 +172,7 @@ def unknown_dependencies(spark, sf_dir):
  CASE kind WHEN 'missing_file' THEN 'Remove reference or update path (' || claim || ')' WHEN 'unknown_dep' THEN 'Remove ''' || claim || ''' from Dependencies or add to manifest' ELSE 'Update Current State → Version to ' || actual END AS suggestion
 FROM checks WHERE NOT passed""", "corpus contexts")
 def claim_findings(spark, sf_dir):
-    return claims.claim_findings(_checks(spark, sf_dir))
+    return claims.claim_findings(_checks(*_facts(spark, sf_dir)))
 
 
 REALITY_SQL = """reality AS (SELECT c.project, c.path, count(k.kind) AS checks_run, count_if(k.passed) AS checks_passed,
@@ -176,15 +181,16 @@ REALITY_SQL = """reality AS (SELECT c.project, c.path, count(k.kind) AS checks_r
 
 @query("reality_report", "A7 E3", f"WITH {CHECKS_SQL}, {REALITY_SQL} SELECT * FROM reality", "corpus contexts")
 def reality_report(spark, sf_dir):
-    return claims.reality_report(_ctx(spark, sf_dir), _checks(spark, sf_dir))
+    docs, files = _facts(spark, sf_dir)
+    return claims.reality_report(docs, _checks(docs, files))
 
 
 @query("fleet_report", "E4 O2 P14", f"""WITH {CHECKS_SQL.replace(TOOLS_SQL, TOOLS_SQL)}, {AUDIT_CTES.replace(TOOLS_SQL + ', ', '')}, {REPORT_SQL}, {REALITY_SQL}
 SELECT project, path, score, missing_sections, reality_score FROM report JOIN reality USING (project, path) ORDER BY score, project, path""", "corpus contexts")
 def fleet_report(spark, sf_dir):
-    contexts = _ctx(spark, sf_dir)
-    report = audit.audit_report(contexts, _audit(spark, sf_dir))
-    reality = claims.reality_report(contexts, _checks(spark, sf_dir))
+    docs, files = _facts(spark, sf_dir)
+    report = audit.audit_report(docs, _audit(docs, files))
+    reality = claims.reality_report(docs, _checks(docs, files))
     joined = report.select("project", "path", "score", "missing_sections").join(
         reality.select("project", "path", "reality_score"), ["project", "path"])
     return joined.orderBy("score", "project", "path")
@@ -192,7 +198,8 @@ def fleet_report(spark, sf_dir):
 
 @query("fleet_summary", "A37", f"WITH {AUDIT_CTES}, {REPORT_SQL} SELECT count(*) AS documents, avg(score) AS mean_score, count_if(score < 70) AS below_70 FROM report", "corpus contexts")
 def fleet_summary(spark, sf_dir):
-    return audit.fleet_summary(audit.audit_report(_ctx(spark, sf_dir), _audit(spark, sf_dir)))
+    docs, files = _facts(spark, sf_dir)
+    return audit.fleet_summary(audit.audit_report(docs, _audit(docs, files)))
 
 
 _QP = " + ".join(f"CAST(contains(text, '## {h}') AS INT)" for h in fixed.QUALITY_HEADINGS)
