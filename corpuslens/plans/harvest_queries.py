@@ -12,7 +12,9 @@ from corpuslens.plans.inventory_queries import sql_values
 from corpuslens.plans.registry import query
 from corpuslens.session import scratch_path, ship_with_tasks
 from corpuslens.sources import suites as suite_io
+from corpuslens.sources import json_lines
 from corpuslens.sources.bindings import table, view
+from corpuslens.streaming import jobs
 from corpuslens.sources.transcripts import read_transcripts, transcript_items
 
 
@@ -49,6 +51,25 @@ def transcript_files_round_trip(spark, sf_dir):
     return transcript_items(read_transcripts(spark, path)).groupBy("kind", "tool", "is_error").agg(F.count("*").alias("n"))
 
 
+def _line_files(spark, sf_dir):
+    path = scratch_path(spark, "sessions")
+    view(spark, sf_dir, "transcript_lines").select("line").write.text(path)
+    return path
+
+
+@query("session_lines", "S3 S4 S7", "SELECT starts_with(line, '{') AS valid, count(*) AS n FROM (SELECT unnest(string_split(line, chr(10))) AS line FROM transcript_lines) WHERE trim(line) <> '' GROUP BY ALL", "transcript_lines")
+def session_lines(spark, sf_dir):
+    """Lines of the session logs by the data source: those that are JSON, and those that are not."""
+    return json_lines.read_lines(spark, _line_files(spark, sf_dir)).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+@query("stream_session_items", "S3 R7", "SELECT kind, tool, is_error, count(*) AS n FROM transcript GROUP BY ALL", "transcript")
+def stream_session_items(spark, sf_dir):
+    """The same files as a stream through the same reader, taken apart."""
+    items = transcript_items(json_lines.stream_lines(spark, _line_files(spark, sf_dir)).where("valid"))
+    return jobs.run_append(items, "session-items").groupBy("kind", "tool", "is_error").agg(F.count("*").alias("n"))
+
+
 @query("paired_errors", "J1 F4", f"WITH {ERRORS_SQL} SELECT session, pos, tool_id, tool, cwd, signature, example, text_sha256 FROM errors WHERE signature <> ''", "transcript")
 def paired_errors(spark, sf_dir):
     return harvest.paired_errors(_items(spark, sf_dir)).drop("item_no")
