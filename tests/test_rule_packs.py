@@ -57,3 +57,29 @@ def test_five_thousand_rules_equal_brute_force(spark):
     assert got == sorted(want, key=repr) and len(want) > 200
     assert sum(not rule_packs.required_grams(p) for _, p, *_ in pack if p) < 300
     assert rule_packs.pack_findings(files, spark.createDataFrame([], RULE)).count() == 0
+
+
+@pytest.mark.parametrize("pattern, lengths", [
+    (r"^.{5}[.][.]?$", {6, 7}), (r"^ab?$", {1, 2}), (r"\A[0-9]{2}\Z", {2}), (r"^a*$", None), (r"a{3}$", None), (r"^a{3}", None),
+    (r"(?m)^ab$", None), (r"^a$|b", None), (r"(?x) ^ab$ ", None), (r"^\p{Alpha}$", None), (r"^.{2,900}$", None), (r"^", None),
+])
+def test_lengths_of_lines(pattern, lengths):
+    got = set(rule_packs.line_lengths(pattern))
+    assert got >= lengths and len(got) <= len(lengths) + 2 if lengths else not got
+
+
+def test_rules_without_literals_are_no_columns_of_the_plan(spark):
+    """Thousands of rules that hold no literal, found by the length of a line or, where that is open, joined."""
+    pack = [(i, f"^.{{{i}}}[.][.]?$", "c", "low", f"whole {i}") for i in range(3000)]
+    pack += [(5000 + i, f"[{chr(97 + i % 26)}]{{{1 + i // 26}}}[0-9]+", "c", "low", f"open {i}") for i in range(60)]
+    texts = ["x" * n + "." for n in (0, 1, 7, 2999, 3005)] + ["x" * 40 + "..", "aa12", "", "é😀.", "c9 and c8"]
+    files = spark.createDataFrame([("p", "f", "\n".join(texts)), ("p", "null", None)], "project string, path string, text string")
+    found = rule_packs.pack_findings(files, spark.createDataFrame(pack, RULE))
+    got = rows(found, "line", "ord")
+    want = []
+    for n, line in enumerate(texts, 1):
+        hit = next((i for i, p, *_ in pack if re.search(p, line)), None)
+        if hit is not None:
+            want.append((n, hit))
+    assert got == sorted(want, key=repr) and len(want) == 8
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
