@@ -340,3 +340,20 @@ def test_errors_alike_for_a_signature_are_told_apart_by_their_whole_text(spark):
     assert rows(harvest.gotchas(short, min_count=1), "count") == [(3,)]
     assert rows(harvest.gotchas(whole, min_count=1), "count") == [(1,), (2,)]
     assert short.select("text_sha256").distinct().count() == 3 and rows(whole, "example") == sorted((t,) for t in texts)
+
+
+def test_hits_of_one_popular_package_are_dealt_to_many_tasks(spark):
+    """Every dependency has the same package and version, and every advisory holds it: no task makes most hits."""
+    deps = spark.range(300).select(F.format_string("p%d", F.col("id") % 3).alias("project"), F.lit("x").alias("name"), F.lit("1.5").alias("version"), F.lit("npm").alias("ecosystem"), "id")
+    adv = spark.range(200).select(F.format_string("A%d", "id").alias("adv_id"), F.lit(None).cast("string").alias("alias"), F.lit("x").alias("name"), F.lit("npm").alias("ecosystem"),
+                                  F.lit("1.0").alias("introduced"), F.lit("2.0").alias("fixed"), F.lit("5").alias("cvss"), F.lit("s").alias("summary"))
+    # the same advisory again with a range that overlaps: told twice, as its rows are, and not four times
+    twice = adv.where("adv_id = 'A7'").withColumn("fixed", F.lit("3.0"))
+    found = advisories.vulnerabilities(deps, adv.unionByName(twice))
+    assert found.count() == 300 * 201 and found.distinct().count() == 300 * 201
+    left, right = deps.select("name", "id"), adv.select("name", "adv_id")
+    pairs = advisories.chunked_join(left, right, ["name"], chunk=20)
+    assert pairs.count() == 300 * 200 and pairs.distinct().count() == 300 * 200
+    most = pairs.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 0.6 * 300 * 200
+    assert advisories.chunked_join(left.where("false"), right, ["name"]).count() == 0
