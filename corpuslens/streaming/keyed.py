@@ -3,14 +3,16 @@
 What can no longer change a decision leaves the state when the watermark passes it: a month that
 is over, a suppression window, an expired or revoked session, a cancellation and the licences that it
 ended. State is read and written entry by entry, so a key with a long history costs a micro-batch only
-what the micro-batch touches.
+what the micro-batch touches. The rows of a key are held as numbers until they are decided in their order.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +28,25 @@ def _month_end(period: str) -> int:
     return int(after.timestamp() * 1000)
 
 
+def _in_order(rows: Iterator[Row], number: str, *names: str) -> Iterator[tuple]:
+    """(t, ``number``, other values) of rows by t and number, null numbers first. Numbers lie in arrays, other
+    values once: rows of a popular key as objects fill a worker."""
+    t, numbers, given, at = array("q"), array("q"), array("b"), [array("i") for _ in names]
+    codes: list[dict] = [{} for _ in names]
+    for r in rows:
+        n = r[number]
+        t.append(r.t)
+        numbers.append(0 if n is None else n)
+        given.append(n is not None)
+        for name, column, code in zip(names, at, codes):
+            column.append(code.setdefault(r[name], len(code)))
+    order = np.lexsort([np.frombuffer(c, c.typecode) for c in (numbers, given, t)]) if t else np.empty(0, "int64")
+    values = [list(code) for code in codes]
+    for begin in range(0, len(order), 65_536):
+        for i in order[begin:begin + 65_536].tolist():
+            yield (t[i], numbers[i] if given[i] else None, *[v[c[i]] for v, c in zip(values, at)])
+
+
 class _Keyed(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.forget(expiredTimerInfo.getExpiryTimeInMs())
@@ -55,18 +76,18 @@ class QuotaDecisions(_Keyed):
             return used[state, name]
 
         changed = set()
-        for r in sorted(rows, key=lambda r: (r.t, r.request_id)):
-            by_repo = r.scan_type == "audit" and r.repo_fingerprint is not None
-            of_month = count(self.months, r.period)
-            before = count(self.repos, r.repo_fingerprint) if by_repo else of_month
-            allowed = r.limit == -1 or before < r.limit
+        for _, request_id, scan_type, period, repo, limit in _in_order(rows, "request_id", "scan_type", "period", "repo_fingerprint", "limit"):
+            by_repo = scan_type == "audit" and repo is not None
+            of_month = count(self.months, period)
+            before = count(self.repos, repo) if by_repo else of_month
+            allowed = limit == -1 or before < limit
             if allowed:
-                for at in [(self.months, r.period)] + [(self.repos, r.repo_fingerprint)] * by_repo:
+                for at in [(self.months, period)] + [(self.repos, repo)] * by_repo:
                     used[at] += 1
                     changed.add(at)
             before += allowed
-            remaining = 0 if not allowed else -1 if r.limit == -1 else max(0, r.limit - before)
-            yield Row(request_id=r.request_id, license_id=key[0], scan_type=r.scan_type, period=r.period, limit=r.limit,
+            remaining = 0 if not allowed else -1 if limit == -1 else max(0, limit - before)
+            yield Row(request_id=request_id, license_id=key[0], scan_type=scan_type, period=period, limit=limit,
                       allowed=allowed, used=before, remaining=remaining)
         for state, name in changed:
             state.updateValue((name,), (used[state, name],))
@@ -95,11 +116,11 @@ class RetryDecisions(_Keyed):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.last.get()
         before = last = known[0] if known else None
-        for r in sorted(rows, key=lambda r: (r.t, r.request_id)):
-            admitted = last is None or r.t > last + self.hop
-            yield Row(request_id=r.request_id, repo_url=key[0], admitted=admitted, reused_t=None if admitted else last)
-            if admitted and r.status in self.blocking:
-                last = r.t
+        for t, request_id, status in _in_order(rows, "request_id", "status"):
+            admitted = last is None or t > last + self.hop
+            yield Row(request_id=request_id, repo_url=key[0], admitted=admitted, reused_t=None if admitted else last)
+            if admitted and status in self.blocking:
+                last = t
         if last != before:
             if before is not None:
                 self.handle.deleteTimer(self._over(before))
@@ -136,26 +157,26 @@ class SessionDecisions(_Keyed):
                 known[token] = touched[token] = entry[0] if entry else None
             return known[token]
 
-        for r in sorted(rows, key=lambda r: (r.t, r.use_id)):
-            if r.kind == "revoke_all":
-                for (token,) in list(self.ends.keys()):
-                    end_of(token)
+        for t, use_id, token, kind in _in_order(rows, "use_id", "token", "kind"):
+            if kind == "revoke_all":
+                for (other,) in list(self.ends.keys()):
+                    end_of(other)
                 known.update(dict.fromkeys(known))
-                yield Row(use_id=r.use_id, token=r.token, outcome="revoked", expires_t=None)
+                yield Row(use_id=use_id, token=token, outcome="revoked", expires_t=None)
                 continue
-            end = end_of(r.token)
-            if r.kind == "revoke":
+            end = end_of(token)
+            if kind == "revoke":
                 end, outcome = None, "revoked"
-            elif r.kind == "login" or end is None and self.first_use_issues:
-                end, outcome = r.t + self.ttl, "issued"
-            elif end is None or r.t >= end:
+            elif kind == "login" or end is None and self.first_use_issues:
+                end, outcome = t + self.ttl, "issued"
+            elif end is None or t >= end:
                 outcome = "rejected"
-            elif end - r.t < self.renew_under:
-                end, outcome = r.t + self.ttl, "renewed"
+            elif end - t < self.renew_under:
+                end, outcome = t + self.ttl, "renewed"
             else:
                 outcome = "used"
-            known[r.token] = end
-            yield Row(use_id=r.use_id, token=r.token, outcome=outcome, expires_t=end)
+            known[token] = end
+            yield Row(use_id=use_id, token=token, outcome=outcome, expires_t=end)
         for token, before in touched.items():
             end = known[token]
             if end == before:

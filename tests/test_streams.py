@@ -157,3 +157,25 @@ def test_active_users_by_bitmaps(spark, tmp_path):
         want[at(start)] = len(users)
     assert got == want
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 8  # a bitmap per open day and 32,768 ids
+
+
+def test_rows_of_a_popular_key_are_decided_in_order_and_small():
+    """Many rows of one key, in any order: sorted by time and number, far below a hundred bytes a row."""
+    import tracemalloc
+
+    from pyspark.sql import Row
+    from corpuslens.streaming import keyed
+
+    n = 300_000
+    rows_of = (Row(request_id=(i * 7_919) % n, t=1_700_000_000_000_000 + ((i * 7_919) % n) // 3, status=("error", None, "complete")[i % 3]) for i in range(n))
+    tracemalloc.start()
+    count, last = 0, (0, -1)
+    for t, number, _ in keyed._in_order(rows_of, "request_id", "status"):
+        assert (t, number) > last
+        count, last = count + 1, (t, number)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == n and peak < 100 * n
+    odd = [Row(request_id=i, t=t, status=None) for i, t in ((5, 2), (None, 1), (4, 2), (0, 1))]
+    assert [r[:2] for r in keyed._in_order(odd, "request_id")] == [(1, None), (1, 0), (2, 4), (2, 5)]
+    assert list(keyed._in_order([], "request_id", "status")) == []
