@@ -2,17 +2,23 @@
 
 What can no longer change a decision leaves the state when the watermark passes it: a month that
 is over, a suppression window, an expired or revoked session, a cancellation and the licences that it
-ended. State is read and written entry by entry, so a key with a long history costs a micro-batch only
-what the micro-batch touches. The rows of a key are held as numbers until they are decided in their order.
+ended. Sessions and licences, of which there are as many as owners and subscriptions, are decided by the
+bucket: rows and state of a bucket come and go as a whole, with one timer, so that a key costs no calls of
+its own; a micro-batch reads the state of the buckets that it touches. Quotas and retries read and write
+their state entry by entry. Rows are held as numbers until they are decided in their order.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -133,108 +139,186 @@ class RetryDecisions(_Keyed):
             self.last.clear()
 
 
-class SessionDecisions(_Keyed):
-    """Per owner of sessions: when each of their live sessions ends.
+class _Bucketed(StatefulProcessor):
+    """Decisions for all keys of a bucket; one timer wakes the bucket when the first of its entries is over."""
+
+    FRAME = 50_000  #: rows of a frame that is given out
+
+    def _wake(self, over: Iterable[int]) -> None:
+        """The one timer is set to the first of ``over`` (milliseconds)."""
+        at = min(over, default=None)
+        known = list(self.handle.listTimers())
+        for old in known:
+            if old != at:
+                self.handle.deleteTimer(old)
+        if at is not None and at not in known:
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # entries that are over at the same watermark go together
+        self.forget(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1))
+        return iter(())
+
+    def _frames(self, rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+        while piece := list(islice(rows, self.FRAME)):
+            yield pd.DataFrame(piece, columns=columns, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def _over(t: int) -> int:
+    """First millisecond after ``t`` microseconds."""
+    return t // 1000 + 1
+
+
+def _put(state, rows: list[tuple]) -> None:
+    state.put(rows) if rows else state.clear()
+
+
+class SessionDecisions(_Bucketed):
+    """Per bucket of owners of sessions: when each of their live sessions ends.
 
     ``login`` issues a session, ``use`` renews it when little is left, ``revoke`` ends it and
     ``revoke_all`` ends all of the owner's. A token without a live session is rejected, so that ended
     sessions need no state; only ``first_use_issues`` takes an unknown token for a login.
     """
 
+    OUT = "use_id bigint, given boolean, token string, outcome string, expires_t bigint"
+
     def __init__(self, ttl: int, renew_under: int, first_use_issues: bool):
         self.ttl, self.renew_under, self.first_use_issues = ttl, renew_under, first_use_issues
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ends = handle.getMapState("ends", "token string", "t bigint")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known, touched = {}, {}
-
-        def end_of(token):
-            if token not in known:
-                entry = self.ends.getValue((token,))
-                known[token] = touched[token] = entry[0] if entry else None
-            return known[token]
-
-        for t, use_id, token, kind in _in_order(rows, "use_id", "token", "kind"):
+        self.ends = handle.getListState("ends", "owner string, token string, t bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = defaultdict(dict)  # the sessions that the state knows, by owner and token
+        for owner, token, end in self.ends.get():
+            ends[owner][token] = end
+        before = {owner: dict(live) for owner, live in ends.items()}
+        yield from self._frames(self._decided(rows, ends), ["use_id", "given", "token", "outcome", "expires_t"])
+        live = {owner: {token: end for token, end in of.items() if end is not None} for owner, of in ends.items()}
+        if {owner: of for owner, of in live.items() if of} != before:
+            self._keep([(owner, token, end) for owner, of in live.items() for token, end in of.items()])
+
+    def _decided(self, rows: Iterator[pd.DataFrame], ends: dict) -> Iterator[tuple]:
+        ttl, renew_under, first_use_issues = self.ttl, self.renew_under, self.first_use_issues
+        for t, use_id, given, owner, token, kind in _frames_in_order(rows, ["t", "use_id", "given"], ["owner", "token", "kind"]):
+            live = ends[owner]
             if kind == "revoke_all":
-                for (other,) in list(self.ends.keys()):
-                    end_of(other)
-                known.update(dict.fromkeys(known))
-                yield Row(use_id=use_id, token=token, outcome="revoked", expires_t=None)
+                live.update(dict.fromkeys(live))
+                yield use_id, given, token, "revoked", None
                 continue
-            end = end_of(token)
+            end = live.get(token)
             if kind == "revoke":
                 end, outcome = None, "revoked"
-            elif kind == "login" or end is None and self.first_use_issues:
-                end, outcome = t + self.ttl, "issued"
+            elif kind == "login" or end is None and first_use_issues:
+                end, outcome = t + ttl, "issued"
             elif end is None or t >= end:
                 outcome = "rejected"
-            elif end - t < self.renew_under:
-                end, outcome = t + self.ttl, "renewed"
+            elif end - t < renew_under:
+                end, outcome = t + ttl, "renewed"
             else:
                 outcome = "used"
-            known[token] = end
-            yield Row(use_id=use_id, token=token, outcome=outcome, expires_t=end)
-        for token, before in touched.items():
-            end = known[token]
-            if end == before:
-                continue
-            if end is None:
-                self.ends.removeKey((token,))
-            else:
-                self.ends.updateValue((token,), (end,))
-                self.handle.registerTimer(end // 1000 + 1)
+            live[token] = end
+            yield use_id, given, token, outcome, end
+
+    def _keep(self, live: list[tuple]) -> None:
+        _put(self.ends, live)
+        self._wake(_over(end) for *_, end in live)
 
     def forget(self, until: int) -> None:
-        for (token,), (end,) in list(self.ends.iterator()):
-            if end // 1000 + 1 <= until:
-                self.ends.removeKey((token,))
+        self._keep([row for row in self.ends.get() if _over(row[2]) > until])
 
 
-class LicenceStates(_Keyed):
-    """Per subscription: licences that may still be revoked and cancellations that may still meet a
+def _frames_in_order(frames: Iterator[pd.DataFrame], numbers: list[str], names: list[str]) -> Iterator[tuple]:
+    """(``numbers``, ``names``) of the rows of frames, by the first number, then ``given`` (false first), then
+    the second; names are held once, rows as numbers."""
+    codes: list[dict] = [{} for _ in names]
+    parts = []
+    for frame in frames:
+        columns = [frame[c].to_numpy() for c in numbers]
+        for name, code in zip(names, codes):
+            at, found = pd.factorize(frame[name], use_na_sentinel=False)
+            found = [None if pd.isna(v) else v for v in found]
+            columns.append(np.array([code.setdefault(v, len(code)) for v in found], "int32")[at])
+        parts.append(columns)
+    if not parts:
+        return
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    del parts
+    order = np.lexsort((columns[1], columns[2], columns[0]))
+    values = [list(code) for code in codes]
+    for begin in range(0, len(order), 65_536):
+        some = order[begin:begin + 65_536]
+        plain = [c[some].tolist() for c in columns[:len(numbers)]]
+        named = [[v[i] for i in c[some].tolist()] for v, c in zip(values, columns[len(numbers):])]
+        yield from zip(*plain, *named)
+
+
+class LicenceStates(_Bucketed):
+    """Per bucket of subscriptions: licences that may still be revoked and cancellations that may still meet a
     licence. A licence ends with the first cancellation that isn't earlier than its purchase."""
 
-    _ITEM = "t bigint, email string, bundle_id string, product string, revoked bigint"
+    OUT = "checkout string, t bigint, subscription_id string, email string, bundle_id string, item_no int, product string, revoked bigint"
+    _ITEM = "subscription_id string, checkout string, item_no int, t bigint, email string, bundle_id string, product string, revoked bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "checkout_id bigint, item_no int", self._ITEM)
-        self.ended = handle.getListState("ended", "t bigint")
+        self.items = handle.getListState("items", self._ITEM)
+        self.ended = handle.getListState("ended", "subscription_id string, t bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._frames(self._versions(rows), ["checkout", "t", "subscription_id", "email", "bundle_id", "item_no", "product", "revoked"])
+
+    def _versions(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         bought, ended = {}, []
-        for r in rows:
-            if r.ended:
-                ended.append(r.t)
-            else:
-                bought[r.checkout_id, r.item_no] = (r.t, r.email, r.bundle_id, r.product, None)
-        if ended:
-            self.ended.appendList([(t,) for t in ended])
-            for t in set(ended):
-                self.handle.registerTimer(t // 1000 + 1)
-            # licences of earlier micro-batches meet the new cancellations only
-            for at, item in list(self.items.iterator()):
-                at, item = tuple(at), tuple(item)
-                first = min((t for t in ended if t >= item[0]), default=None)
+        columns = ["ended", "subscription_id", "checkout", "item_no", "t", "email", "bundle_id", "product"]
+        for frame in rows:
+            for is_end, sub, checkout, item_no, t, *told in zip(*(frame[c].tolist() for c in columns)):
+                if is_end:
+                    ended.append((sub, t))
+                else:
+                    bought[sub, checkout, item_no] = (t, *told, None)
+        known = list(self.ended.get())
+        of_new, of_all = _by_key(ended), _by_key(known + ended)
+        # licences of earlier micro-batches meet the new cancellations only
+        items, changed = {tuple(i[:3]): tuple(i[3:]) for i in self.items.get()}, {}
+        for at, item in items.items():
+            if at[0] in of_new:
+                first = _first(of_new[at[0]], item[0])
                 if first is not None and (item[4] is None or first < item[4]):
-                    yield from self._put(key, at, (*item[:4], first))
-        if bought:
-            ends = sorted(t for (t,) in self.ended.get())
-            for at, item in bought.items():
-                yield from self._put(key, at, (*item[:4], next((t for t in ends if t >= item[0]), None)))
-
-    def _put(self, key, at: tuple, item: tuple) -> Iterator[Row]:
-        self.items.updateValue(at, item)
-        t, email, bundle_id, product, revoked = item
-        yield Row(checkout_id=at[0], t=t, subscription_id=key[0], email=email, bundle_id=bundle_id, item_no=at[1], product=product, revoked=revoked)
+                    changed[at] = (*item[:4], first)
+        for at, item in bought.items():
+            changed[at] = (*item[:4], _first(of_all.get(at[0], ()), item[0]))
+        if any(at in items for at in changed):
+            _put(self.items, [(*at, *item) for at, item in (items | changed).items()])
+        elif changed:
+            self.items.appendList([(*at, *item) for at, item in changed.items()])
+        if ended:
+            self.ended.appendList(ended)
+            self._wake(_over(t) for _, t in known + ended)
+        for (sub, checkout, item_no), (t, email, bundle_id, product, revoked) in changed.items():
+            yield checkout, t, sub, email, bundle_id, item_no, product, revoked
 
     def forget(self, until: int) -> None:
         # no purchase and no cancellation before the watermark comes any more
-        left = [(t,) for (t,) in self.ended.get() if t // 1000 + 1 > until]
-        self.ended.put(left) if left else self.ended.clear()
-        for at, item in list(self.items.iterator()):
-            if item[4] is not None and item[4] // 1000 + 1 <= until:
-                self.items.removeKey(tuple(at))
+        left = [row for row in self.ended.get() if _over(row[1]) > until]
+        _put(self.ended, left)
+        _put(self.items, [row for row in self.items.get() if row[7] is None or _over(row[7]) > until])
+        self._wake(_over(t) for _, t in left)
+
+
+def _by_key(ended: list[tuple]) -> dict[object, list[int]]:
+    found = defaultdict(list)
+    for sub, t in ended:
+        found[sub].append(t)
+    return {sub: sorted(times) for sub, times in found.items()}
+
+
+def _first(times: list[int], t: int) -> int | None:
+    """The first of sorted ``times`` that isn't before ``t``."""
+    at = bisect_left(times, t)
+    return times[at] if at < len(times) else None

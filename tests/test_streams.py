@@ -179,3 +179,54 @@ def test_rows_of_a_popular_key_are_decided_in_order_and_small():
     odd = [Row(request_id=i, t=t, status=None) for i, t in ((5, 2), (None, 1), (4, 2), (0, 1))]
     assert [r[:2] for r in keyed._in_order(odd, "request_id")] == [(1, None), (1, 0), (2, 4), (2, 5)]
     assert list(keyed._in_order([], "request_id", "status")) == []
+
+
+class CountedState:
+    """A list state and the timers of one bucket, which count the calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, set(), 0
+
+    def getListState(self, name, schema):
+        outer, kept = self, self.rows.setdefault(name, [])
+
+        class State:
+            def __getattribute__(self, call):
+                outer.calls += 1
+                return {"get": lambda: iter(list(kept)), "put": lambda rows: kept.__setitem__(slice(None), rows), "appendList": kept.extend, "clear": kept.clear}[call]
+
+        return State()
+
+    def __getattr__(self, call):
+        self.calls += 1
+        return {"listTimers": lambda: iter(list(self.timers)), "registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[call]
+
+
+def test_a_bucket_of_many_keys_costs_few_state_calls():
+    """Sessions and licences of two thousand keys in one bucket: calls and timers are those of the bucket."""
+    import pandas as pd
+    from corpuslens.streaming import keyed
+
+    n, day = 2_000, DAY * 1_000_000
+    held = CountedState()
+    licences = keyed.LicenceStates()
+    licences.init(held)
+    told = lambda ended, t: pd.DataFrame({
+        "ended": [ended] * n, "subscription_id": [f"s{i}" if i else None for i in range(n)], "t": [t + i for i in range(n)], "checkout": [str(i) if i != 1 else None for i in range(n)],
+        "email": [None] * n, "bundle_id": ["b"] * n, "item_no": [0] * n, "product": ["p"] * n})
+    assert sum(map(len, licences.handleInputRows((0,), iter([told(False, 0)]), None))) == n
+    out = pd.concat(licences.handleInputRows((0,), iter([told(True, day)]), None))
+    assert out["revoked"].tolist() == [day + i for i in range(n)] and out["subscription_id"][0] is None and out["checkout"][1] is None
+    assert held.calls <= 20 and len(held.timers) == 1
+    licences.forget((day + n) // 1000 + 1)
+    assert not held.rows["items"] and not held.rows["ended"] and not held.timers
+
+    held = CountedState()
+    sessions = keyed.SessionDecisions(30 * day, 7 * day, False)
+    sessions.init(held)
+    used = lambda kind, t: pd.DataFrame({
+        "owner": [f"o{i}" for i in range(n)], "token": ["x"] * n, "use_id": range(n), "given": [True] * n, "kind": [kind] * n, "t": [t + i for i in range(n)]})
+    assert set(pd.concat(sessions.handleInputRows((0,), iter([used("login", 0)]), None))["outcome"]) == {"issued"}
+    out = pd.concat(sessions.handleInputRows((0,), iter([used("use", 25 * day)]), None))
+    assert set(out["outcome"]) == {"renewed"} and out["expires_t"].tolist() == [55 * day + i for i in range(n)]
+    assert held.calls <= 20 and len(held.timers) == 1
