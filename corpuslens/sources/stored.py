@@ -73,7 +73,7 @@ def write_corpus(files: DataFrame, root: str) -> int:
     """Writes ``files`` (project, path, text) as ``root/<project>/<path>``; gives their number. A null text is an
     empty file. The root is a folder that all executors reach."""
     def run(batches):
-        store, base = _store(root)
+        store, base = tree_store(root)
         for batch in batches:
             for project, path, text in zip(*(batch.column(c).to_pylist() for c in ("project", "path", "text"))):
                 at = f"{base}/{project}/{path}"
@@ -85,7 +85,7 @@ def write_corpus(files: DataFrame, root: str) -> int:
     return files.select("project", "path", "text").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _store(root: str):
+def tree_store(root: str):
     """(pyarrow file system, folder) of a root."""
     from pyarrow import fs
 
@@ -101,12 +101,12 @@ def tree_listing(spark: SparkSession, root: str, globs=fixed.EXCLUDE_GLOBS) -> D
     by one task."""
     from pyarrow import fs
 
-    store, base = _store(root)
+    store, base = tree_store(root)
     projects = [(i.base_name,) for i in store.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
     names = spark.createDataFrame(projects, "project string").repartition(max(1, min(len(projects), 1000)))
 
     def run(batches):
-        store, base = _store(root)
+        store, base = tree_store(root)
         for batch in batches:
             for project in batch.column("project").to_pylist():
                 top = f"{base}/{project}"
@@ -124,7 +124,7 @@ def opened(listing: DataFrame, root: str, max_kb: int = 500) -> DataFrame:
     its row. Oversize files aren't opened, ``skipped`` says so, and their digest is that of size and time;
     binary files (a zero byte in the first 8192) have no text; what isn't UTF-8 is replaced."""
     def run(batches):
-        store, base = _store(root)
+        store, base = tree_store(root)
         for batch in batches:
             for row in batch.to_pylist():
                 big = row["size_bytes"] > max_kb * 1024

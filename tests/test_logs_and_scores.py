@@ -255,6 +255,19 @@ def test_read_corpus(spark, tmp_path):
         ("p2", "big.txt", None, 2048, "oversize")]
 
 
+def test_read_corpus_is_listed_by_tasks(spark, tmp_path):
+    """No file index of Spark, which would hold the status of every file in the driver; the same names are left out."""
+    for path in ("p/a.py", "p/d e/b.txt", "p/_c/x.py", "p/.d/x.py", "p/_k=1/c.py", "p/_metadata", "p/f._COPYING_", "top.md", ".git/config"):
+        target = tmp_path / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(path)
+    df = file_source.read_corpus(spark, str(tmp_path))
+    assert not [n for n in ("binaryFile", "FileIndex", "FileScan") if n in df._jdf.queryExecution().toString()]
+    assert rows(df, "project", "path", "text") == [
+        ("p", "_k=1/c.py", "p/_k=1/c.py"), ("p", "_metadata", "p/_metadata"), ("p", "a.py", "p/a.py"), ("p", "d e/b.txt", "p/d e/b.txt"), ("top.md", "top.md", "top.md")]
+    assert rows(file_source.read_corpus(spark, f"file://{tmp_path}", glob_filter="[!b]*.{py,md}"), "path") == [("_k=1/c.py",), ("a.py",), ("top.md",)]
+
+
 def test_suite_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"version": 1, "benchmarks": [
         {"id": "b", "prompt": "p", "checks": [{"type": "contains_sections", "sections": ["A", "B"]}]}]}))
