@@ -50,7 +50,9 @@ def line_total(c: Column | str) -> Column:
     """Number of lines as a text editor counts them: no empty line after a final break."""
     c = col(c)
     tail = (ends_with_break(c) | (c == F.lit(""))).cast("int")
-    return F.size(split_lines(c)) - tail
+    # most texts break by \n only: counted without a list of lines
+    odd = c.rlike(f"[{_BREAK_CHARS[1:]}]")
+    return F.when(odd, F.size(split_lines(c))).otherwise(newline_count(c) + 1) - tail
 
 
 def without_final_break(c: Column | str) -> Column:

@@ -22,6 +22,7 @@ from corpuslens.functions.text import (
     suffix, without_final_break,
 )
 from corpuslens.operators import inventory as inv
+from corpuslens.session import cut_lineage
 
 FINDING_COLUMNS = ["project", "path", "line", "category", "severity", "message"]
 PROJECT_PATH = "<project>"
@@ -146,14 +147,22 @@ def leak_packs(scan_scripts: bool = False, chars: int | None = 80) -> dict[str,
     }
 
 
+def _may_define() -> Column:
+    """Files whose functions are measured and that hold a word of a definition: others spare the split into lines."""
+    text, ext = F.col("text"), suffix("path")
+    held = lambda *words: reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    return ~inv.is_test_path() & (
+        ext.isin(*fixed.PY_EXTS) & held("def") | ext.isin(*fixed.JS_EXTS) & held("function", "const", "let") | (ext == ".rs") & held("fn"))
+
+
 def text_findings(files: DataFrame, packs: Sequence[LinePack], *per_file: Column) -> DataFrame:
     """One pass over the texts: line packs plus arrays of findings per file, then only the
     findings are exploded. File flags are available as ``_scannable``, ``_sample``,
-    ``_script``, ``_ext``, ``_lang``, ``_test`` and ``_lines``."""
+    ``_script``, ``_ext``, ``_lang``, ``_test`` and ``_lines`` (0 where no function is defined)."""
     rows = files.filter(F.col("text").isNotNull()).select(
         "project", "path", "text", suffix("path").alias("_ext"), inv.is_test_path().alias("_test"),
         inv.is_sample_path().alias("_sample"), inv.is_scan_script().alias("_script"),
-        inv.is_leak_scannable().alias("_scannable"), line_total("text").alias("_lines"),
+        inv.is_leak_scannable().alias("_scannable"), F.when(_may_define(), line_total("text")).otherwise(0).alias("_lines"),
         inv.language_of(suffix("path")).alias("_lang"),
     )
     parts = list(per_file)
@@ -482,8 +491,9 @@ def worst_first(scores: DataFrame, n: int = 0, min_score: int = 0, score: str =
 
 
 def priority_items(findings: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` critical and high findings per project and how many more there are."""
-    urgent = findings.filter(F.col("severity").isin("critical", "high"))
+    """The first ``n`` critical and high findings per project and how many more there are. The findings are
+    written once: ranks and totals are two readings, and detectors behind them would read every text twice."""
+    urgent = cut_lineage(findings.filter(F.col("severity").isin("critical", "high")), "urgent")
     order = Window.partitionBy("project").orderBy(
         path_key("path"), F.col("line").asc_nulls_first(), "category", "message"
     )

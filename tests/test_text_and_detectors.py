@@ -222,3 +222,23 @@ def test_json_validity(spark):
     fenced = "text\n```json\n{\"a\": 1}\n```\n"
     df = spark.createDataFrame([(fenced,), ("```\nnope\n```",)], "t string")
     assert dict(rows(df.select("t", holds_json(F.col("t"))))) == {fenced: True, "```\nnope\n```": False}
+
+
+def test_priority_items_make_the_findings_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    kind = "project string, path string, line int, category string, severity string, message string"
+    found = spark.createDataFrame([("p", f"f{i:02}", i, "c", "high" if i % 2 else "low", "m") for i in range(30)], kind).mapInArrow(count, kind)
+    got = [(r["item"], r["line"], r["more"]) for r in detect.priority_items(found, 10).orderBy("item").collect()]
+    assert got == [(k + 1, 2 * k + 1, 5) for k in range(10)] and made.value == 30
+
+
+def test_line_totals_of_all_breaks(spark):
+    texts = ["", "a", "a\n", "a\nb", "a\r\nb\r\n", "a\rb", "a\x0bb\n", "a\u2028b", "\n\n", "a\x85", "a\nb\x1e", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", line_total("text")).collect()
+    assert [n for _, n in sorted(got)] == [t if t is None else len(t.splitlines()) for t in texts]
