@@ -11,6 +11,7 @@ their state entry by entry. Rows are held as numbers until they are decided in t
 from __future__ import annotations
 
 import datetime as dt
+import pickle
 from array import array
 from bisect import bisect_left
 from collections import defaultdict
@@ -172,8 +173,21 @@ def _over(t: int) -> int:
     return t // 1000 + 1
 
 
-def _put(state, rows: list[tuple]) -> None:
-    state.put(rows) if rows else state.clear()
+CHUNK = 4096  #: entries of a bucket that lie in one row of the state
+
+
+def _packed(rows: Iterable[tuple]) -> list[tuple]:
+    rows = iter(rows)
+    return [(pickle.dumps(piece, 4),) for piece in iter(lambda: list(islice(rows, CHUNK)), [])]
+
+
+def _entries(state) -> list[tuple]:
+    return [row for (piece,) in state.get() for row in pickle.loads(piece)]
+
+
+def _put(state, rows: Iterable[tuple]) -> None:
+    packed = _packed(rows)
+    state.put(packed) if packed else state.clear()
 
 
 class SessionDecisions(_Bucketed):
@@ -191,11 +205,11 @@ class SessionDecisions(_Bucketed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ends = handle.getListState("ends", "owner string, token string, t bigint")
+        self.ends = handle.getListState("ends", "entries binary")  # (owner, token, t)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ends = defaultdict(dict)  # the sessions that the state knows, by owner and token
-        for owner, token, end in self.ends.get():
+        for owner, token, end in _entries(self.ends):
             ends[owner][token] = end
         before = {owner: dict(live) for owner, live in ends.items()}
         yield from self._frames(self._decided(rows, ends), ["use_id", "given", "token", "outcome", "expires_t"])
@@ -230,7 +244,7 @@ class SessionDecisions(_Bucketed):
         self._wake(_over(end) for *_, end in live)
 
     def forget(self, until: int) -> None:
-        self._keep([row for row in self.ends.get() if _over(row[2]) > until])
+        self._keep([row for row in _entries(self.ends) if _over(row[2]) > until])
 
 
 def _frames_in_order(frames: Iterator[pd.DataFrame], numbers: list[str], names: list[str]) -> Iterator[tuple]:
@@ -263,12 +277,11 @@ class LicenceStates(_Bucketed):
     licence. A licence ends with the first cancellation that isn't earlier than its purchase."""
 
     OUT = "checkout string, t bigint, subscription_id string, email string, bundle_id string, item_no int, product string, revoked bigint"
-    _ITEM = "subscription_id string, checkout string, item_no int, t bigint, email string, bundle_id string, product string, revoked bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getListState("items", self._ITEM)
-        self.ended = handle.getListState("ended", "subscription_id string, t bigint")
+        self.items = handle.getListState("items", "entries binary")  # (subscription_id, checkout, item_no, t, email, bundle_id, product, revoked)
+        self.ended = handle.getListState("ended", "entries binary")  # (subscription_id, t)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         yield from self._frames(self._versions(rows), ["checkout", "t", "subscription_id", "email", "bundle_id", "item_no", "product", "revoked"])
@@ -282,10 +295,10 @@ class LicenceStates(_Bucketed):
                     ended.append((sub, t))
                 else:
                     bought[sub, checkout, item_no] = (t, *told, None)
-        known = list(self.ended.get())
+        known = _entries(self.ended)
         of_new, of_all = _by_key(ended), _by_key(known + ended)
         # licences of earlier micro-batches meet the new cancellations only
-        items, changed = {tuple(i[:3]): tuple(i[3:]) for i in self.items.get()}, {}
+        items, changed = {i[:3]: i[3:] for i in _entries(self.items)}, {}
         for at, item in items.items():
             if at[0] in of_new:
                 first = _first(of_new[at[0]], item[0])
@@ -296,18 +309,21 @@ class LicenceStates(_Bucketed):
         if any(at in items for at in changed):
             _put(self.items, [(*at, *item) for at, item in (items | changed).items()])
         elif changed:
-            self.items.appendList([(*at, *item) for at, item in changed.items()])
+            self.items.appendList(_packed((*at, *item) for at, item in changed.items()))
         if ended:
-            self.ended.appendList(ended)
+            self.ended.appendList(_packed(ended))
             self._wake(_over(t) for _, t in known + ended)
         for (sub, checkout, item_no), (t, email, bundle_id, product, revoked) in changed.items():
             yield checkout, t, sub, email, bundle_id, item_no, product, revoked
 
     def forget(self, until: int) -> None:
         # no purchase and no cancellation before the watermark comes any more
-        left = [row for row in self.ended.get() if _over(row[1]) > until]
+        left = [row for row in _entries(self.ended) if _over(row[1]) > until]
         _put(self.ended, left)
-        _put(self.items, [row for row in self.items.get() if row[7] is None or _over(row[7]) > until])
+        items = _entries(self.items)
+        open_items = [row for row in items if row[7] is None or _over(row[7]) > until]
+        if len(open_items) < len(items):
+            _put(self.items, open_items)
         self._wake(_over(t) for _, t in left)
 
 
