@@ -23,12 +23,12 @@ def read_corpus(
     The tree is listed by tasks, one entry of the root each, and opened by others; Spark's own source would
     send the status of every file to the driver. Files above the size limit are not opened. They stay as rows with a null text and ``skipped`` = ``oversize``.
     Binary files (a zero byte in the first 8192) have a null text and ``skipped`` = ``binary``.
-    Names with a dot or an underscore in front are left out, as Spark's file sources do; ``stored.tree_listing`` and
+    Empty files and names with a dot or an underscore in front are left out, as Spark's file sources do; ``stored.tree_listing`` and
     ``stored.opened`` do.
     """
     limit = max_kb * 1024
     named = (F.col("path").rlike(glob_regex(tuple(globs))) | F.col("at").rlike(HIDDEN))
-    listing = _listing(spark, root).where(~named)
+    listing = _listing(spark, root).where(~named & (F.col("size_bytes") > 0))
     if glob_filter:
         listing = listing.where(F.substring_index("at", "/", -1).rlike(_hadoop_glob(glob_filter)))
     # the rows are small, what they name isn't: dealt to tasks by their names

@@ -261,6 +261,7 @@ def test_read_corpus_is_listed_by_tasks(spark, tmp_path):
         target = tmp_path / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(path)
+    (tmp_path / "p/empty.py").touch()
     df = file_source.read_corpus(spark, str(tmp_path))
     assert not [n for n in ("binaryFile", "FileIndex", "FileScan") if n in df._jdf.queryExecution().toString()]
     assert rows(df, "project", "path", "text") == [
