@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,6 +28,26 @@ def contains(c: Column, needle: str) -> Column:
     return F.contains(c, F.lit(needle))
 
 
+def contains_any(c: Column, needles: Iterable[str]) -> Column:
+    """Whether one of the literals occurs: much cheaper than a regex, hence also asked in front of one."""
+    return reduce(or_, [contains(c, n) for n in needles])
+
+
+def around(c: Column, mark: str) -> Column:
+    """A text without the words that lie between blanks and touch no ``mark``, a single character.
+
+    A pattern whose matches hold a mark and no blank, except as their first character, finds the same
+    in what is left, which is short where marks are rare.
+    """
+    blank = F.lit(" ")
+
+    def ends(piece: Column) -> Column:
+        outer = F.concat(F.substring_index(piece, " ", 1), blank, F.substring_index(piece, " ", -1))
+        return F.when(F.contains(piece, blank), outer).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(c, re.escape(mark), -1), ends), mark)
+
+
 def count_of(c: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     gone = F.length(c) - F.length(F.replace(c, F.lit(needle)))
@@ -43,7 +66,7 @@ def split_lines(c: Column | str) -> Column:
 
 
 def ends_with_break(c: Column | str) -> Column:
-    return F.substring(col(c), -1, 1).isin(*_BREAK_CHARS)
+    return reduce(or_, [F.endswith(col(c), F.lit(b)) for b in _BREAK_CHARS])
 
 
 def line_total(c: Column | str) -> Column:
@@ -51,7 +74,7 @@ def line_total(c: Column | str) -> Column:
     c = col(c)
     tail = (ends_with_break(c) | (c == F.lit(""))).cast("int")
     # most texts break by \n only: counted without a list of lines
-    odd = c.rlike(f"[{_BREAK_CHARS[1:]}]")
+    odd = contains_any(c, _BREAK_CHARS[1:])
     return F.when(odd, F.size(split_lines(c))).otherwise(newline_count(c) + 1) - tail
 
 
@@ -71,11 +94,14 @@ def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
     """One row per line with a 1-based number. Narrow: no shuffle.
 
     ``posexplode_outer`` keeps Spark from splitting twice: a plain explode gets a size filter
-    in front that evaluates the split again.
+    in front that evaluates the split again. Texts that break by newlines only, most of them, are split by
+    that character, the others by a pattern.
     """
+    body = F.col("_body")
+    lines = F.when(contains_any(body, _BREAK_CHARS[1:]), split_lines(body)).otherwise(F.split(body, "\n", -1))
     return (
-        files.filter(F.col("text") != "")
-        .select(*keep, F.posexplode_outer(split_lines(without_final_break("text"))).alias("_pos", "line"))
+        files.filter(F.col("text") != "").select(*keep, without_final_break("text").alias("_body"))
+        .select(*keep, F.posexplode_outer(lines).alias("_pos", "line"))
         .select(*keep, (F.col("_pos") + 1).alias("line_no"), "line")
     )
 
@@ -147,14 +173,27 @@ def path_key(path: Column | str) -> Column:
 
 def parent_dirs(path: Column | str) -> Column:
     """Every directory above a path, outermost first."""
-    parts = F.split(col(path), "/")
-    return F.when(
-        F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    path = col(path)
+    above = F.transform(F.sequence(F.lit(1), count_of(path, "/")), lambda n: F.call_function("substring_index", path, F.lit("/"), n))
+    return F.when(contains(path, "/"), above).otherwise(F.array().cast("array<string>"))
+
+
+def section_has(c: Column, low: Column, needle: str, *titles: str) -> Column:
+    """Whether the section that ``section_slice`` gives holds a literal without line break; ``low`` is
+    the text in lower case. Each position is looked up once and no section is copied. Null without one."""
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def first(at: Column, rest: Column) -> Column:
+        return let(at, lambda p: F.when(p > 0, p).otherwise(rest))
+
+    def held(start: Column, found: Column) -> Column:
+        return (found > 0) & ~contains(F.substr(c, start + 1, found - start - 1), "\n## ")
+
+    start = F.lit(0)
+    for title in reversed(titles):
+        start = first(F.locate(title, low), start)
+    return let(start, lambda s: F.when(s > 0, let(F.position(F.lit(needle), c, s), lambda f: held(s, f))))
 
 
 def section_slice(c: Column, *titles: str) -> Column:

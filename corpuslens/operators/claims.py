@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.scores import share_score
+from corpuslens.functions.text import around
 from corpuslens.operators import audit, inventory as inv
 from corpuslens.operators.audit import DOC
 from corpuslens.operators.manifests import _field, toml_section
@@ -24,7 +25,7 @@ def claimed_path_pattern(bounded: bool = False) -> str:
 
 def file_claims(bounded: bool = False) -> Column:
     return F.array_distinct(
-        F.regexp_extract_all("text", F.lit(claimed_path_pattern(bounded)), F.lit(1)))
+        F.regexp_extract_all(around(F.col("text"), "/"), F.lit(claimed_path_pattern(bounded)), F.lit(1)))
 
 
 def claimed_files(contexts: DataFrame, bounded: bool = False) -> DataFrame:
