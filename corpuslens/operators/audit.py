@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.functions import fixed
 from corpuslens.functions.scores import clamp, grade
 from corpuslens.functions.text import (
-    count_of, explode_lines, line_total, section_slice, split_lines, strip,
+    contains_any, count_of, explode_lines, line_total, section_has, split_lines, strip,
 )
 from corpuslens.operators import inventory as inv
 
@@ -38,6 +38,11 @@ def _low(needle: str) -> Column:
     return F.contains(F.col("_low"), F.lit(needle))
 
 
+def _says(pattern: str, literals: tuple[str, ...]) -> Column:
+    """Whether a pattern matches the text; it runs only where one of the literals that every match holds occurs."""
+    return contains_any(F.col("text"), literals) & F.col("text").rlike(pattern)
+
+
 def with_text_facts(contexts: DataFrame) -> DataFrame:
     return contexts.withColumn("_low", F.lower("text")).withColumn("_lines", line_total("text"))
 
@@ -65,13 +70,13 @@ def anti_pattern_checks(title: str = fixed.DOC_TITLE) -> list[Column]:
         F.when(F.col("_lines") < 20, _f(
             "warning", cat, F.concat(F.lit(f"{title} is only "), n, F.lit(" lines — too short for useful context")),
             "Add more sections: overview, commands, coding standards")),
-        F.when(F.col("text").rlike(r"\bTODO\b|\bFIXME\b"), _f(
+        F.when(_says(r"\bTODO\b|\bFIXME\b", ("TODO", "FIXME")), _f(
             "warning", cat, "Contains TODO/FIXME items (stale planning artifacts)",
             f"Resolve or remove TODO items from {title}")),
         F.when(markers, _f(
             "warning", cat, "Contains conversation fragments (copy-paste from AI chat)",
             "Use declarative style, not conversational prompts")),
-        F.when(F.col("text").rlike(fixed.FIRST_PERSON), _f(
+        F.when(_says(fixed.FIRST_PERSON, fixed.FIRST_PERSON_PHRASES), _f(
             "info", cat, "Uses first-person language instead of declarative style",
             'Use declarative: "Use pytest" instead of "We use pytest"')),
         F.when(count_of(F.col("text"), FENCE) % 2 != 0, _f(
@@ -86,13 +91,14 @@ def specificity_checks() -> list[Column]:
                            "Replace with specific, actionable instructions"))
         for p in fixed.VAGUE_PHRASES
     ]
-    anti = section_slice(F.col("text"), "## anti-pattern")
-    commands = section_slice(F.col("text"), "## common command", "## command")
+    text, low = F.col("text"), F.col("_low")
+    code = section_has(text, low, "`", "## anti-pattern")
+    commands = section_has(text, low, FENCE, "## common command", "## command")
     return vague + [
-        F.when((_has("## Anti-Patterns") | _has("## Anti-patterns")) & ~F.contains(anti, F.lit("`")),
+        F.when((_has("## Anti-Patterns") | _has("## Anti-patterns")) & ~code,
                _f("info", "specificity", "Anti-patterns section lacks code examples",
                   "Add inline code or code blocks showing what NOT to do")),
-        F.when((_has("## Common Commands") | _has("## Commands")) & ~F.contains(commands, F.lit(FENCE)),
+        F.when((_has("## Common Commands") | _has("## Commands")) & ~commands,
                _f("info", "specificity", "Commands section lacks actual command strings",
                   "Add code blocks with runnable commands")),
     ]
@@ -110,9 +116,8 @@ def text_checks() -> Column:
 
 
 def said_words() -> Column:
-    """The words of a text that the corpus may contradict."""
-    words = F.array(*[F.lit(w) for w in (GREENFIELD, *fixed.AUDITED_FRAMEWORKS)])
-    return F.filter(words, lambda w: F.contains(F.lower("text"), w))
+    """The words of a text that the corpus may contradict; for ``with_text_facts``."""
+    return F.array_compact(F.array(*[F.when(_low(w), F.lit(w)) for w in (GREENFIELD, *fixed.AUDITED_FRAMEWORKS)]))
 
 
 def references() -> Column:
@@ -136,7 +141,8 @@ def accuracy_findings(contexts: DataFrame, files: DataFrame, tools: DataFrame) -
     contradict ``greenfield``.
     """
     claim = GREENFIELD
-    said = contexts.select(*DOC, F.explode(_fact(contexts, "_said", said_words())).alias("word"))
+    rows = contexts if "_said" in contexts.columns else with_text_facts(contexts)
+    said = rows.select(*DOC, F.explode(_fact(rows, "_said", said_words())).alias("word"))
     detected = tools.filter(F.col("kind") == "framework").select(
         "project", F.col("tool").alias("word"), F.lit(None).cast("bigint").alias("n_files"), F.lit(True).alias("_known"))
     large = files.groupBy("project").agg(F.count("*").alias("n_files")).filter(F.col("n_files") > 50).select(
