@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslens.functions.text import first_chars, path_key, split_lines, strip, suffix, without_final_break
+from corpuslens.functions.text import contains_any, first_chars, path_key, split_lines, strip, suffix, without_final_break
 from corpuslens.operators import inventory as inv
 from corpuslens.operators.ranking import ranged_rank
 
@@ -16,6 +16,8 @@ CLASS_NAME = r"\bclass\s+([\p{L}\p{N}_]+)"
 STRUCT_NAME = r"\b(?:struct|enum)\s+([\p{L}\p{N}_]+)"
 ROUTE = r"""(?:app|router)\.\s*(?:get|post|put|patch|delete)\s*\(\s*["']([^"']+)"""
 CONSTANT = r"""([\p{L}\p{N}_]+)\s*=\s*(?:auto\(\)|['"])"""
+# the same matches, found without trying every letter of a word as their start
+CONSTANT_BY_WORD = r"""(?<![\p{L}\p{N}_])([\p{L}\p{N}_]++)\s*+=\s*+(?:auto\(\)|['"])"""
 ENUM_NAME = r"\benum\s+([\p{L}\p{N}_]+)"
 ACRONYM = r"\b([A-Z]{2,})\b"
 PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
@@ -28,8 +30,18 @@ COMMENT_MARKERS = (
 )
 
 
+# one of these occurs in every match of the pattern: a text without them is not searched
+HELD = {
+    CLASS_NAME: ("class",), STRUCT_NAME: ("struct", "enum"), ROUTE: ("app.", "router."), CONSTANT_BY_WORD: ("=",),
+    ENUM_NAME: ("enum",), **{p: ("TODO", "FIXME", "HACK", "NOTE", "XXX") for p in COMMENT_MARKERS},
+}
+
+
 def _all(pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    if pattern not in HELD:
+        return found
+    return F.when(contains_any(F.col("text"), HELD[pattern]), found).otherwise(F.array().cast("array<string>"))
 
 
 def alphabetical_top(terms: DataFrame, n: int | None = None) -> DataFrame:
@@ -88,12 +100,12 @@ def enum_variants(text: Column) -> Column:
         )
 
     found = F.aggregate(split_lines(without_final_break(text)), state, step, lambda acc: acc["names"])
-    return F.when(text.rlike(r"(?md)^enum\s"), found).otherwise(F.array().cast("array<string>"))
+    return F.when(F.contains(text, F.lit("enum")) & text.rlike(r"(?md)^enum\s"), found).otherwise(F.array().cast("array<string>"))
 
 
 def constant_terms() -> Column:
     constants = F.filter(
-        _all(CONSTANT), lambda x: (x == F.upper(x)) & x.rlike("[A-Z]") & (F.length(x) > 2)
+        _all(CONSTANT_BY_WORD), lambda x: (x == F.upper(x)) & x.rlike("[A-Z]") & (F.length(x) > 2)
     )
     return F.array_distinct(F.concat(constants, _all(ENUM_NAME), enum_variants(F.col("text"))))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions import fixed
 from corpuslens.functions.scores import vote
-from corpuslens.functions.text import explode_lines, suffix
+from corpuslens.functions.text import BLANKS, contains_any, explode_lines, suffix
 from corpuslens.operators import inventory as inv
 
 # ---- Fixed values: patterns counted per style --------------------------------------
@@ -23,12 +27,25 @@ ABSOLUTE_IMPORT, RELATIVE_IMPORT = r"(?md)^from [a-zA-Z]", r"(?md)^from \."
 PATHLIB, OS_PATH = (r"\bPath\(", r"from pathlib"), r"\bos\.path\."
 TRAILING_COMMA, NO_TRAILING_COMMA = r",\s*[\]\)\}]", r"[^,\s]\s*[\]\)\}]"
 TRY_BLOCK, CUSTOM_ERROR = r"\btry:", r"class [\p{L}\p{N}_]+(?:Error|Exception)\("
+# one of these occurs in every match of the pattern: a text without them is not searched
+HELD = {
+    SNAKE[0]: ("def ",), SNAKE[1]: ("fn ",), CAMEL[0]: ("function ",), CAMEL[1]: ("const ",), SINGLE_QUOTED: ("'",),
+    DOUBLE_QUOTED: ('"',), DEFS: ("def ",), HINTS[0]: ("def ",), HINTS[1]: ("-> ",),
+    GOOGLE_DOC: ("Args:", "Returns:", "Raises:", "Example:"), NUMPY_DOC: ("Parameters", "Returns"), SPHINX_DOC: (":param",),
+    ABSOLUTE_IMPORT: ("from ",), RELATIVE_IMPORT: ("from .",), PATHLIB[0]: ("Path(",), PATHLIB[1]: ("from pathlib",),
+    OS_PATH: ("os.path.",), TRAILING_COMMA: ("]", ")", "}"), NO_TRAILING_COMMA: ("]", ")", "}"), TRY_BLOCK: ("try:",),
+    CUSTOM_ERROR: ("Error(", "Exception("),
+}
+
+
+def _may_match(pattern: str) -> Column:
+    return contains_any(F.col("text"), HELD[pattern])
 
 
 def hits(*patterns: str) -> Column:
     out = F.lit(0)
     for p in patterns:
-        out = out + F.regexp_count("text", F.lit(p))
+        out = out + F.when(_may_match(p), F.regexp_count("text", F.lit(p))).otherwise(0)
     return out
 
 
@@ -51,7 +68,7 @@ def style_counts(files: DataFrame) -> DataFrame:
         F.when(py, hits(RELATIVE_IMPORT)).alias("relative"),
         F.when(py, hits(*PATHLIB)).alias("pathlib"), F.when(py, hits(OS_PATH)).alias("ospath"),
         hits(TRAILING_COMMA).alias("comma"), hits(NO_TRAILING_COMMA).alias("no_comma"),
-        hits(TRY_BLOCK).alias("tries"), F.col("text").rlike(CUSTOM_ERROR).alias("custom"),
+        hits(TRY_BLOCK).alias("tries"), (_may_match(CUSTOM_ERROR) & F.col("text").rlike(CUSTOM_ERROR)).alias("custom"),
     )
 
     def total(name: str, where: Column | None = None) -> Column:
@@ -109,17 +126,26 @@ def style_votes(files: DataFrame) -> DataFrame:
     )
 
 
+def _any(test: Callable[[Column, Column], Column], name: str, *literals: str) -> Column:
+    return reduce(or_, [test(F.col(name), F.lit(x)) for x in literals])
+
+
+def _ends(name: str, *literals: str) -> Column:
+    return _any(F.endswith, name, *literals)
+
+
 def semicolon_votes(files: DataFrame) -> DataFrame:
     """JS/TS statement lines that end with a semicolon against those that do not."""
     rows = files.filter(suffix("path").isin(*fixed.JS_EXTS)).select("project", "path", "text")
-    end = F.regexp_replace("line", r"\s+$", "")
+    blank = _ends("line", *BLANKS)
+    end = F.when(blank, F.rtrim("line", F.lit(BLANKS))).otherwise(F.col("line"))
     lines = explode_lines(rows, "project").select("project", end.alias("s")).filter(
-        (F.col("s") != "") & ~F.col("s").rlike(r"^(//|/\*|\*|import|export)")
+        (F.col("s") != "") & ~_any(F.startswith, "s", "//", "/*", "*", "import", "export")
     )
-    semi = F.endswith("s", F.lit(";"))
+    semi = _ends("s", ";")
     counts = lines.groupBy("project").agg(
         F.count_if(semi).alias("with_semi"),
-        F.count_if(~semi & ~F.col("s").rlike(r"[{}(),]$")).alias("without_semi"),
+        F.count_if(~semi & ~_ends("s", *"{}(),")).alias("without_semi"),
     )
     return (
         rows.select("project").distinct().join(counts, "project", "left").fillna(0)
